@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, mix, quantiles, topn
+from . import bpe, fuzzy, mix, quantiles, topn
 
 METRICS = ["drift_tv", "stance_gap"]
 
@@ -27,6 +27,14 @@ def p2_daily(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(days, ["run_day", "retriever"], (0.1, 0.5, 0.9)).withColumn("value", _ten(F.col("value")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return fuzzy.similar_pairs(table(spark, d, "docs")).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return fuzzy.groups(table(spark, d, "docs"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "retrieved"), ["cell_id", "qid"], "doc_id", "score", "ord", 5).select("cell_id", "qid", "doc_id")
 
@@ -64,6 +72,8 @@ from run, ps where upto > floor(p * (n - 1)) and upto - c <= floor(p * (n - 1))"
 QUERIES = {
     "p2_percentiles": p2_percentiles,
     "p2_daily": p2_daily,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
