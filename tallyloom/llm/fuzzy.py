@@ -26,11 +26,11 @@ from ..session import cut, ship
 #: Exact similarity from which two texts are a pair.
 SIMILARITY = 0.5
 #: Blocks of two segments each, keys per block, signs flipped per segment.
-BLOCKS, KEYS, FLIPS = 12, 3, 4
+BLOCKS, KEYS, FLIPS = 11, 4, 4
 #: Feature-hashing width ahead of the projection.
 WIDTH = 512
 #: Min-hashes of 4 bits in the two sketch words, and how many of them similar texts share at least.
-NIBBLES, ALIKE = 25, 10
+NIBBLES, ALIKE = 25, 12
 #: Bits of the filter that keeps texts without candidates out of the check's shuffle.
 FILTER_BITS = 1 << 24
 #: Fixed value: generator polynomial of the binary Golay code.
@@ -128,12 +128,16 @@ class Fingerprints:
             self.forget()
         get, add = self.number.get, self.add
         flat: list[int] = []
-        sizes, which = [], []
+        once: list[int] = []
+        sizes, distinct, which = [], [], []
         for i, text in enumerate(texts):
             found = [n if (n := get(w)) is not None else add(w) for w in words_of(text.lower())]
             if len(found) > 1:
                 flat += found
                 sizes.append(len(found))
+                found = set(found)
+                once += found
+                distinct.append(len(found))
                 which.append(i)
         if not which:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -142,7 +146,6 @@ class Fingerprints:
         ids = np.array(flat)
         hashes = np.array(self.hashes, dtype=np.uint64)
         of = hashes[ids]
-        text_of = np.repeat(np.arange(n), size)
 
         pairs = (of[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ of[1:]) * np.uint64(0xD6E8FEB86659FD93)
         pairs = np.delete(pairs, np.cumsum(size)[:-1] - 1)
@@ -155,8 +158,7 @@ class Fingerprints:
             else:
                 sketch |= x << np.uint64(4 * (k - 9))
 
-        once = np.unique(text_of * np.int64(len(hashes)) + ids)
-        row, word = once // len(hashes), once % len(hashes)
+        row, word = np.repeat(np.arange(n), distinct), np.array(once)
         cell = row * WIDTH + (hashes[word] % np.uint64(WIDTH)).astype(np.int64)
         features = np.bincount(cell, weights=np.array(self.weights)[word], minlength=n * WIDTH).reshape(n, WIDTH)
         numbers = features.astype(np.float32) @ self.project
@@ -233,17 +235,28 @@ def similarity(a: str, b: str) -> float:
 
 def _checked(limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pairs_last = None, set()
+        number: dict[str, int] = {}  # exact within this run: every word has its own number
+        known: dict[object, frozenset[int]] = {}
+
+        def pairs_of(key: object, text: str) -> frozenset[int]:
+            got = known.get(key)
+            if got is None:
+                ids = [number.setdefault(w, len(number)) for w in words_of(text.lower())]
+                got = frozenset([x << 32 | y for x, y in zip(ids, ids[1:])])
+                if len(known) > 20_000:
+                    known.clear()
+                known[key] = got
+            return got
+
         for batch in batches:
+            if len(number) > 1_000_000:
+                number, known = {}, {}
+            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             keep, sims = [], []
-            for i, (t, u) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if t != last:
-                    w = words_of(t.lower())
-                    last, pairs_last = t, set(zip(w, w[1:]))
-                w = words_of(u.lower())
-                other = set(zip(w, w[1:]))
-                both = len(pairs_last & other)
-                if both and (s := both / (len(pairs_last) + len(other) - both)) >= limit:
+            for i in range(len(a)):
+                x, y = pairs_of(a[i], ta[i]), pairs_of(b[i], tb[i])
+                both = len(x & y)
+                if both and (s := both / (len(x) + len(y) - both)) >= limit:
                     keep.append(i)
                     sims.append(s)
             take = pa.array(keep, pa.int64())
@@ -275,20 +288,19 @@ def checked(pairs: DataFrame, docs: DataFrame, limit: float) -> DataFrame:
 
 def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, copy, text) of the rows with a key and at least two words; ``copy`` is alike for texts
-    with the same words in the same order."""
-    plain = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
-    rows = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), plain.alias("__p"))
-    return rows.filter(F.instr("__p", " ") > 0).select("id", F.xxhash64("__p").alias("copy"), "text")
+    that differ at most in capitals."""
+    rows = df.filter(F.col(key).isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]+[\p{L}\p{N}]"))
+    return rows.select(F.col(key).alias("id"), F.xxhash64(F.lower(F.col(text))).alias("copy"), F.col(text).alias("text"))
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(id, first) of every document whose words repeat those of a document with a smaller id."""
+    """(id, first) of every document whose text repeats that of a document with a smaller id."""
     firsts = docs.groupBy("copy").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("copy", "first")
     return docs.select("id", "copy").join(firsts, "copy").filter(F.col("id") > F.col("first")).select("id", "first")
 
 
 def distinct_pairs(df: DataFrame, key: str = "ord", text: str = "text", limit: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(pairs, copies): similar pairs (a, b, similarity) of texts with different words, each text by
+    """(pairs, copies): similar pairs (a, b, similarity) of different texts, each text by
     the smallest id that has it, and the (id, first) rows of the others. Both are written tables."""
     docs = prepared(df, key, text)
     twins = cut(copies(docs))
@@ -302,7 +314,7 @@ def distinct_pairs(df: DataFrame, key: str = "ord", text: str = "text", limit: f
 
 
 def similar_pairs(df: DataFrame, key: str = "ord", text: str = "text", limit: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity), a < b: every found pair of rows, copies of the same words included.
+    """(a, b, similarity), a < b: every found pair of rows, copies of the same text included.
 
     The key must be unique. Rows with a null key, null or blank text or fewer than two words are in
     no pair. Extra columns are not read; empty tables give no rows.
