@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, fuzzy, mix, quantiles, topn
+from . import bpe, cutoff, fuzzy, mix, pairs, quantiles, sentences, topn
 
 METRICS = ["drift_tv", "stance_gap"]
 
@@ -16,6 +16,29 @@ def _ten(value):
     return F.format_string("%.9e", value).cast("double")
 
 
+def _limits(spark: SparkSession, d: str) -> DataFrame:
+    """(source, tokens): what each generator may write at most, null where unknown."""
+    return table(spark, d, "generators").select(F.col("generator").alias("source"), F.coalesce("max_tokens", "max_new_tokens").alias("tokens"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "answers"), _limits(spark, d)).select(F.col("id").alias("answer_id"), "defect")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that are neither empty nor the question again, and were cut off."""
+    return pairs.cut_answers(table(spark, d, "answers"), _limits(spark, d))[0].select(F.col("id").alias("answer_id"))
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each generator's cut-off answers and their share."""
+    return pairs.cut_answers(table(spark, d, "answers"), _limits(spark, d))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split(table(spark, d, "documents"))
+
+
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Sketches of single run days, merged over the days."""
     days = quantiles.sketch(table(spark, d, "by_stratum"), ["run_day", "retriever"], METRICS)
@@ -70,15 +93,19 @@ from run, ps where upto > floor(p * (n - 1)) and upto - c <= floor(p * (n - 1))"
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_percentiles": p2_percentiles,
     "p2_daily": p2_daily,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_shares": p5_shares,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
 }
 
 ORACLE_SQL = {
