@@ -73,7 +73,7 @@ def align_words(i: Column, n: Column, strength: float = 1.0, least: float = 0.0)
 
 def parse_choice(text: Column) -> Column:
     """The first stand-alone A or B of an answer; null if there is none."""
-    return F.nullif(F.regexp_extract(F.upper(F.trim(text)), r"\b([AB])\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.upper(F.trim(text)), r"(?<![\p{L}\p{N}_])([AB])(?![\p{L}\p{N}_])", 1), F.lit(""))
 
 
 def parse_yes_no(text: Column) -> Column:

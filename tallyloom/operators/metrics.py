@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 KEYS = ["cell_id", "qid"]
 METRICS = ["drift_tv", "drift_js", "stance_shift", "stance_div", "stance_onesided", "stance_gap", "poison_in_topk", "poison_share", "in_pool_rate", "mean_score"]
 
-relevant = F.col("grp").isNotNull() & (F.col("stance") != 0)
+def relevant() -> Column:
+    """Rows that count for a group: they have one, and a stance."""
+    return F.col("grp").isNotNull() & (F.col("stance") != 0)
 
 
 def group_profile(selection: DataFrame, queries: DataFrame, strata: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, grp, n, n_fav, support, share, fav_rate) for each group of the query's stratum, also
     those without a row. Shares are of all group-relevant rows, of whatever group; 0 without any."""
     keys = keys or KEYS
-    counts = selection.filter(relevant).groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("stance") > 0, 1).otherwise(0)).alias("n_fav"))
-    support = selection.groupBy(*keys).agg(F.sum(F.when(relevant, 1).otherwise(0)).alias("support"))
+    counts = selection.filter(relevant()).groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("stance") > 0, 1).otherwise(0)).alias("n_fav"))
+    support = selection.groupBy(*keys).agg(F.sum(F.when(relevant(), 1).otherwise(0)).alias("support"))
     frame = support.join(queries.select("qid", "stratum"), "qid").join(strata.select("stratum", "grp"), "stratum")
     rows = frame.join(counts, [*keys, "grp"], "left").fillna(0, ["n", "n_fav"])
     share = F.when(F.col("support") > 0, F.col("n") / F.col("support")).otherwise(F.lit(0.0))
@@ -29,7 +31,7 @@ def group_profile(selection: DataFrame, queries: DataFrame, strata: DataFrame, k
 
 def corpus_rates(docs: DataFrame) -> DataFrame:
     """(grp, n, fav_rate, share) over clean group-relevant passages."""
-    clean = docs.filter(relevant & ~F.col("is_poison"))
+    clean = docs.filter(relevant() & ~F.col("is_poison"))
     rows = clean.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("stance") > 0, 1.0).otherwise(0.0)).alias("fav_rate"))
     return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row per group
 
@@ -86,21 +88,21 @@ def means(per_query: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_queries, each metric's mean and n_valid_<metric>)."""
     out = [F.count(F.lit(1)).alias("n_queries")]
     for m in METRICS:
-        out += [F.round(F.avg(m), 6).alias(m), F.count(m).alias(f"n_valid_{m}")]
+        out += [F.round(F.avg(m), 12).alias(m), F.count(m).alias(f"n_valid_{m}")]
     return per_query.groupBy(*keys).agg(*out)
 
 
 def rolled_up(per_query: DataFrame, cells: DataFrame) -> DataFrame:
     """Means by attack and stratum, by attack, and over everything, in one pass."""
     rows = per_query.join(cells.select("cell_id", "attack"), "cell_id").rollup("attack", "stratum")
-    return rows.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("stance_gap"), 6).alias("stance_gap"), F.count("stance_gap").alias("n_valid_gap"))
+    return rows.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n_queries"), F.round(F.avg("stance_gap"), 12).alias("stance_gap"), F.count("stance_gap").alias("n_valid_gap"))
 
 
 def signed_drift(selection: DataFrame, queries: DataFrame, strata: DataFrame, docs: DataFrame) -> DataFrame:
     """(cell_id, grp, delta): mean of each group's share minus its corpus share, with its sign."""
     ref = corpus_distribution(docs, strata).select("stratum", "grp", F.col("share").alias("base"))
     rows = group_profile(selection, queries, strata).join(ref, ["stratum", "grp"])
-    return rows.groupBy("cell_id", "grp").agg(F.round(F.avg(F.col("share") - F.col("base")), 6).alias("delta"))
+    return rows.groupBy("cell_id", "grp").agg(F.round(F.avg(F.col("share") - F.col("base")), 12).alias("delta"))
 
 
 def overgeneralisation(selection: DataFrame, docs: DataFrame, n_queries: DataFrame) -> DataFrame:
@@ -129,8 +131,9 @@ def margins(scored: DataFrame, k: int) -> DataFrame:
 
 def outranked(scored: DataFrame) -> DataFrame:
     """(qid, ord, fraction): the part of a query's clean passages each injected one outranks."""
-    order = Window.partitionBy("qid").orderBy("score")
-    below = F.coalesce(F.sum(F.when(F.col("is_poison"), 0).otherwise(1)).over(order.rangeBetween(Window.unboundedPreceding, -1e-9)), F.lit(0))
+    one = F.when(F.col("is_poison"), 0).otherwise(1)
+    upto = F.sum(one).over(Window.partitionBy("qid").orderBy("score").rangeBetween(Window.unboundedPreceding, 0))
+    below = upto - F.sum(one).over(Window.partitionBy("qid", "score"))
     clean = F.sum(F.when(F.col("is_poison"), 0).otherwise(1)).over(Window.partitionBy("qid"))
     rows = scored.withColumn("below", below).withColumn("clean", clean).filter("is_poison")
     return rows.select("qid", "ord", F.round(F.col("below") / F.col("clean"), 9).alias("fraction"))

@@ -8,10 +8,11 @@ sequential rule over those few rows and run as one grouped function for the whol
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,21 +109,25 @@ TRACE = ("skipped", "repaired", "exhausted", "fallback", "drift_group", "drift_s
 def stance_budget(candidates: DataFrame, keys: list[str], k: int, epsilon: float, mode: str = "both", fixed: bool = False) -> DataFrame:
     """(keys, rnk, ord, score, and the trace columns): the stance modes over each key's few rows."""
     ship(candidates.sparkSession)
-    rows = candidates.select(*keys, "ord", "grp", "stance", "score")
+    own = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "ord", "grp", F.col("stance").cast("int").alias("stance"))))
+    rows = candidates.groupBy(*keys).agg(own.alias("rows"))  # at most fetch_size(k) rows a key
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        # the order of arrival is not defined; positions follow the corpus
-        part = part.sort_values(["score", "ord"], ascending=[False, True], kind="stable")
-        groups = [None if g is None or g != g else g for g in part["grp"]]
-        picked, trace = constrained(part["ord"].tolist(), groups, part["stance"].astype(int).tolist(), part["score"].tolist(), k, epsilon, mode, fixed)
-        out = part.iloc[picked][[*keys, "ord", "score"]].reset_index(drop=True)
-        out["rnk"] = np.arange(1, len(out) + 1)
-        for name in TRACE:
-            out[name] = trace[name]
-        return out[[*keys, "rnk", "ord", "score", *TRACE]]
-
-    return rows.groupBy(*keys).applyInPandas(one, f"{kinds}, rnk int, ord long, score double, " + ", ".join(f"{t} double" for t in TRACE))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, columns = [], [[] for _ in range(3 + len(TRACE))]
+            for at, own in enumerate(batch.column(len(keys)).to_pylist()):
+                scores = [-r["down"] for r in own]
+                picked, trace = constrained([r["ord"] for r in own], [r["grp"] for r in own], [r["stance"] or 0 for r in own], scores, k, epsilon, mode, fixed)
+                for place, i in enumerate(picked, 1):
+                    of.append(at)
+                    for column, value in zip(columns, (place, own[i]["ord"], scores[i], *(trace[t] for t in TRACE)), strict=True):
+                        column.append(value)
+            take = pa.array(of, pa.int64())
+            arrays = [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[2:]]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(take) for i in range(len(keys))], *arrays], names=[*keys, "rnk", "ord", "score", *TRACE])
+
+    return rows.mapInArrow(run, f"{kinds}, rnk int, ord long, score double, " + ", ".join(f"{t} double" for t in TRACE))
 
 
 def variants(queries: DataFrame, n: int = 5) -> DataFrame:
