@@ -24,7 +24,7 @@ SALTS = 16
 
 def score_bin(score: Column) -> Column:
     """A bin number that never decreases with the score; zero has its own bin."""
-    size = F.floor((F.log2(F.abs(score)) + 1080) * BINS_PER_DOUBLING).cast("int") + 1
+    size = F.floor((F.least(F.log2(F.abs(score)), F.lit(1100.0)) + 1080) * BINS_PER_DOUBLING).cast("int") + 1
     return F.when(score == 0, F.lit(0)).when(score > 0, size).otherwise(-size)
 
 
