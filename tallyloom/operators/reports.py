@@ -22,7 +22,7 @@ def same_cell(wanted: dict[str, object]) -> Column:
 def pivot_report(df: DataFrame, keys: list[str], by: str, levels: list[str], value: str) -> DataFrame:
     """Mean of ``value`` per key, one column per level of ``by``; the levels are given, so no extra
     pass over the data finds them."""
-    columns = [F.round(F.avg(F.when(F.col(by) == level, F.col(value))), 6).alias(level) for level in levels]
+    columns = [F.round(F.avg(F.when(F.col(by) == level, F.col(value))), 12).alias(level) for level in levels]
     return df.groupBy(*keys).agg(*columns)
 
 
@@ -33,7 +33,7 @@ def against_baseline(df: DataFrame, keys: list[str], column: str, base: str, val
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return df.join(renamed, on, "left").withColumn("delta", F.round(F.col(value) - F.col("__base"), 6)).drop("__base", *[f"__{k}" for k in keys])
+    return df.join(renamed, on, "left").withColumn("delta", F.round(F.col(value) - F.col("__base"), 12)).drop("__base", *[f"__{k}" for k in keys])
 
 
 def close_values(df: DataFrame, column: str, series: DataFrame, tolerance: float = 5e-4) -> DataFrame:

@@ -96,7 +96,7 @@ def monitor_scores(rows: DataFrame, keys: list[str], gap: str) -> DataFrame:
 def spread(rows: DataFrame, keys: list[str], level: str, value: str) -> DataFrame:
     """(keys, levels, spread): largest minus smallest mean of ``value`` over levels rounded to 0.1."""
     means = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.round(level, 1).alias("level")).agg(F.avg(value).alias("m"))
-    return means.groupBy(*keys).agg(F.count(F.lit(1)).alias("levels"), F.round(F.max("m") - F.min("m"), 6).alias("spread"))
+    return means.groupBy(*keys).agg(F.count(F.lit(1)).alias("levels"), F.round(F.max("m") - F.min("m"), 12).alias("spread"))
 
 
 def verdict(difference: Column) -> Column:
@@ -113,7 +113,7 @@ def largest_changes(left: DataFrame, right: DataFrame, keys: list[str], metrics:
     for s in same[1:]:
         on = on & s
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.abs(F.col(f"a.{m}") - F.col(f"b.{m}")).alias("d")) for m in metrics])).alias("p")
-    return a.join(b, on).select(pairs).groupBy("p.metric").agg(F.count("p.d").alias("n"), F.round(F.max("p.d"), 9).alias("worst"))
+    return a.join(b, on).select(pairs).groupBy("p.metric").agg(F.count("p.d").alias("n"), F.round(F.max("p.d"), 12).alias("worst"))
 
 
 def agreement(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFrame:
@@ -132,4 +132,4 @@ def two_sample(values: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     ends = means.agg(F.sort_array(F.collect_list("m")).alias("ms"))  # one number per draw
     low, high = int(0.025 * draws), int(0.975 * draws)
     own = values.agg(F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b"), (F.avg(F.when(F.col("side") == "b", F.col("value"))) - F.avg(F.when(F.col("side") == "a", F.col("value")))).alias("d"))
-    return own.crossJoin(F.broadcast(ends)).select("n_a", "n_b", F.round("d", 9).alias("difference"), F.round(F.element_at("ms", low + 1), 9).alias("low"), F.round(F.element_at("ms", high + 1), 9).alias("high"))
+    return own.crossJoin(F.broadcast(ends)).select("n_a", "n_b", F.round("d", 9).alias("difference"), F.round(F.try_element_at("ms", F.lit(low + 1)), 9).alias("low"), F.round(F.try_element_at("ms", F.lit(high + 1)), 9).alias("high"))

@@ -204,11 +204,11 @@ select stratum, attack, round(avg(abs(x - 0.5)), 12) as off_half, round(max(abs(
     "paired_monitor": f"""{DIFF}, gg as (select round(abs(attacked - clean), 9) as x, 1 as y from byq where attacked is not null and clean is not null union all select 0.0, 0 from byq where attacked is not null and clean is not null),
 r as (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rk from gg)
 select 'paired' as monitor, sum(y)::bigint as n_pos, sum(1 - y)::bigint as n_neg, round((sum(case when y = 1 then rk end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 9) as auc from r having count(*) > 0""",
-    "level_spread": f"with {PQ} select stratum, count(*) as levels, round(max(m) - min(m), 6) as spread from (select stratum, round(poison_share, 1) as l, avg(stance_gap) as m from pq where stance_gap is not null group by 1, 2) group by 1",
+    "level_spread": f"with {PQ} select stratum, count(*) as levels, round(max(m) - min(m), 12) as spread from (select stratum, round(poison_share, 1) as l, avg(stance_gap) as m from pq where stance_gap is not null group by 1, 2) group by 1",
     "inertness": "with c as (select run_tag, attack, poison_rate, retriever, backbone, stratum, defense, " + ", ".join(f"avg(case when cast({m} as varchar) <> 'nan' then {m} end) as {m}" for m in METRICS) + """ from by_stratum where defense in ('vanilla', 'repr_group') group by 1, 2, 3, 4, 5, 6, 7),
 p as (select """ + ", ".join(f"abs(a.{m} - b.{m}) as {m}" for m in METRICS) + """ from c a join c b on a.defense = 'vanilla' and b.defense = 'repr_group' and a.run_tag is not distinct from b.run_tag and a.attack is not distinct from b.attack and a.poison_rate is not distinct from b.poison_rate
 and a.retriever is not distinct from b.retriever and a.backbone is not distinct from b.backbone and a.stratum is not distinct from b.stratum),
-u as (""" + " union all ".join(f"select '{m}' as metric, count({m}) as n, round(max({m}), 9) as worst from p" for m in METRICS) + """)
+u as (""" + " union all ".join(f"select '{m}' as metric, count({m}) as n, round(max({m}), 12) as worst from p" for m in METRICS) + """)
 select *, case when worst <= 0.15 then 'same' when worst <= 0.3 then 'similar' else 'different' end as verdict from u""",
     "counter_draws": f"select qid, h, {mixed('h')} as m from (select qid, {fnv(chr(99) + 'oncat_ws(' + repr(':') + ', 1, qid, qord)')} as h from queries)",
     "limited_answers": f"with {ANS} select cond, qid, answer_id from (select cond, qid, answer_id, row_number() over (partition by cond, qid order by answer_id) as p from a) where p <= 2",
@@ -224,10 +224,10 @@ t as (select answer_id, grp, max(case when side = 'fav' then p end) - max(case w
     "context_sensitivity": f"""with {ANS}, x as (select generator, qid, cond, coalesce(list_sort(list(distinct answer) filter (where answer is not null)), []) as l from a group by 1, 2, 3)
 select c.cond, count(*) as n, sum(case when c.l <> b.l then 1 else 0 end)::bigint as n_changed from x c join x b on b.cond = 'clean' and b.generator = c.generator and b.qid = c.qid where c.cond <> 'clean' group by 1""",
     "identical_answers": f"with {ANS}, x as (select generator, qid, count(distinct cond) as c, count(distinct answer) as l from a group by 1, 2) select generator, count(*) as n, sum(case when l = 1 then 1 else 0 end)::bigint as n_same from x where c >= 2 group by 1",
-    "backbone_pivot": "select attack, defense, " + ", ".join(f"round(avg(case when retriever = '{r}' and cast(poison_in_topk as varchar) <> 'nan' then poison_in_topk end), 6) as {r}" for r in ("bm25", "dense", "st", "splade", "hybrid")) + " from by_stratum group by 1, 2",
-    "lambda_collapse": f"with {PQ} select defense, round(avg(case when lam is null then poison_in_topk end), 6) as lam_none, " + ", ".join(f"round(avg(case when abs(lam - {x}) < 1e-9 then poison_in_topk end), 6) as lam_{int(x * 100)}" for x in LAMBDAS) + " from pq join cells using (cell_id) group by 1",
-    "baseline_delta": """with t as (select retriever, stratum, defense, round(avg(case when cast(stance_gap as varchar) <> 'nan' then stance_gap end), 6) as gap from by_stratum group by 1, 2, 3)
-select t.*, round(t.gap - b.gap, 6) as delta from t left join t b on b.defense = 'vanilla' and b.retriever is not distinct from t.retriever and b.stratum is not distinct from t.stratum""",
+    "backbone_pivot": "select attack, defense, " + ", ".join(f"round(avg(case when retriever = '{r}' and cast(poison_in_topk as varchar) <> 'nan' then poison_in_topk end), 12) as {r}" for r in ("bm25", "dense", "st", "splade", "hybrid")) + " from by_stratum group by 1, 2",
+    "lambda_collapse": f"with {PQ} select defense, round(avg(case when lam is null then poison_in_topk end), 12) as lam_none, " + ", ".join(f"round(avg(case when abs(lam - {x}) < 1e-9 then poison_in_topk end), 12) as lam_{int(x * 100)}" for x in LAMBDAS) + " from pq join cells using (cell_id) group by 1",
+    "baseline_delta": """with t as (select retriever, stratum, defense, round(avg(case when cast(stance_gap as varchar) <> 'nan' then stance_gap end), 12) as gap from by_stratum group by 1, 2, 3)
+select t.*, round(t.gap - b.gap, 12) as delta from t left join t b on b.defense = 'vanilla' and b.retriever is not distinct from t.retriever and b.stratum is not distinct from t.stratum""",
     "cell_lookup": "select retriever, defense, count(*) as n from by_stratum where attack = 'template' and backbone is null and abs(poison_rate - 0.02) < 1e-9 group by 1, 2",
     "number_provenance": "select run_tag, x, count(*) as n from by_stratum, (values (0.25::double), (1.5), (2.234)) s(x) where mean_score is not null and cast(mean_score as varchar) <> 'nan' and abs(mean_score - x) <= 5e-4 group by 1, 2",
     "attack_success": PERQ + "poison_in_topk, poison_share from pq",

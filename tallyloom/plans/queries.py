@@ -438,7 +438,7 @@ def lambda_collapse(s, d):
 
 
 def baseline_delta(s, d):
-    t = table(s, d, "by_stratum").groupBy("retriever", "stratum", "defense").agg(F.round(F.avg(defined(F.col("stance_gap"))), 6).alias("gap"))
+    t = table(s, d, "by_stratum").groupBy("retriever", "stratum", "defense").agg(F.round(F.avg(defined(F.col("stance_gap"))), 12).alias("gap"))
     return reports.against_baseline(t, ["retriever", "stratum"], "defense", "vanilla", "gap")
 
 
