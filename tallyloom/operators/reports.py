@@ -53,3 +53,41 @@ def phantom_columns(df: DataFrame, claimed: list[str]) -> dict[str, list[str]]:
     """Claimed columns that are missing, and columns that nobody claimed."""
     have = set(df.columns)
     return {"missing": sorted(set(claimed) - have), "unclaimed": sorted(have - set(claimed))}
+
+
+def markdown(df: DataFrame, most: int = 1000) -> str:
+    """A finished report table of at most ``most`` rows as markdown; null is a dash."""
+    rows = df.limit(most).collect()
+    line = lambda cells: "| " + " | ".join("-" if c is None else f"{c:.4f}" if isinstance(c, float) else str(c) for c in cells) + " |"
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
+
+
+def summary(aggregate: DataFrame) -> dict[str, DataFrame]:
+    """The standing views of a grid's means: effect of the attack without a defense, defenses
+    against each other, and the sweep over epsilon."""
+    shown = ["poison_in_topk", "poison_share", "drift_tv", "stance_gap", "n_valid_stance_gap", "mean_score"]
+    order = ["attack", "poison_rate", "retriever", "defense", "epsilon"]
+    return {
+        "attack effect": aggregate.filter(F.col("defense") == "vanilla").select(*order[:3], *shown).orderBy(*order[:3]),
+        "defenses": aggregate.filter(F.coalesce("epsilon", F.lit(0.0)) == 0).select(*order[:4], *shown).orderBy(*order[:4]),
+        "epsilon": aggregate.filter(F.col("epsilon").isNotNull()).select(*order, *shown).orderBy(*order),
+    }
+
+
+def as_json(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, body): the other columns as one JSON object, for figure data."""
+    return df.select(*keys, F.to_json(F.struct(*[c for c in df.columns if c not in keys])).alias("body"))
+
+
+def partial_cells(per_query: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, n_partial, n_balanced): selections with some but not only injected rows, and those
+    of them whose groups are as in the reference."""
+    part = (F.col("poison_share") > 0) & (F.col("poison_share") < 1)
+    return per_query.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(part, 1).otherwise(0)).alias("n_partial"), F.sum(F.when(part & (F.col("drift_tv") < 1e-9), 1).otherwise(0)).alias("n_balanced"))
+
+
+def label_audit(rows: DataFrame, label: str, parts: dict[str, str]) -> DataFrame:
+    """(label, expected, n, n_held): whether a label holds the text that its kind promises."""
+    kind = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
+    named = rows.withColumn("expected", F.col(label).substr(F.lit(1), F.instr(F.col(label), ":") - 1))
+    return named.groupBy("expected").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("client") == kind[F.col("expected")], 1).otherwise(0)).alias("n_held"))

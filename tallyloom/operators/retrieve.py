@@ -53,35 +53,76 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(distinct_tokens(F.col("text"))).alias("term"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+#: Rows of (query, term) up to which they are broadcast; beyond, they are joined by shuffle.
+FEW_TERMS = 200_000
+
+
+def small_side(df: DataFrame, most: int = FEW_TERMS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, which is counted first."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def distinct_texts(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, same): one (qid, text) per distinct text, and (qid, to) from it to all its queries."""
+    texts = queries.groupBy("text").agg(F.min("qid").alias("qid")).select("qid", "text")
+    same = queries.select(F.col("qid").alias("to"), "text").join(texts, "text").select("qid", "to")
+    return texts, same
+
+
+def to_all(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """Results of distinct texts, given to every query with that text."""
+    return rows.join(small_side(same), "qid").drop("qid").withColumnRenamed("to", "qid")
+
+
+def bm25_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(qid, ord, score) of documents that hold a query term.
 
-    The document length rides along with the postings, so no second join on the document is needed;
-    only postings of query terms are aggregated. Queries with equal texts are scored once.
+    Tokens that are no query term are dropped ahead of the only large shuffle, which is by document.
+    Counting, weighting and summing then stay inside its partitions, and so does a top-k's first
+    limit: what leaves them is k rows per query and task.
     """
-    texts = queries.groupBy("text").agg(F.min("qid").alias("qid"))
     wanted = query_terms(texts)
     counted = docs.select("ord", tokens(F.col("text")).alias("ts"))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(F.coalesce("ts", F.array()))).alias("avg_len"))
-    long = counted.select("ord", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    held = long.groupBy("term", "ord").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    few = wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS  # of both sides below, wanted has the most rows
+    mark = F.broadcast if few else lambda x: x
+    terms = mark(wanted.select("term").distinct())
+    long = counted.select("ord", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(terms, "term", "left_semi")
+    held = long.repartition("ord").groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = held.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = wanted.join(weighted.select("term", "ord", part.alias("part")), "term").groupBy("qid", "ord").agg(F.round(F.sum("part"), 9).alias("score"))
-    same = queries.select(F.col("qid").alias("to"), "text").join(texts.select("text", F.col("qid")), "text").select("qid", "to")
-    return scored.join(same, "qid").select(F.col("to").alias("qid"), "ord", "score")
+    weights = wanted.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", idf.alias("idf"), "avg_len")  # stats: one row
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return held.join(mark(weights), "term").groupBy("ord", "qid").agg(F.round(F.sum(part), 9).alias("score")).select("qid", "ord", "score")
 
 
-def with_zeros(scored: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Add documents without a match, score 0, to queries that found fewer than k: the k + found
-    first documents of the corpus are enough for any of them."""
-    found = scored.groupBy("qid").agg(F.count(F.lit(1)).alias("found"))
-    short = queries.select("qid").join(found, "qid", "left").filter(F.coalesce("found", F.lit(0)) < k).select("qid")
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, ord, score) for every query; queries with equal texts are scored once."""
+    texts, same = distinct_texts(queries)
+    return to_all(bm25_texts(docs, texts), same).select("qid", "ord", "score")
+
+
+def top_by_text(docs: DataFrame, queries: DataFrame, k: int, kind: str = "bm25", zeros: bool = False) -> DataFrame:
+    """(qid, rnk, ord, score): top-k of each distinct text, given to all its queries."""
+    texts, same = distinct_texts(queries)
+    scored = bm25_texts(docs, texts) if kind == "bm25" else build_retriever(kind)(docs, texts)
+    top = top_k(scored, ["qid"], k)
+    if zeros:
+        top = with_zeros(top, docs, texts, k)
+    return to_all(top, same).select("qid", "rnk", "ord", "score")
+
+
+def with_zeros(top: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Fill rankings (qid, rnk, ord, score) of fewer than k rows up with documents without a match,
+    score 0, in corpus order. A ranking that short holds all matches of its query, so the first 2k
+    documents of the corpus are enough."""
+    found = top.groupBy("qid").agg(F.count(F.lit(1)).alias("found"))
+    short = queries.select("qid").join(found, "qid", "left").select("qid", F.coalesce("found", F.lit(0)).alias("found")).filter(F.col("found") < k)
     first = docs.select("ord").orderBy("ord").limit(2 * k)
-    zeros = short.crossJoin(F.broadcast(first)).join(scored.select("qid", "ord"), ["qid", "ord"], "left_anti")
-    return scored.unionByName(zeros.select("qid", "ord", F.lit(0.0).alias("score")))
+    zeros = short.crossJoin(F.broadcast(first)).join(top.select("qid", "ord"), ["qid", "ord"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("ord")) + F.col("found")
+    zeros = zeros.withColumn("rnk", place.cast("int")).filter(F.col("rnk") <= k)
+    return top.select("qid", "rnk", "ord", "score").unionByName(zeros.select("qid", "rnk", "ord", F.lit(0.0).alias("score")))
 
 
 def hash_embed(docs: DataFrame, key: str = "ord", width: int = WIDTH) -> DataFrame:

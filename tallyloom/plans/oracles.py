@@ -142,6 +142,14 @@ select lam, round(avg((n + lam * a * a / q) / (sqrt(n) * sqrt(n + 2 * lam * a *
 g as (select lam, ord, a + lam * a - 0.05 * lam * lam * n as val from o, (values {VALUES.replace('(0.0)', '(0.0::double)')}) l(lam)),
 m as (select lam, round(avg(val), 9) as objective from (select *, row_number() over (partition by lam order by val desc, ord) as p from g) where p <= 5 group by 1)
 select lam, objective from m order by objective desc, lam limit 1""",
+    "lambda_sweep": f"""with {VEC}, o as (select ord, v, is_poison, list_inner_product(v, mean) / list_inner_product(mean, mean) as g from v, mean),
+sc as (select lam, qid, o.ord, o.is_poison, round(list_inner_product(qv.v, o.v) + case when is_poison then lam * g * list_inner_product(qv.v, mean) else 0 end, 9) as score from qv, o, mean, (values {VALUES.replace('(0.0)', '(0.0::double)')}) l(lam)),
+t as (select *, row_number() over (partition by lam, qid order by score desc, ord) as rnk from sc)
+select lam, round(avg(case when is_poison then 1.0 else 0.0 end), 9) as poison_share, round(avg(score), 6) as mean_score from t where rnk <= 5 group by 1""",
+    "partial_cells": f"with {PQ} select cell_id, count(*) as n, sum(case when poison_share > 0 and poison_share < 1 then 1 else 0 end)::bigint as n_partial, sum(case when poison_share > 0 and poison_share < 1 and drift_tv < 1e-9 then 1 else 0 end)::bigint as n_balanced from pq group by 1",
+    "label_audit": "select split_part(generator, ':', 1) as expected, count(*) as n, sum(case when (split_part(generator, ':', 1) = 'api' and client = 'ChatClient') or (split_part(generator, ':', 1) = 'local' and client = 'LocalGenerator') then 1 else 0 end)::bigint as n_held from generators group by 1",
+    "figure_data": f"""with {PQ} select cell_id, '{{"n_queries":' || count(*) || ',"n_valid_stance_gap":' || count(stance_gap) || '}}' as body from pq group by 1""",
+    "first_per_stratum": "select stratum, qid from (select stratum, qid, row_number() over (partition by stratum order by qord) as p from queries) where p <= 4",
     "swap_control": f"""with {D}, p as (select *, row_number() over (partition by grp order by ord) - 1 as place from d where grp in ('veteran', 'apprentice')),
 gone as (select ord, place from p where grp = 'veteran' and place < 50), src as (select * from p where grp = 'apprentice'), sz as (select count(*) as n from src),
 al as (select ord, doc_id, grp, stance from d where ord not in (select ord from gone) union all select gone.ord, src.doc_id, src.grp, src.stance from gone, sz, src where src.place = gone.place % sz.n)

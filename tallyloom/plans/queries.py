@@ -104,12 +104,8 @@ def bm25_index_stats(s, d):
     return retrieve.term_stats(docs(s, d))
 
 
-def _ranked(s, d, scored, k=K):
-    return retrieve.top_k(retrieve.with_zeros(scored, docs(s, d), queries(s, d), k), ["qid"], k).select("qid", "rnk", "ord", "score")
-
-
 def bm25_topk(s, d):
-    return _ranked(s, d, retrieve.bm25(docs(s, d), queries(s, d)))
+    return retrieve.top_by_text(docs(s, d), queries(s, d), K, "bm25", zeros=True)
 
 
 def hash_embed(s, d):
@@ -117,12 +113,11 @@ def hash_embed(s, d):
 
 
 def hash_dense_topk(s, d):
-    q = queries(s, d)
-    return retrieve.top_k(retrieve.build_retriever("dense")(docs(s, d), q), ["qid"], K).select("qid", "rnk", "ord", "score")
+    return retrieve.top_by_text(docs(s, d), queries(s, d), K, "dense")
 
 
 def sparse_dot_topk(s, d):
-    return retrieve.top_k(retrieve.build_retriever("splade")(docs(s, d), queries(s, d)), ["qid"], K).select("qid", "rnk", "ord", "score")
+    return retrieve.top_by_text(docs(s, d), queries(s, d), K, "splade")
 
 
 def _vectors(s, d):
@@ -179,6 +174,21 @@ def adaptive_lambda(s, d):
     return attack.best_lambda(sims, lambdas, 5, 0.05)
 
 
+def lambda_sweep(s, d):
+    """How the share of injected rows among the top 5 grows with the push along the mean query."""
+    v = _vectors(s, d)
+    q = _vector_queries(v)
+    parts = []
+    for lam in LAMBDAS:
+        pushed = attack.projected(v, q, lam)
+        top = retrieve.vector_top_k(pushed.select("ord", "v"), q, K).join(pushed.select("ord", "is_poison"), "ord")
+        parts.append(top.agg(F.lit(lam).alias("lam"), F.round(F.avg(F.when(F.col("is_poison"), 1.0).otherwise(0.0)), 9).alias("poison_share"), F.round(F.avg("score"), 6).alias("mean_score")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def swap_control(s, d):
     out = attack.swapped(docs(s, d), "veteran", "apprentice", 50)
     return out.groupBy("grp", "stance").agg(F.count(F.lit(1)).alias("n"), F.sum("ord").alias("ords"), F.countDistinct("doc_id").alias("ids"))
@@ -208,13 +218,11 @@ def select_both_budget(s, d):
 def select_multi_query(s, d):
     n = 5
     q = queries(s, d)
-    texts = q.groupBy("text").agg(F.min("qid").alias("qid"))
+    texts, same = retrieve.distinct_texts(q)
     v = select.variants(texts, n).select(F.concat_ws("#", "qid", "v").alias("qid"), "text")
-    ranked = retrieve.top_k(retrieve.bm25(docs(s, d), v), ["qid"], retrieve.fetch_size(K))
+    ranked = retrieve.top_by_text(docs(s, d), v, retrieve.fetch_size(K))
     ranked = ranked.select(F.split("qid", "#")[0].alias("qid"), F.split("qid", "#")[1].cast("int").alias("v"), "ord", "rnk")
-    best = select.consistency(ranked, n + 1, K)
-    same = q.select(F.col("qid").alias("to"), "text").join(texts, "text").select("qid", "to")
-    return best.join(same, "qid").select(F.col("to").alias("qid"), "rnk", "ord", "score")
+    return retrieve.to_all(select.consistency(ranked, n + 1, K), same).select("qid", "rnk", "ord", "score")
 
 
 def select_manifold(s, d):
@@ -447,6 +455,23 @@ def cell_lookup(s, d):
     return table(s, d, "by_stratum").filter(want).groupBy("retriever", "defense").agg(F.count(F.lit(1)).alias("n"))
 
 
+def partial_cells(s, d):
+    return reports.partial_cells(per_query(s, d), ["cell_id"])
+
+
+def label_audit(s, d):
+    return reports.label_audit(table(s, d, "generators"), "generator", {"api": "ChatClient", "local": "LocalGenerator"})
+
+
+def figure_data(s, d):
+    return reports.as_json(aggregate_cells(s, d).select("cell_id", "n_queries", "n_valid_stance_gap"), ["cell_id"])
+
+
+def first_per_stratum(s, d):
+    """The first four queries of each stratum, as a quick run takes them."""
+    return stats.numbered(queries(s, d), ["stratum"], ["qord"]).filter(F.col("i") < 4).select("stratum", "qid")
+
+
 def number_provenance(s, d):
     t = table(s, d, "by_stratum").select("run_tag", "retriever", defined(F.col("mean_score")).alias("m")).filter("m is not null")
     series = s.createDataFrame([(0.25,), (1.5,), (2.234,)], "x double")
@@ -457,12 +482,13 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize, fnv_hash, strip_filler, align_prefix, prompts, parsed_choices, inverted, bm25_index_stats, bm25_topk, hash_embed, hash_dense_topk, sparse_dot_topk,
-        embedding_topk, poison_budget, injected_passages, corpus_union_ties, subspace_project, projection_usage, adaptive_lambda, swap_control, select_vanilla,
+        embedding_topk, poison_budget, injected_passages, corpus_union_ties, subspace_project, projection_usage, adaptive_lambda, lambda_sweep, swap_control, select_vanilla,
         select_group_budget, select_stance_budget, select_both_budget, select_multi_query, select_manifold, group_profile, corpus_fav_rate, corpus_group_dist,
         aggregate_cells, by_stratum_means, rolled_up, signed_drift, overgeneralisation, poison_margin, outranked_fraction, label_distribution, vector_anisotropy,
         bootstrap_ci, paired_bootstrap, paired_permutation, two_sample_bootstrap, auc_tie_aware, pearson_by_stratum, nearest_rank_p90, replica_batches, monitor_scores,
         paired_monitor, level_spread, inertness, top_agreement, counter_draws, collected_contexts, limited_answers, favourable_rates, strata_means,
         forced_choice_summary, stance_pairs, context_sensitivity, identical_answers, backbone_pivot, lambda_collapse, baseline_delta, cell_lookup, number_provenance,
+        partial_cells, label_audit, figure_data, first_per_stratum,
     )
 } | {
     "drift_tv": _metric("drift_tv"), "drift_js": _metric("drift_js"), "stance_shift": _metric("stance_shift"), "stance_div": _metric("stance_div"),

@@ -73,3 +73,13 @@ def cached(spark: SparkSession, folder: str, config: dict, make) -> DataFrame:
 def merged_config(base: dict, overlay: dict, quick: dict | None = None) -> dict:
     """Defaults, overlaid by a file's values, overlaid by the quick run's."""
     return {**base, **overlay, **(quick or {})}
+
+
+def save_world(world: dict[str, DataFrame], folder: str) -> None:
+    """docs, queries, pool and strata as JSON lines, one folder each."""
+    for name, df in world.items():
+        df.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def load_world(spark: SparkSession, folder: str, schemas: dict[str, str | StructType]) -> dict[str, DataFrame]:
+    return {name: spark.read.schema(schema).json(f"{folder}/{name}") for name, schema in schemas.items()}

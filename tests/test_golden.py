@@ -33,8 +33,7 @@ def world(spark):
     fetched = {}
     for rate in (None, 0.005, 0.02):
         docs = c["docs"] if rate is None else c["docs"].unionByName(spark.createDataFrame(corpus.controlled_poison(rows, rate), corpus.DOCS))
-        scored = retrieve.with_zeros(retrieve.bm25(docs, c["queries"]), docs, c["queries"], 15)
-        fetched[rate] = (docs, retrieve.top_k(scored, ["qid"], 15).join(docs, "ord").withColumn("cell_id", F.lit(1)).drop("rnk").cache())
+        fetched[rate] = (docs, retrieve.top_by_text(docs, c["queries"], 15, zeros=True).join(docs, "ord").withColumn("cell_id", F.lit(1)).drop("rnk").cache())
     return c, fetched
 
 
@@ -55,3 +54,31 @@ def test_published_values(spark, world, cell):
     means = metrics.means(metrics.evaluate(chosen, clean, docs, c["queries"], c["strata"], c["pool"], attacked), ["cell_id"]).first()
     assert tuple(None if means[m] is None else round(means[m], 6) for m in metrics.METRICS) == pytest.approx(GOLDEN[cell], abs=1.1e-6)
     assert means["n_valid_stance_gap"] <= means["n_queries"] == 48
+
+
+def test_grid_runs_as_one_plan(spark, world):
+    from tallyloom.operators import reports
+    from tallyloom.plans import sweep
+
+    c, _ = world
+    out = sweep.run(spark, c, {"rates": [0.005], "retrievers": ["bm25"], "epsilons": [0.0, 1.0]})
+    assert out["cells"].count() == 2 * (1 + 3 * 2)
+    rows = {(r.attack, r.defense, r.epsilon): r for r in out["aggregate"].collect()}
+    assert len(rows) == 14 and all(r.n_queries == 48 for r in rows.values())
+    for key in ((None, "vanilla", None), (None, "repr_group", 0.0), (None, "repr_both", 1.0), (None, "repr_both", 0.0)):
+        got = rows["clean", key[1], key[2]]
+        assert tuple(None if got[m] is None else round(got[m], 6) for m in metrics.METRICS) == pytest.approx(GOLDEN[key], abs=1.1e-6)
+    assert rows["template", "vanilla", None].poison_share > 0.3
+    assert out["by_stratum"].count() == 14 * 4
+    views = reports.summary(out["aggregate"])
+    assert reports.markdown(views["attack effect"]).count("\n") == 3
+    assert reports.as_json(out["aggregate"], ["attack"]).first().body.startswith("{")
+
+
+def test_world_round_trip(spark, world, tmp_path):
+    from tallyloom.sources import files
+
+    c, _ = world
+    files.save_world(c, str(tmp_path))
+    back = files.load_world(spark, str(tmp_path), {n: df.schema for n, df in c.items()})
+    assert all(sorted(back[n].collect(), key=str) == sorted(df.collect(), key=str) for n, df in c.items())

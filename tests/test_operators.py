@@ -50,8 +50,7 @@ def small(spark):
 def test_ties_and_zero_scores(spark):
     docs = small(spark)
     q = spark.createDataFrame([("q1", "apple"), ("q2", "nothing here"), ("q3", "APPLE")], "qid string, text string")
-    scored = retrieve.with_zeros(retrieve.bm25(docs, q), docs, q, 3)
-    got = {(r.qid, r.rnk): r.ord for r in retrieve.top_k(scored, ["qid"], 3).collect()}
+    got = {(r.qid, r.rnk): r.ord for r in retrieve.top_by_text(docs, q, 3, zeros=True).collect()}
     assert [got["q1", i] for i in (1, 2, 3)] == [3, 7, 9]
     assert [got["q3", i] for i in (1, 2, 3)] == [3, 7, 9]
     assert [got["q2", i] for i in (1, 2, 3)] == [3, 7, 9]
