@@ -136,6 +136,13 @@ def hash_embed(docs: DataFrame, key: str = "ord", width: int = WIDTH) -> DataFra
     return cells.select(key, "idx", (F.col("v") / norm).alias("w"))
 
 
+def to_dense(rows: DataFrame, cells: DataFrame, key: str = "ord", width: int = WIDTH) -> DataFrame:
+    """(key, v) for every row of ``rows``: the sparse (key, idx, w) as arrays, zeros without cells."""
+    maps = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)))
+    return rows.select(key).join(maps, key, "left").select(key, filled.alias("v"))
+
+
 def sparse_scores(doc_vectors: DataFrame, query_vectors: DataFrame, term: str = "idx") -> DataFrame:
     """(qid, ord, score): dot products of sparse vectors (ord, term, w) and (qid, term, w)."""
     q = query_vectors.select("qid", term, F.col("w").alias("wq"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import metrics, retrieve, select
+from tallyloom.operators import attack, metrics, retrieve, select
 from tallyloom.sources import corpus
 
 N = None
@@ -56,6 +56,48 @@ def test_published_values(spark, world, cell):
     assert means["n_valid_stance_gap"] <= means["n_queries"] == 48
 
 
+#: (rule, lambda): drift_tv, drift_js, stance_shift, stance_gap, poison_in_topk, poison_share,
+#: in_pool_rate, mean_score and usage of the hashed vectors at rate 0.005.
+PUSHED = {
+    ("manifold", 0.0): (0.2625, 0.182335, 0.5, 0.6, 0.25, 0.225, 0.054167, -1.987133, 1.0),
+    ("manifold", 1.0): (0.23125, 0.138916, 0.5, 0.916667, 0.9375, 0.9375, 0.0, -8.534385, 0.945284),
+    ("repr_both", 0.0): (0.15, 0.140162, 0.472222, 0.375, 0.625, 0.525, 0.016667, 0.518121, 1.0),
+    ("repr_both", 0.25): (0.235417, 0.238847, 0.5, 0.4, 0.875, 0.7875, 0.0, 0.574797, 0.993849),
+    ("repr_both", 1.0): (0.28125, 0.370839, 0.5, 0.75, 1.0, 0.9875, 0.0, 0.839238, 0.945284),
+    ("repr_both", 4.0): (0.26875, 0.39797, 0.5, N, 1.0, 1.0, 0.0, 2.016556, 0.809116),
+}
+
+
+@pytest.fixture(scope="module")
+def pushed(spark, world):
+    c, fetched = world
+    docs = fetched[0.005][0]
+    vectors = lambda df, key: retrieve.to_dense(df, retrieve.hash_embed(df, key), key)
+    q = vectors(c["queries"], "qid").cache()
+    v = vectors(docs, "ord").join(docs.select("ord", "is_poison"), "ord").cache()
+    clean = v.filter("not is_poison")
+    base = retrieve.vector_top_k(clean.select("ord", "v"), q, 5).join(docs, "ord").withColumn("cell_id", F.lit(1)).cache()
+    return c, docs, q, v, base, select.manifold(clean)
+
+
+@pytest.mark.parametrize("cell", PUSHED, ids=str)
+def test_published_values_of_pushed_vectors(spark, pushed, cell):
+    rule, lam = cell
+    c, docs, q, v, base, model = pushed
+    moved = attack.projected(v, q, lam)
+    keys = ["cell_id", "qid"]
+    fetched = retrieve.vector_top_k(moved.select("ord", "v"), q, 15).join(docs, "ord").withColumn("cell_id", F.lit(1)).drop("rnk")
+    if rule == "manifold":  # the penalty looks at the texts' own vectors, not at the pushed ones
+        chosen = select.penalised(fetched.join(v.select("ord", "v"), "ord"), keys, 5, model)
+    else:
+        chosen = select.stance_budget(fetched, keys, 5, 0.25, "both").join(docs, "ord")
+    per_query = metrics.evaluate(chosen, base, docs, c["queries"], c["strata"], c["pool"], spark.createDataFrame([(1,)], "cell_id int"))
+    r = metrics.means(per_query, ["cell_id"]).first()
+    used = attack.usage(v.filter("is_poison"), moved.filter("is_poison")).first()[0]
+    got = (*[r[m] for m in ("drift_tv", "drift_js", "stance_shift", "stance_gap", "poison_in_topk", "poison_share", "in_pool_rate", "mean_score")], used)
+    assert tuple(None if x is None else round(x, 6) for x in got) == pytest.approx(PUSHED[cell], abs=1.1e-6)
+
+
 def test_grid_runs_as_one_plan(spark, world):
     from tallyloom.operators import reports
     from tallyloom.plans import sweep
