@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import counter_random
 from ..functions.text import align_words, strip_filler
+from .ranks import place
 from .retrieve import dot
 
 
@@ -28,12 +29,11 @@ def injected(docs: DataFrame, strata: DataFrame, n: int, seed: int = 0, strength
     to alignment words, all of them or, graded, a growing number. Groups without passages have none.
     """
     groups = strata.select("stratum", F.col("gpos").alias("side"), "grp")
-    order = Window.partitionBy("grp").orderBy("ord")
     pool = docs.filter(F.col("grp").isNotNull() & F.col("text").isNotNull() & ~F.col("is_poison")).select("grp", "ord", "text")
     sizes = pool.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     wanted = groups.join(sizes, "grp").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).filter(F.col("i") % 2 == F.col("side"))
     wanted = wanted.withColumn("pick", (counter_random(F.lit(seed), F.col("stratum"), F.col("i")) % F.col("size") + 1).cast("int"))
-    drawn = wanted.join(pool.withColumn("pick", F.row_number().over(order)), ["grp", "pick"])
+    drawn = wanted.join(place(pool, ["grp"], "ord", "pick"), ["grp", "pick"])
     words = align_words(F.col("i"), F.lit(n), strength) if graded else align_words(F.lit(1), F.lit(1), 1.0)
     return drawn.select(
         "stratum", "i", F.format_string("POISON-%s-%04d", "stratum", "i").alias("doc_id"), F.concat_ws(" ", strip_filler(F.col("text")), words).alias("text"),
@@ -45,8 +45,10 @@ def appended(clean: DataFrame, poison: DataFrame) -> DataFrame:
     """The clean corpus followed by the injected passages, so that clean wins ties: their ``ord``
     follows the largest clean one in the order of (stratum, i)."""
     last = clean.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
-    place = F.row_number().over(Window.orderBy("stratum", "i"))  # injected passages are few by definition
-    added = poison.withColumn("place", place).crossJoin(F.broadcast(last)).withColumn("ord", F.col("last") + F.col("place"))
+    sizes = poison.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))  # a row per stratum
+    earlier = Window.partitionBy(F.lit(0)).orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("stratum", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    added = place(poison, ["stratum"], "i").join(starts, "stratum").crossJoin(F.broadcast(last)).withColumn("ord", F.col("last") + F.col("start") + F.col("place"))
     columns = ["ord", "doc_id", "text", "grp", "stance", "is_poison"]
     return clean.select(*columns).unionByName(added.select(*columns))
 
@@ -97,8 +99,7 @@ def best_lambda(sims: DataFrame, lambdas: DataFrame, r: int, beta: float = 1.0)
 def swapped(docs: DataFrame, drop: str, copy: str, n: int) -> DataFrame:
     """The composition control: the first n passages of one group give way to n copies, in turn, of
     another's; the corpus keeps its size. ``n`` is clipped to the dropped group's size."""
-    order = Window.partitionBy("grp").orderBy("ord")
-    placed = docs.filter(F.col("grp").isin(drop, copy)).withColumn("place", F.row_number().over(order) - 1)
+    placed = place(docs.filter(F.col("grp").isin(drop, copy)), ["grp"], "ord").withColumn("place", F.col("place") - 1)
     gone = placed.filter((F.col("grp") == drop) & (F.col("place") < n)).select(F.col("ord").alias("gone"), F.col("place").alias("slot"))
     kept = docs.join(gone, docs["ord"] == gone["gone"], "left_anti")
     source = placed.filter(F.col("grp") == copy)

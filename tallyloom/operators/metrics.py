@@ -130,12 +130,12 @@ def margins(scored: DataFrame, k: int) -> DataFrame:
 
 
 def outranked(scored: DataFrame) -> DataFrame:
-    """(qid, ord, fraction): the part of a query's clean passages each injected one outranks."""
-    one = F.when(F.col("is_poison"), 0).otherwise(1)
-    upto = F.sum(one).over(Window.partitionBy("qid").orderBy("score").rangeBetween(Window.unboundedPreceding, 0))
-    below = upto - F.sum(one).over(Window.partitionBy("qid", "score"))
-    clean = F.sum(F.when(F.col("is_poison"), 0).otherwise(1)).over(Window.partitionBy("qid"))
-    rows = scored.withColumn("below", below).withColumn("clean", clean).filter("is_poison")
+    """(qid, ord, fraction): the part of a query's clean passages each injected one outranks. Running
+    sums are over distinct scores, whose counts are combined map-side."""
+    counts = scored.groupBy("qid", "score").agg(F.sum(F.when(F.col("is_poison"), 0).otherwise(1)).alias("c"))
+    lower = Window.partitionBy("qid").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = counts.select("qid", "score", F.coalesce(F.sum("c").over(lower), F.lit(0)).alias("below"), F.sum("c").over(Window.partitionBy("qid")).alias("clean"))
+    rows = scored.filter("is_poison").join(below, ["qid", "score"])
     return rows.select("qid", "ord", F.round(F.col("below") / F.col("clean"), 9).alias("fraction"))
 
 

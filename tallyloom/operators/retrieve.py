@@ -170,8 +170,9 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 51
     Null vectors are left out.
     """
     ship(vectors.sparkSession)
+    n = max(1, -(-queries.count() // block))
     left = vectors.filter(F.col("v").isNotNull()).select(F.floor(F.col("ord") / block).alias("lb"), F.struct("ord", F.col("v").cast("array<double>").alias("v")).alias("r")).groupBy("lb").agg(F.collect_list("r").alias("ls"))
-    right = queries.filter(F.col("v").isNotNull()).select(F.pmod(F.xxhash64("qid"), F.lit(64)).alias("rb"), F.struct("qid", F.col("v").cast("array<double>").alias("v")).alias("r")).groupBy("rb").agg(F.collect_list("r").alias("rs"))
+    right = queries.filter(F.col("v").isNotNull()).select(F.pmod(F.xxhash64("qid"), F.lit(n)).alias("rb"), F.struct("qid", F.col("v").cast("array<double>").alias("v")).alias("r")).groupBy("rb").agg(F.collect_list("r").alias("rs"))
     kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, ord {vectors.schema['ord'].dataType.simpleString()}, score double"
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

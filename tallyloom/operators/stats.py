@@ -72,10 +72,11 @@ def pearson(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
     """(keys, n, value): the value at position min(n - 1, floor(p n)) in ascending order."""
-    kept = rows.filter(F.col(value).isNotNull())
-    own = Window.partitionBy(*keys)
-    placed = kept.withColumn("i", F.row_number().over(own.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(own))
-    return placed.filter(F.col("i") == F.least(F.col("n") - 1, F.floor(p * F.col("n")))).select(*keys, "n", F.col(value).alias("value"))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(value))
+    placed = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    at = F.least(F.col("n") - 1, F.floor(p * F.col("n")))
+    return placed.filter((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(*keys, "n", F.col(value).alias("value"))
 
 
 def batches(per_query: DataFrame, keys: list[str], order: str, parts: int = 12, least: int = 3) -> DataFrame:
@@ -89,8 +90,9 @@ def batches(per_query: DataFrame, keys: list[str], order: str, parts: int = 12,
 
 def monitor_scores(rows: DataFrame, keys: list[str], gap: str) -> DataFrame:
     """Adds off_half = |gap - 0.5| and deviation = |gap - mean of the key|."""
-    mean = F.avg(gap).over(Window.partitionBy(*keys))
-    return rows.withColumn("off_half", F.abs(F.col(gap) - 0.5)).withColumn("deviation", F.abs(F.col(gap) - mean))
+    means = rows.groupBy(*keys).agg(F.avg(gap).alias("__mean"))
+    out = rows.join(means, keys).withColumn("off_half", F.abs(F.col(gap) - 0.5))
+    return out.withColumn("deviation", F.abs(F.col(gap) - F.col("__mean"))).drop("__mean")
 
 
 def spread(rows: DataFrame, keys: list[str], level: str, value: str) -> DataFrame:

@@ -171,7 +171,7 @@ def question_records(spark: SparkSession, folder: str, most: int = 4000, least:
         strata += [(stratum, 0, first), (stratum, 1, second)]
         label = lambda c, a=first_labels, b=second_labels, x=first, y=second: F.when(F.arrays_overlap(c, F.array(*[F.lit(t) for t in a])), x).when(F.arrays_overlap(c, F.array(*[F.lit(t) for t in b])), y)
         rows = spark.read.schema(RECORD).json(path).withColumn("line", F.monotonically_increasing_id())
-        rows = rows.withColumn("nth", F.row_number().over(Window.orderBy("line"))).filter(F.col("nth") <= most)  # a file of a few thousand lines
+        rows = rows.orderBy("line").limit(most).withColumn("nth", F.row_number().over(Window.orderBy("line")))  # at most ``most`` rows
         rows = rows.withColumn("target", label(F.col("additional_metadata.stereotyped_groups"))).filter(F.col("target").isNotNull())
         answers = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"ans{i}").alias("said"), F.col(f"answer_info.ans{i}").alias("info")) for i in range(3)])).alias("a")
         rows = rows.select("nth", "context", "question", "question_polarity", "target", answers)

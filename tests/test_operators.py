@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import numbers, text
-from tallyloom.operators import attack, generation, metrics, reports, retrieve, select, stats
+from tallyloom.operators import attack, generation, metrics, ranks, reports, retrieve, select, stats
 from tallyloom.sources import corpus, files
 
 DOCS = "ord long, doc_id string, text string, grp string, stance int, is_poison boolean"
@@ -101,6 +101,15 @@ def test_swap_keeps_size(spark):
     assert sorted(r.doc_id for r in out.collect()) == ["d3", "d4", "d4", "d4", "d5", "d5"]
 
 
+def test_places_equal_row_numbers(spark):
+    rng = np.random.default_rng(8)
+    rows = [(["a", "b", None][rng.integers(3)], int(o)) for o in rng.choice(10**6, 700, replace=False)]
+    got = {(r.k, r.o): r.place for r in ranks.place(spark.createDataFrame(rows, "k string, o long"), ["k"], "o", width=5000).collect()}
+    for k in ("a", "b", None):
+        own = sorted(o for g, o in rows if g == k)
+        assert [got[k, o] for o in own] == list(range(1, len(own) + 1))
+
+
 def test_first_favourable_is_passed_over():
     got, trace = select.constrained([1, 2, 3], ["a", "a", "a"], [1, 1, -1], [3.0, 2.0, 1.0], 2, 1.0, "stance")
     assert sorted(got) == [0, 2]
