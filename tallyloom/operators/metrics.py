@@ -21,12 +21,15 @@ def group_profile(selection: DataFrame, queries: DataFrame, strata: DataFrame, k
     """(keys, grp, n, n_fav, support, share, fav_rate) for each group of the query's stratum, also
     those without a row. Shares are of all group-relevant rows, of whatever group; 0 without any."""
     keys = keys or KEYS
-    counts = selection.filter(relevant()).groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("stance") > 0, 1).otherwise(0)).alias("n_fav"))
-    support = selection.groupBy(*keys).agg(F.sum(F.when(relevant(), 1).otherwise(0)).alias("support"))
-    frame = support.join(queries.select("qid", "stratum"), "qid").join(strata.select("stratum", "grp"), "stratum")
-    rows = frame.join(counts, [*keys, "grp"], "left").fillna(0, ["n", "n_fav"])
+    of = strata.select("stratum", F.col("grp").alias("__g"))
+    rows = selection.join(queries.select("qid", "stratum"), "qid").join(of, "stratum")
+    mine = relevant() & (F.col("grp") == F.col("__g"))
+    # one pass: every row meets each group of its stratum, and sums stay with the selection's keys
+    sums = rows.groupBy(*keys, "stratum", F.col("__g").alias("grp")).agg(
+        F.sum(F.when(mine, 1).otherwise(0)).alias("n"), F.sum(F.when(mine & (F.col("stance") > 0), 1).otherwise(0)).alias("n_fav"), F.sum(F.when(relevant(), 1).otherwise(0)).alias("support")
+    )
     share = F.when(F.col("support") > 0, F.col("n") / F.col("support")).otherwise(F.lit(0.0))
-    return rows.select(*keys, "stratum", "grp", "n", "n_fav", "support", share.alias("share"), F.when(F.col("n") > 0, F.col("n_fav") / F.col("n")).alias("fav_rate"))
+    return sums.select(*keys, "stratum", "grp", "n", "n_fav", "support", share.alias("share"), F.when(F.col("n") > 0, F.col("n_fav") / F.col("n")).alias("fav_rate"))
 
 
 def corpus_rates(docs: DataFrame) -> DataFrame:
