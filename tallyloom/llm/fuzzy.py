@@ -37,7 +37,17 @@ FILTER_BITS = 1 << 24
 GOLAY = 0b110001110101
 SEED = 20260101
 
-words_of = re.compile(r"[^\W_]+").findall
+#: Rows of keys that a join task should hold.
+ROWS_A_TASK = 1_000_000
+
+_words = re.compile(r"[^\W_]+").findall
+_spaces = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits; plain ASCII texts take a faster way to the same."""
+    return text.translate(_spaces).split() if text.isascii() else _words(text)
+
 
 
 def _remainder(value: int) -> int:
@@ -69,7 +79,7 @@ def nearest(code: Golay, margins: np.ndarray, keep: int, flips: int = FLIPS) ->
     codewords cost infinity.
     """
     size = np.abs(margins)
-    word = ((margins > 0) @ (1 << np.arange(23, dtype=np.int64))).astype(np.int32)
+    word = ((margins > 0).astype(np.float32) @ (2.0 ** np.arange(23)).astype(np.float32)).astype(np.int32)  # below 2^24: exact
     weak = (1 << np.argpartition(size, flips, axis=1)[:, :flips]).astype(np.int32)
     tries = np.zeros((len(word), 1 << flips), dtype=np.int32)
     for i in range(flips):
@@ -78,18 +88,17 @@ def nearest(code: Golay, margins: np.ndarray, keep: int, flips: int = FLIPS) ->
     differs = np.ascontiguousarray(found ^ word[:, None]).view(np.uint8).reshape(len(word), -1, 4)
     bits = np.unpackbits(differs, axis=2, count=23, bitorder="little")
     cost = np.matmul(bits.astype(np.float32), size[:, :, None].astype(np.float32))[:, :, 0]
-    order = np.argsort(cost, axis=1, kind="stable")
+    order = np.argsort(cost, axis=1)
     found, cost = np.take_along_axis(found, order, 1), np.take_along_axis(cost, order, 1)
-    fresh = np.ones(found.shape, dtype=bool)
-    fresh[:, 1:] = found[:, 1:] != found[:, :-1]
-    place = np.where(fresh, np.cumsum(fresh, axis=1) - 1, keep)
-    index = np.zeros((len(word), keep + 1), dtype=np.int64)
-    costs = np.full((len(word), keep + 1), np.inf, dtype=np.float32)
-    place = np.minimum(place, keep)
-    rows = np.arange(len(word))[:, None]
-    index[rows, place] = found >> 11
-    costs[rows, place] = cost
-    return index[:, :keep], costs[:, :keep]
+    # equal codewords have equal costs and stand side by side: take the first of each
+    place = np.tile(np.arange(1 << flips, dtype=np.int8), (len(word), 1))
+    place[:, 1:][found[:, 1:] == found[:, :-1]] = 127
+    place = np.sort(place, axis=1)[:, :keep]
+    missing = place == 127
+    place[missing] = 0
+    index, costs = np.take_along_axis(found, place, 1) >> 11, np.take_along_axis(cost, place, 1)
+    costs[missing] = np.inf
+    return index.astype(np.int64), costs
 
 
 class Fingerprints:
@@ -131,7 +140,10 @@ class Fingerprints:
         once: list[int] = []
         sizes, distinct, which = [], [], []
         for i, text in enumerate(texts):
-            found = [n if (n := get(w)) is not None else add(w) for w in words_of(text.lower())]
+            words = words_of(text.lower())
+            found = list(map(get, words))
+            if None in found:
+                found = [n if (n := get(w)) is not None else add(w) for w in words]
             if len(found) > 1:
                 flat += found
                 sizes.append(len(found))
@@ -163,15 +175,19 @@ class Fingerprints:
         features = np.bincount(cell, weights=np.array(self.weights)[word], minlength=n * WIDTH).reshape(n, WIDTH)
         numbers = features.astype(np.float32) @ self.project
 
-        keys = np.zeros((n, BLOCKS * KEYS), dtype=np.int64)
-        used = np.zeros((n, BLOCKS * KEYS), dtype=bool)
-        for b in range(BLOCKS):
-            (ia, ca), (ib, cb) = (nearest(self.code, numbers[:, 23 * s : 23 * s + 23], 3) for s in (2 * b, 2 * b + 1))
-            both = np.concatenate([ia[:, [i]] << 12 | ib for i in range(3)], axis=1)
-            cost = np.concatenate([ca[:, [i]] + cb for i in range(3)], axis=1)
-            best = np.argsort(cost, axis=1, kind="stable")[:, :KEYS]
-            keys[:, b * KEYS : (b + 1) * KEYS] = np.take_along_axis(both, best, 1) | b << 24
-            used[:, b * KEYS : (b + 1) * KEYS] = np.isfinite(np.take_along_axis(cost, best, 1))
+        keys = np.empty((n, BLOCKS, KEYS), dtype=np.int64)
+        used = np.empty((n, BLOCKS, KEYS), dtype=bool)
+        for at in range(0, n, 128):  # as many as stay in the processor's cache
+            part = slice(at, at + 128)
+            index, cost = nearest(self.code, numbers[part].reshape(-1, 23), 3)
+            index, cost = index.reshape(-1, BLOCKS, 2, 3), cost.reshape(-1, BLOCKS, 2, 3)
+            both = (index[:, :, 0, :, None] << 12 | index[:, :, 1, None, :]).reshape(-1, BLOCKS, 9)
+            costs = (cost[:, :, 0, :, None] + cost[:, :, 1, None, :]).reshape(-1, BLOCKS, 9)
+            best = np.argsort(costs, axis=2, kind="stable")[:, :, :KEYS]
+            keys[part] = np.take_along_axis(both, best, 2)
+            used[part] = np.isfinite(np.take_along_axis(costs, best, 2))
+        keys |= (np.arange(BLOCKS) << 24)[None, :, None]
+        keys, used = keys.reshape(n, -1), used.reshape(n, -1)
         packed = keys << 36 | short.astype(np.int64)[:, None]
         every = np.repeat(np.array(which), BLOCKS * KEYS)[used.ravel()]
         return every, packed[used], np.repeat(sketch.view(np.int64), BLOCKS * KEYS)[used.ravel()]
@@ -211,18 +227,21 @@ def _nibbles_differ(x: Column, ones: int) -> Column:
     return F.bit_count(spread.bitwiseAND(F.lit(ones)))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of (id, copy, text) that share a key and enough of their sketches."""
+def candidates(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of (id, copy, text) that share a key and enough of their sketches;
+    ``n_docs`` is about how many documents there are, counted if not given."""
     ship(docs.sparkSession)
     kind = docs.schema["id"].dataType.simpleString()
-    rows = docs.select("id", "copy", "text").mapInArrow(key_rows, f"id {kind}, packed long, sketch long")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.count() if n_docs is None else n_docs) * BLOCKS * KEYS // ROWS_A_TASK)
+    key = F.shiftright("packed", 36)
+    rows = docs.select("id", "copy", "text").mapInArrow(key_rows, f"id {kind}, packed long, sketch long").repartition(tasks, key)
     left = rows.select(F.col("id").alias("a"), F.col("packed").alias("pa"), F.col("sketch").alias("sa"))
     right = rows.select(F.col("id").alias("b"), F.col("packed").alias("pb"), F.col("sketch").alias("sb"))
     ones9, ones16 = 0x111111111, 0x1111111111111111
     differ = _nibbles_differ(F.col("pa").bitwiseXOR(F.col("pb")).bitwiseAND(F.lit((1 << 36) - 1)), ones9) + _nibbles_differ(F.col("sa").bitwiseXOR(F.col("sb")), ones16)
     same = F.shiftright("pa", 36) == F.shiftright("pb", 36)
-    # merge join: both sides read one shuffle, and neither is ever broadcast
-    return left.hint("merge").join(right, same & (F.col("a") < F.col("b")) & (differ <= NIBBLES - ALIKE)).select("a", "b").distinct()
+    # both sides read one shuffle, by key, in as many tasks as keep a side small; neither is broadcast
+    return left.join(right.hint("shuffle_hash"), same & (F.col("a") < F.col("b")) & (differ <= NIBBLES - ALIKE)).select("a", "b").distinct()
 
 
 def similarity(a: str, b: str) -> float:
@@ -304,7 +323,7 @@ def distinct_pairs(df: DataFrame, key: str = "ord", text: str = "text", limit: f
     the smallest id that has it, and the (id, first) rows of the others. Both are written tables."""
     docs = prepared(df, key, text)
     twins = cut(copies(docs))
-    met = candidates(docs)
+    met = candidates(docs, df.count())  # of a parquet table, read from its footers
     for side in ("a", "b"):
         met = met.join(twins.select(F.col("id").alias(side), F.col("first").alias(f"f{side}")), side, "left")
     a, b = F.coalesce("fa", "a"), F.coalesce("fb", "b")
