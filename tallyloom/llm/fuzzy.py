@@ -29,8 +29,11 @@ SIMILARITY = 0.5
 BLOCKS, KEYS, FLIPS = 11, 4, 4
 #: Feature-hashing width ahead of the projection.
 WIDTH = 512
-#: Min-hashes of 4 bits in the two sketch words, and how many of them similar texts share at least.
-NIBBLES, ALIKE = 25, 12
+#: Min-hashes of 4 bits in the four sketch words, and how many of them similar texts share at least:
+#: 4 of 10,000 pairs at the limit share fewer.
+NIBBLES, ALIKE = 57, 18
+#: Columns of the sketch words beside the packed one.
+SKETCH = ("s0", "s1", "s2")
 #: Bits of the filter that keeps texts without candidates out of the check's shuffle.
 FILTER_BITS = 1 << 24
 #: Fixed value: generator polynomial of the binary Golay code.
@@ -130,9 +133,9 @@ class Fingerprints:
         self.weights.append(weight if h >> 40 & 1 else -weight)
         return n
 
-    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, packed key, sketch) of the texts with at least two words. A packed key has
-        the block and 24 bits of codewords above 36 bits of sketch."""
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """(text number, packed key, three words of sketch) of the texts with at least two words. A
+        packed key has the block and 24 bits of codewords above 36 bits of sketch."""
         if len(self.number) > self.REMEMBERED:
             self.forget()
         get, add = self.number.get, self.add
@@ -152,7 +155,7 @@ class Fingerprints:
                 distinct.append(len(found))
                 which.append(i)
         if not which:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return tuple(np.zeros(0, np.int64) for _ in range(5))
         n = len(which)
         size = np.array(sizes)
         ids = np.array(flat)
@@ -163,12 +166,12 @@ class Fingerprints:
         pairs = np.delete(pairs, np.cumsum(size)[:-1] - 1)
         starts = np.concatenate([[0], np.cumsum(size - 1)[:-1]])
         low = [np.minimum.reduceat(pairs * f, starts) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60) for f in self.factors]
-        short, sketch = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        short, long = np.zeros(n, np.uint64), [np.zeros(n, np.uint64) for _ in SKETCH]
         for k, x in enumerate(low):
             if k < 9:
                 short |= x << np.uint64(4 * k)
             else:
-                sketch |= x << np.uint64(4 * (k - 9))
+                long[(k - 9) // 16] |= x << np.uint64(4 * ((k - 9) % 16))
 
         row, word = np.repeat(np.arange(n), distinct), np.array(once)
         cell = row * WIDTH + (hashes[word] % np.uint64(WIDTH)).astype(np.int64)
@@ -189,8 +192,8 @@ class Fingerprints:
         keys |= (np.arange(BLOCKS) << 24)[None, :, None]
         keys, used = keys.reshape(n, -1), used.reshape(n, -1)
         packed = keys << 36 | short.astype(np.int64)[:, None]
-        every = np.repeat(np.array(which), BLOCKS * KEYS)[used.ravel()]
-        return every, packed[used], np.repeat(sketch.view(np.int64), BLOCKS * KEYS)[used.ravel()]
+        every, *long = (np.repeat(x, BLOCKS * KEYS)[used.ravel()] for x in (np.array(which), *[x.view(np.int64) for x in long]))
+        return every, packed[used], *long
 
 
 _worker: list[Fingerprints] = []
@@ -203,7 +206,7 @@ def _fingerprints() -> Fingerprints:
 
 
 def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, copy, text) to (id, packed, sketch); of equal texts only a partition's first has rows."""
+    """(id, copy, text) to (id, packed, s0, s1, s2); of equal texts only a partition's first has rows."""
     maker = _fingerprints()
     seen: set[int] = set()
     for batch in batches:
@@ -217,8 +220,8 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(seen) > 2_000_000:
                 seen.clear()
             take = pa.array(fresh, pa.int64())
-            which, packed, sketch = maker.rows(part.column(2).take(take).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take).take(pa.array(which)), pa.array(packed), pa.array(sketch)], names=["id", "packed", "sketch"])
+            which, packed, *long = maker.rows(part.column(2).take(take).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take).take(pa.array(which)), pa.array(packed), *map(pa.array, long)], names=["id", "packed", *SKETCH])
 
 
 def _nibbles_differ(x: Column, ones: int) -> Column:
@@ -234,11 +237,13 @@ def candidates(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.count() if n_docs is None else n_docs) * BLOCKS * KEYS // ROWS_A_TASK)
     key = F.shiftright("packed", 36)
-    rows = docs.select("id", "copy", "text").mapInArrow(key_rows, f"id {kind}, packed long, sketch long").repartition(tasks, key)
-    left = rows.select(F.col("id").alias("a"), F.col("packed").alias("pa"), F.col("sketch").alias("sa"))
-    right = rows.select(F.col("id").alias("b"), F.col("packed").alias("pb"), F.col("sketch").alias("sb"))
+    rows = docs.select("id", "copy", "text").mapInArrow(key_rows, f"id {kind}, packed long, " + ", ".join(f"{c} long" for c in SKETCH)).repartition(tasks, key)
+    left = rows.select(F.col("id").alias("a"), F.col("packed").alias("pa"), *[F.col(c).alias(f"a{c}") for c in SKETCH])
+    right = rows.select(F.col("id").alias("b"), F.col("packed").alias("pb"), *[F.col(c).alias(f"b{c}") for c in SKETCH])
     ones9, ones16 = 0x111111111, 0x1111111111111111
-    differ = _nibbles_differ(F.col("pa").bitwiseXOR(F.col("pb")).bitwiseAND(F.lit((1 << 36) - 1)), ones9) + _nibbles_differ(F.col("sa").bitwiseXOR(F.col("sb")), ones16)
+    differ = _nibbles_differ(F.col("pa").bitwiseXOR(F.col("pb")).bitwiseAND(F.lit((1 << 36) - 1)), ones9)
+    for c in SKETCH:
+        differ = differ + _nibbles_differ(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")), ones16)
     same = F.shiftright("pa", 36) == F.shiftright("pb", 36)
     # both sides read one shuffle, by key, in as many tasks as keep a side small; neither is broadcast
     return left.join(right.hint("shuffle_hash"), same & (F.col("a") < F.col("b")) & (differ <= NIBBLES - ALIKE)).select("a", "b").distinct()

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -100,3 +101,21 @@ def test_a_third_of_copies_makes_no_candidates(spark):
     first = len(rows) - 30
     assert all(r.a < first and r.b < first for r in fuzzy.candidates(docs).collect() if r.a >= first or r.b >= first)
     assert fuzzy.copies(docs).count() >= 29
+
+
+def test_sketch_loses_no_pairs_at_the_limit(spark):
+    p = fuzzy.SIMILARITY + (1 - fuzzy.SIMILARITY) / 16
+    assert sum(math.comb(fuzzy.NIBBLES, k) * p**k * (1 - p) ** (fuzzy.NIBBLES - k) for k in range(fuzzy.ALIKE)) < 0.001
+    r = random.Random(3)
+    rows = []
+    for _ in range(400):
+        base = [r.choice(WORDS) + str(r.randrange(30)) for _ in range(60)]
+        rows += [" ".join(base), " ".join(base[:41] + [f"x{r.randrange(9999)}" for _ in range(19)])]
+    which, packed, *_ = fuzzy.Fingerprints().rows(rows)
+    keys = [set() for _ in rows]
+    for i, k in zip(which.tolist(), packed.tolist()):
+        keys[i].add(k >> 36)
+    met = {(i, i + 1) for i in range(0, len(rows), 2) if keys[i] & keys[i + 1] and fuzzy.similarity(rows[i], rows[i + 1]) >= 0.5}
+    docs = fuzzy.prepared(spark.createDataFrame(list(enumerate(rows)), "ord long, text string"), "ord", "text")
+    assert len(met) > 50
+    assert len(met - {(x.a, x.b) for x in fuzzy.candidates(docs).collect()}) <= 0.01 * len(met)
