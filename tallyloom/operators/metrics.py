@@ -123,23 +123,38 @@ def overgeneralisation(selection: DataFrame, docs: DataFrame, n_queries: DataFra
     )
 
 
-def margins(scored: DataFrame, k: int) -> DataFrame:
-    """(qid, margin, hit): best injected score minus the k-th clean one, from (qid, ord, score,
-    is_poison); null where either is missing."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """(n_clean, n_injected) of the whole corpus: one row."""
+    injected = F.coalesce("is_poison", F.lit(False))
+    return docs.agg(F.count(F.when(~injected, 1)).alias("n_clean"), F.count(F.when(injected, 1)).alias("n_injected"))
+
+
+def margins(scored: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, margin, hit) of every query: best injected score minus the k-th clean one, from (qid,
+    ord, score, is_poison) of the matching documents; all others have score 0. Null where the
+    corpus has no injected or fewer than k clean passages."""
     order = Window.partitionBy("qid", "is_poison").orderBy(F.col("score").desc(), "ord")
     placed = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
     rows = placed.groupBy("qid").agg(F.max(F.when(F.col("is_poison") & (F.col("place") == 1), F.col("score"))).alias("best"), F.max(F.when(~F.col("is_poison") & (F.col("place") == k), F.col("score"))).alias("kth"))
-    return rows.select("qid", F.round(F.col("best") - F.col("kth"), 6).alias("margin"), (F.col("best") > F.col("kth")).alias("hit"))
+    rows = queries.select("qid").join(rows, "qid", "left").crossJoin(F.broadcast(_classes(docs)))
+    best = F.when(F.col("n_injected") > 0, F.coalesce("best", F.lit(0.0)))
+    kth = F.when(F.col("n_clean") >= k, F.coalesce("kth", F.lit(0.0)))
+    return rows.select("qid", F.round(best - kth, 6).alias("margin"), (best > kth).alias("hit"))
 
 
-def outranked(scored: DataFrame) -> DataFrame:
-    """(qid, ord, fraction): the part of a query's clean passages each injected one outranks. Running
-    sums are over distinct scores, whose counts are combined map-side."""
+def outranked(scored: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, ord, fraction): the part of the corpus's clean passages each injected one outranks, for
+    every query. ``scored`` has the matching documents; all others have score 0, which is below
+    every match, and only their number is needed. Running sums are over distinct scores, whose
+    counts are combined map-side."""
     counts = scored.groupBy("qid", "score").agg(F.sum(F.when(F.col("is_poison"), 0).otherwise(1)).alias("c"))
     lower = Window.partitionBy("qid").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.select("qid", "score", F.coalesce(F.sum("c").over(lower), F.lit(0)).alias("below"), F.sum("c").over(Window.partitionBy("qid")).alias("clean"))
-    rows = scored.filter("is_poison").join(below, ["qid", "score"])
-    return rows.select("qid", "ord", F.round(F.col("below") / F.col("clean"), 9).alias("fraction"))
+    below = counts.select("qid", "score", F.coalesce(F.sum("c").over(lower), F.lit(0)).alias("below"), F.sum("c").over(Window.partitionBy("qid")).alias("matching"))
+    met = scored.filter("is_poison").join(below, ["qid", "score"]).select("qid", "ord", "below", "matching")
+    pairs = queries.select("qid").crossJoin(docs.filter("is_poison").select("ord"))
+    rows = pairs.join(met, ["qid", "ord"], "left").crossJoin(F.broadcast(_classes(docs)))
+    fraction = F.when(F.col("n_clean") > 0, F.coalesce(F.col("below") + F.col("n_clean") - F.col("matching"), F.lit(0)) / F.col("n_clean"))
+    return rows.select("qid", "ord", F.round(fraction, 9).alias("fraction"))
 
 
 def label_distribution(per_query: DataFrame, keys: list[str]) -> DataFrame:

@@ -266,16 +266,19 @@ def overgeneralisation(s, d):
     return metrics.overgeneralisation(selection(s, d), docs(s, d), queries(s, d))
 
 
-def _bm25_marked(s, d):
-    return retrieve.bm25(docs(s, d), queries(s, d)).join(docs(s, d).select("ord", "is_poison"), "ord")
+def _bm25_marked(s, d, statistic):
+    """A statistic of all documents' scores for each distinct query text, given to all its queries."""
+    texts, same = retrieve.distinct_texts(queries(s, d).withColumn("text", F.coalesce("text", F.lit(""))))
+    scored = retrieve.bm25_texts(docs(s, d), texts).join(docs(s, d).select("ord", "is_poison"), "ord")
+    return retrieve.to_all(statistic(scored, docs(s, d), texts), same)
 
 
 def poison_margin(s, d):
-    return metrics.margins(_bm25_marked(s, d), K)
+    return _bm25_marked(s, d, lambda *x: metrics.margins(*x, K)).select("qid", "margin", "hit")
 
 
 def outranked_fraction(s, d):
-    return metrics.outranked(_bm25_marked(s, d))
+    return _bm25_marked(s, d, metrics.outranked).select("qid", "ord", "fraction")
 
 
 def label_distribution(s, d):

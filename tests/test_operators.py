@@ -261,3 +261,15 @@ def test_manifold_finds_what_leaves_it(spark):
     odd = spark.createDataFrame([("q", 1, 1.0, x[0].tolist()), ("q", 2, 1.1, (x[1] + 5).tolist())], "qid string, ord long, score double, v array<double>")
     assert select.penalised(odd, ["qid"], 1, (mean, basis, mu, sd)).first().ord == 1
     assert metrics.effective_dimension([1.0, 1.0, 0.0]) == pytest.approx(2.0)
+
+
+def test_unmatched_documents_count_in_outranked_and_margins(spark):
+    docs = spark.createDataFrame([(i, i == 3 or i == 4) for i in range(10)], "ord long, is_poison boolean")
+    scored = spark.createDataFrame([("q", 0, 1.0, False), ("q", 1, 3.0, False), ("q", 3, 2.0, True)], "qid string, ord long, score double, is_poison boolean")
+    queries = spark.createDataFrame([("q",), ("none",)], "qid string")
+    got = {(r.qid, r.ord): r.fraction for r in metrics.outranked(scored, docs, queries).collect()}
+    assert got == {("q", 3): 7 / 8, ("q", 4): 0.0, ("none", 3): 0.0, ("none", 4): 0.0}
+    margin = lambda k: {r.qid: (r.margin, r.hit) for r in metrics.margins(scored, docs, queries, k).collect()}
+    assert margin(2) == {"q": (1.0, True), "none": (0.0, False)}
+    assert margin(5) == {"q": (2.0, True), "none": (0.0, False)}
+    assert margin(9) == {"q": (None, None), "none": (None, None)}
