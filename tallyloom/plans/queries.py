@@ -308,22 +308,22 @@ def _diffs(s, d):
 
 def bootstrap_ci(s, d):
     rows = _by_query(s, d).filter(F.col("attacked").isNotNull()).select("stratum", "qid", F.col("attacked").alias("value"))
-    out = stats.bootstrap(stats.numbered(rows, ["stratum"], ["qid"]), ["stratum"], 200, 11)
+    out = stats.bootstrap(stats.numbered(rows, ["stratum"], ["qid"]), ["stratum"], 5000, 11)
     return out.withColumn("bound", stats.equivalence_bound(F.col("low"), F.col("high")))
 
 
 def paired_bootstrap(s, d):
-    return stats.bootstrap(_diffs(s, d), ["stratum"], 200, 12)
+    return stats.bootstrap(_diffs(s, d), ["stratum"], 10_000, 12)
 
 
 def paired_permutation(s, d):
-    return stats.sign_flip(_diffs(s, d), ["stratum"], 200, 13)
+    return stats.sign_flip(_diffs(s, d), ["stratum"], 10_000, 13)
 
 
 def two_sample_bootstrap(s, d):
     rows = _by_query(s, d)
     long = rows.select("qid", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("clean").alias("value")), F.struct(F.lit("b").alias("side"), F.col("attacked").alias("value")))).alias("x")).select("qid", "x.side", "x.value")
-    return stats.two_sample(stats.numbered(long.filter(F.col("value").isNotNull()), ["side"], ["qid"]), 200, 14)
+    return stats.two_sample(stats.numbered(long.filter(F.col("value").isNotNull()), ["side"], ["qid"]), 2000, 14)
 
 
 def auc_tie_aware(s, d):

@@ -273,3 +273,19 @@ def test_unmatched_documents_count_in_outranked_and_margins(spark):
     assert margin(2) == {"q": (1.0, True), "none": (0.0, False)}
     assert margin(5) == {"q": (2.0, True), "none": (0.0, False)}
     assert margin(9) == {"q": (None, None), "none": (None, None)}
+
+
+def test_queries_resample_as_often_as_surveyed(spark, monkeypatch):
+    from tallyloom.plans import queries as core
+
+    diffs = spark.createDataFrame([("s", i, 12, 0.1 + i / 100) for i in range(12)], "stratum string, i int, n int, value double")
+    monkeypatch.setattr(core, "_diffs", lambda s, d: diffs)
+    p = core.paired_permutation(spark, None).first().p
+    assert 0 < p < 0.0015  # 2 of 4096 sign patterns
+    asked = {}
+    monkeypatch.setattr(core, "_by_query", lambda s, d: spark.createDataFrame([("s", f"q{i}", 0.1, 0.2) for i in range(3)], "stratum string, qid string, clean double, attacked double"))
+    for name in ("bootstrap", "two_sample"):
+        real = getattr(stats, name)
+        monkeypatch.setattr(stats, name, lambda *x, real=real: asked.setdefault(x[-1], x[-2]) and real(*x))
+    core.bootstrap_ci(spark, None), core.paired_bootstrap(spark, None), core.two_sample_bootstrap(spark, None)
+    assert asked == {11: 5000, 12: 10_000, 14: 2000}
