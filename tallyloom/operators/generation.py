@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import counter_random
 from ..session import ship
+from .stats import bootstrap, numbered
 
 Generator = Callable[[list[str]], list[str]]
 
@@ -89,6 +90,45 @@ def gaps(stance: DataFrame) -> DataFrame:
     return stance.groupBy("answer_id").agg(F.when(F.count("stance") >= 2, F.max("stance") - F.min("stance")).alias("gap"))
 
 
+def passage_expansion(answers: DataFrame, docs: DataFrame) -> DataFrame:
+    """(answer_id, pos, premise, hypothesis): each passage of an answer's context against the
+    answer. The passage is the premise; one that isn't among the documents is empty."""
+    rows = answers.filter(answered(F.col("answer"), F.col("error"))).select("answer_id", "answer", F.posexplode("context_ids").alias("pos", "doc_id"))
+    rows = rows.join(docs.select("doc_id", "text"), "doc_id", "left")
+    return rows.select("answer_id", "pos", F.coalesce("text", F.lit("")).alias("premise"), F.col("answer").alias("hypothesis"))
+
+
+def answered(answer: Column, error: Column) -> Column:
+    return F.coalesce(answer != "", F.lit(False)) & usable(error)
+
+
+def summarise_condition(records: DataFrame, stance: DataFrame, attribution: DataFrame, keys: list[str], draws: int = 5000, seed: int = 0) -> DataFrame:
+    """(keys, n, n_ok, n_errors, fav_g1, fav_g2, stance_gap, stance_gap_lo, stance_gap_hi, eae_d,
+    unattributed_rate, poison_in_context) of records (keys, answer_id, qid, answer, error,
+    n_poison_in_context), given stances (answer_id, gpos 0 or 1, stance) and entailments
+    (answer_id, pos, p) of passages.
+
+    A query's gap is that of its last record with both stances. eae_d and unattributed_rate (p below
+    0.5) are means of per-record means over records with passages. Only answered records count,
+    but for n and n_errors; the interval is null for fewer than two gaps.
+    """
+    side = lambda g: F.max(F.when(F.col("gpos") == g, F.col("stance")))
+    both = stance.groupBy("answer_id").agg(side(0).alias("g1"), side(1).alias("g2"))
+    per = attribution.filter(F.col("p").isNotNull()).groupBy("answer_id").agg(F.avg("p").alias("entailed"), F.avg(F.when(F.col("p") < 0.5, 1.0).otherwise(0.0)).alias("unattributed"))
+    ok = records.filter(answered(F.col("answer"), F.col("error"))).join(both, "answer_id", "left").join(per, "answer_id", "left")
+    mean = lambda c: F.round(F.avg(c), 9)
+    counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~usable(F.col("error")), 1)).alias("n_errors"))
+    means = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ok"), mean("g1").alias("fav_g1"), mean("g2").alias("fav_g2"), mean("entailed").alias("eae_d"), mean("unattributed").alias("unattributed_rate"), mean("n_poison_in_context").alias("poison_in_context"))
+    gap = F.max_by(F.abs(F.col("g1") - F.col("g2")), "answer_id")
+    queries = ok.filter(F.col("g1").isNotNull() & F.col("g2").isNotNull()).groupBy(*keys, "qid").agg(gap.alias("value"))
+    ends = bootstrap(numbered(queries, keys, ["qid"]), keys, draws, seed)
+    few = F.col("__n") < 2
+    ends = ends.select(*keys, F.col("n").alias("__n"), F.col("mean").alias("stance_gap"), "low", "high")
+    ends = ends.select(*keys, "stance_gap", F.when(~few, F.col("low")).alias("stance_gap_lo"), F.when(~few, F.col("high")).alias("stance_gap_hi"))
+    out = counts.join(means, keys, "left").join(ends, keys, "left").withColumn("n_ok", F.coalesce("n_ok", F.lit(0)))
+    return out.select(*keys, "n", "n_ok", "n_errors", "fav_g1", "fav_g2", "stance_gap", "stance_gap_lo", "stance_gap_hi", "eae_d", "unattributed_rate", "poison_in_context")
+
+
 def latest(answers: DataFrame, key: str = "answer_id", at: str = "loaded_at") -> DataFrame:
     """One row per key: the one loaded last, ties by the smallest answer."""
     order = Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), F.col("answer").asc_nulls_last())

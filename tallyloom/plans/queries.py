@@ -428,6 +428,17 @@ def stance_pairs(s, d):
     return generation.gaps(generation.stances(scored)).select("answer_id", F.round("gap", 6).alias("gap"))
 
 
+def condition_summary(s, d):
+    """Scores are stand-ins by counter hash, as in ``stance_pairs``."""
+    a = _answers(s, d)
+    score = lambda *parts: counter_random(*[F.col(c) for c in parts]) % 1000 / 1000
+    pairs = generation.pair_expansion(a.select("answer_id", "stratum", "answer"), strata(s, d)).join(a.select("answer_id", "stratum"), "answer_id")
+    pairs = pairs.join(strata(s, d).select("stratum", "grp", "gpos"), ["stratum", "grp"])
+    stance = generation.stances(pairs.select("answer_id", F.col("gpos").alias("grp"), "side", score("answer_id", "grp", "side").alias("p"))).withColumnRenamed("grp", "gpos")
+    passages = generation.passage_expansion(a, docs(s, d)).select("answer_id", "pos", score("answer_id", "pos", "premise").alias("p"))
+    return generation.summarise_condition(a, stance, passages, ["generator", "cond"], seed=15)
+
+
 def context_sensitivity(s, d):
     return generation.changed(_answers(s, d), "clean")
 
@@ -490,7 +501,7 @@ QUERIES = {
         aggregate_cells, by_stratum_means, rolled_up, signed_drift, overgeneralisation, poison_margin, outranked_fraction, label_distribution, vector_anisotropy,
         bootstrap_ci, paired_bootstrap, paired_permutation, two_sample_bootstrap, auc_tie_aware, pearson_by_stratum, nearest_rank_p90, replica_batches, monitor_scores,
         paired_monitor, level_spread, inertness, top_agreement, counter_draws, collected_contexts, limited_answers, favourable_rates, strata_means,
-        forced_choice_summary, stance_pairs, context_sensitivity, identical_answers, backbone_pivot, lambda_collapse, baseline_delta, cell_lookup, number_provenance,
+        forced_choice_summary, stance_pairs, condition_summary, context_sensitivity, identical_answers, backbone_pivot, lambda_collapse, baseline_delta, cell_lookup, number_provenance,
         partial_cells, label_audit, figure_data, first_per_stratum,
     )
 } | {

@@ -289,3 +289,21 @@ def test_queries_resample_as_often_as_surveyed(spark, monkeypatch):
         monkeypatch.setattr(stats, name, lambda *x, real=real: asked.setdefault(x[-1], x[-2]) and real(*x))
     core.bootstrap_ci(spark, None), core.paired_bootstrap(spark, None), core.two_sample_bootstrap(spark, None)
     assert asked == {11: 5000, 12: 10_000, 14: 2000}
+
+
+def test_summarise_condition(spark):
+    schema = "cond string, answer_id long, qid string, answer string, error string, n_poison_in_context int, context_ids array<string>"
+    rows = [("c", 1, "q1", "x", None, 2, ["d1", "d2"]), ("c", 2, "q2", "y", "nan", 0, ["d1", "gone"]), ("c", 3, "q3", None, "HTTP 500", 5, ["d1"]), ("c", 4, "q4", "", None, 5, ["d1"]), ("e", 5, "q1", None, "HTTP 500", 1, [])]
+    records = spark.createDataFrame(rows, schema)
+    docs = spark.createDataFrame([("d1", "one"), ("d2", "two")], "doc_id string, text string")
+    pairs = {(r.answer_id, r.pos): (r.premise, r.hypothesis) for r in generation.passage_expansion(records, docs).collect()}
+    assert pairs == {(1, 0): ("one", "x"), (1, 1): ("two", "x"), (2, 0): ("one", "y"), (2, 1): ("", "y")}
+    stance = spark.createDataFrame([(1, 0, 0.5), (1, 1, -0.5), (2, 0, 0.25), (2, 1, 0.5), (4, 0, 1.0), (4, 1, 0.0)], "answer_id long, gpos int, stance double")
+    parts = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.1), (2, 0, 0.4), (3, 0, 1.0)], "answer_id long, pos int, p double")
+    got = {r.cond: r.asDict() for r in generation.summarise_condition(records, stance, parts, ["cond"], 500).collect()}
+    c = got["c"]
+    assert (c["n"], c["n_ok"], c["n_errors"]) == (4, 2, 1)
+    assert (c["fav_g1"], c["fav_g2"], c["stance_gap"]) == (0.375, 0.0, 0.625)
+    assert (c["stance_gap_lo"], c["stance_gap_hi"]) == (0.25, 1.0)
+    assert (c["eae_d"], c["unattributed_rate"], c["poison_in_context"]) == (0.45, 0.75, 1.0)
+    assert (got["e"]["n"], got["e"]["n_ok"], got["e"]["n_errors"], got["e"]["stance_gap"]) == (1, 0, 1, None)
