@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import counter_random, mixed
 from ..session import ship
 from .retrieve import top_k
 
@@ -130,14 +131,17 @@ def stance_budget(candidates: DataFrame, keys: list[str], k: int, epsilon: float
     return rows.mapInArrow(run, f"{kinds}, rnk int, ord long, score double, " + ", ".join(f"{t} double" for t in TRACE))
 
 
-def variants(queries: DataFrame, n: int = 5) -> DataFrame:
-    """(qid, v, text): each query as it is (v = 0) and n times without one of its words, drawn by
-    position; a query of one word stays as it is."""
+def variants(queries: DataFrame, n: int = 5, rate: float = 0.05) -> DataFrame:
+    """(qid, v, text): each query as it is (v = 0) and n times with each word dropped at ``rate`` by
+    counter hash of (qid, v, position); where none is, one word drawn by (qid, v) is. A query with
+    no word left stays as it is."""
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     rows = queries.select("qid", "text", words.alias("ws"), F.explode(F.sequence(F.lit(0), F.lit(n))).alias("v"))
-    size = F.size("ws")
-    left = F.array_join(F.filter("ws", lambda w, i: i != F.pmod((F.col("v") - 1) * 3, F.size("ws"))), " ")
-    return rows.select("qid", "v", F.when((F.col("v") == 0) | (size < 2), F.col("text")).otherwise(left).alias("text"))
+    below = F.transform(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.pmod(mixed(counter_random(F.col("qid"), F.col("v"), i)), F.lit(10_000)) >= round(rate * 10_000))
+    rows = rows.withColumn("keep", below)
+    one = F.pmod(mixed(counter_random(F.col("qid"), F.col("v"))), F.size("ws"))
+    left = F.array_join(F.filter("ws", lambda w, i: F.when(F.forall("keep", lambda x: x), i != one).otherwise(F.get("keep", i))), " ")
+    return rows.select("qid", "v", F.when((F.col("v") == 0) | (left == ""), F.col("text")).otherwise(left).alias("text"))
 
 
 def consistency(ranked: DataFrame, n: int, k: int, w_freq: float = 1.0, w_rank: float = 1.0) -> DataFrame:

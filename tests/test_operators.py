@@ -307,3 +307,15 @@ def test_summarise_condition(spark):
     assert (c["stance_gap_lo"], c["stance_gap_hi"]) == (0.25, 1.0)
     assert (c["eae_d"], c["unattributed_rate"], c["poison_in_context"]) == (0.45, 0.75, 1.0)
     assert (got["e"]["n"], got["e"]["n_ok"], got["e"]["n_errors"], got["e"]["stance_gap"]) == (1, 0, 1, None)
+
+
+def test_variants_drop_any_word_and_differ(spark):
+    texts = [(f"q{i}", " ".join(f"w{j}" for j in range(6))) for i in range(100)] + [("one", "word"), ("none", "")]
+    rows = select.variants(spark.createDataFrame(texts, "qid string, text string"), 5).collect()
+    full = dict(texts)
+    assert all(r.text == full[r.qid] for r in rows if r.v == 0 or r.qid in ("one", "none"))
+    cut = [r.text.split() for r in rows if r.v and r.qid.startswith("q")]
+    assert len(cut) == 500 and all(1 <= len(c) < 6 for c in cut)
+    assert all(60 < sum(f"w{j}" not in c for c in cut) < 170 for j in range(6))
+    different = [len({r.text for r in rows if r.qid == f"q{i}" and r.v}) for i in range(100)]
+    assert sum(different) / 100 > 3.4
