@@ -6,8 +6,9 @@ are small. So each segment is decoded several times, with its least reliable sig
 combination, and the nearest codewords (12 bits each) are kept. Two segments form a block; a block's
 nearest pairs of codewords are its keys. By the pigeonhole principle the flipped signs of an edited
 text can't be many in every block, so similar texts share a key in some block. Texts are joined on
-(block, key); a sketch of small min-hashes of adjacent word pairs, carried in the same row, drops
-most chance meetings inside the join; what is left is checked exactly on the whole texts.
+(block, key); the number of word pairs and a sketch of small min-hashes, carried in the same row,
+drop most chance meetings inside the join, a longer sketch joined by id drops most of the rest, and
+what is left is checked exactly on the whole texts.
 """
 
 from __future__ import annotations
@@ -29,11 +30,16 @@ SIMILARITY = 0.5
 BLOCKS, KEYS, FLIPS = 11, 4, 4
 #: Feature-hashing width ahead of the projection.
 WIDTH = 512
-#: Min-hashes of 4 bits in the four sketch words, and how many of them similar texts share at least:
-#: 4 of 10,000 pairs at the limit share fewer.
-NIBBLES, ALIKE = 57, 18
-#: Columns of the sketch words beside the packed one.
-SKETCH = ("s0", "s1", "s2")
+#: Min-hashes of 2 bits in a key row, and how many of them similar texts share at least: by the
+#: binomial law 8 of 10,000 pairs at the limit share fewer, and 1 of a million at 0.6.
+SHORT, SHORT_ALIKE = 47, 19
+#: Min-hashes of 4 bits in the two words of the longer sketch; the least weighted number alike of
+#: both sketches (2 and 3 are their log-likelihood ratios against unlike texts): 7 of 10,000 at the limit.
+LONG, WEIGHTS, ALIKE = 32, (2, 3), 75
+#: Steps of the number of word pairs per doubling; of similar texts none has more than twice the other's.
+STEPS = 4
+#: Number in the place of the block in the two rows of a text's longer sketch.
+SKETCH_ROWS = (14, 15)
 #: Bits of the filter that keeps texts without candidates out of the check's shuffle.
 FILTER_BITS = 1 << 24
 #: Fixed value: generator polynomial of the binary Golay code.
@@ -52,6 +58,18 @@ def words_of(text: str) -> list[str]:
     return text.translate(_spaces).split() if text.isascii() else _words(text)
 
 
+_bytes = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+
+
+def tokens(text: str) -> list[bytes] | list[str]:
+    """The words of the lower-cased text; as bytes where it is plain ASCII, which have the same hashes."""
+    return text.encode().translate(_bytes).split() if text.isascii() else _words(text.lower())
+
+
+
+def _digit(word: str | bytes) -> bool:
+    return any(48 <= c < 58 for c in word) if isinstance(word, bytes) else any(c.isdigit() for c in word)
+
 
 def _remainder(value: int) -> int:
     for bit in range(22, 10, -1):
@@ -116,26 +134,29 @@ class Fingerprints:
         self.hash = xxhash.xxh64_intdigest
         self.code = Golay()
         self.project = rng.standard_normal((WIDTH, 23 * 2 * BLOCKS)).astype(np.float32)
-        self.factors = rng.integers(1, 2**63, NIBBLES, dtype=np.uint64) | np.uint64(1)
+        self.factors = (rng.integers(1, 2**32, SHORT + LONG, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.weights: list[float] = []
-
-    def add(self, word: str) -> int:
-        n = self.number[word] = len(self.hashes)
-        h = self.hash(word)
-        self.hashes.append(h)
+        self.number: dict[str | bytes, int] = {}
+        self.hashes = np.zeros(1 << 14, np.uint64)
+        self.weights = np.zeros(1 << 14, np.float32)
+
+    def add(self, word: str | bytes) -> int:
+        n = self.number[word] = len(self.number)
+        if n == len(self.hashes):
+            self.hashes, self.weights = np.concatenate([self.hashes] * 2), np.concatenate([self.weights] * 2)
+        h = self.hashes[n] = self.hash(word)
         # longer words and numbers tell texts apart better
-        weight = (min(len(word), 6) + 1) / 7 * (1.6 if any(c.isdigit() for c in word) else 1.0)
-        self.weights.append(weight if h >> 40 & 1 else -weight)
+        weight = (min(len(word), 6) + 1) / 7 * (1.6 if _digit(word) else 1.0)
+        self.weights[n] = weight if int(h) >> 40 & 1 else -weight
         return n
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """(text number, packed key, three words of sketch) of the texts with at least two words. A
-        packed key has the block and 24 bits of codewords above 36 bits of sketch."""
+        """(text number, packed key, sketch) of the texts with at least two words. A packed key has,
+        from above, the block, 24 bits of codewords, 6 bits of the number of word pairs and 30 bits
+        of the short sketch, the rest of which is in the other word. Two rows of every text have the
+        longer sketch instead, under the block numbers SKETCH_ROWS."""
         if len(self.number) > self.REMEMBERED:
             self.forget()
         get, add = self.number.get, self.add
@@ -143,7 +164,7 @@ class Fingerprints:
         once: list[int] = []
         sizes, distinct, which = [], [], []
         for i, text in enumerate(texts):
-            words = words_of(text.lower())
+            words = tokens(text)
             found = list(map(get, words))
             if None in found:
                 found = [n if (n := get(w)) is not None else add(w) for w in words]
@@ -155,27 +176,37 @@ class Fingerprints:
                 distinct.append(len(found))
                 which.append(i)
         if not which:
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
         n = len(which)
         size = np.array(sizes)
         ids = np.array(flat)
-        hashes = np.array(self.hashes, dtype=np.uint64)
+        hashes = self.hashes
         of = hashes[ids]
 
         pairs = (of[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ of[1:]) * np.uint64(0xD6E8FEB86659FD93)
-        pairs = np.delete(pairs, np.cumsum(size)[:-1] - 1)
+        pairs = (np.delete(pairs, np.cumsum(size)[:-1] - 1) >> np.uint64(32)).astype(np.uint32)
         starts = np.concatenate([[0], np.cumsum(size - 1)[:-1]])
-        low = [np.minimum.reduceat(pairs * f, starts) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60) for f in self.factors]
-        short, long = np.zeros(n, np.uint64), [np.zeros(n, np.uint64) for _ in SKETCH]
-        for k, x in enumerate(low):
-            if k < 9:
-                short |= x << np.uint64(4 * k)
+        least = np.empty((SHORT + LONG, n), np.uint32)
+        for k, f in enumerate(self.factors):
+            np.minimum.reduceat(pairs * f, starts, out=least[k])
+        least *= np.uint32(0x9E3779B1)
+        # distinct pairs of a text: its sorted pairs, without repeats
+        order = np.sort(np.repeat(np.arange(n, dtype=np.uint64), size - 1) << np.uint64(32) | pairs)
+        count = np.bincount((order[np.concatenate([[True], order[1:] != order[:-1]])] >> np.uint64(32)).astype(np.int64), minlength=n)
+        step = np.minimum(np.floor(np.log2(count) * STEPS), 63).astype(np.uint64)
+        two, four = (least[:SHORT] >> np.uint32(30)).astype(np.uint64), (least[SHORT:] >> np.uint32(28)).astype(np.uint64)
+        low, short, long = step << np.uint64(30), np.zeros(n, np.uint64), [np.zeros(n, np.uint64) for _ in SKETCH_ROWS]
+        for k in range(SHORT):
+            if k < 15:
+                low |= two[k] << np.uint64(2 * k)
             else:
-                long[(k - 9) // 16] |= x << np.uint64(4 * ((k - 9) % 16))
+                short |= two[k] << np.uint64(2 * (k - 15))
+        for k in range(LONG):
+            long[k // 16] |= four[k] << np.uint64(4 * (k % 16))
 
         row, word = np.repeat(np.arange(n), distinct), np.array(once)
         cell = row * WIDTH + (hashes[word] % np.uint64(WIDTH)).astype(np.int64)
-        features = np.bincount(cell, weights=np.array(self.weights)[word], minlength=n * WIDTH).reshape(n, WIDTH)
+        features = np.bincount(cell, weights=self.weights[word], minlength=n * WIDTH).reshape(n, WIDTH)
         numbers = features.astype(np.float32) @ self.project
 
         keys = np.empty((n, BLOCKS, KEYS), dtype=np.int64)
@@ -191,9 +222,16 @@ class Fingerprints:
             used[part] = np.isfinite(np.take_along_axis(costs, best, 2))
         keys |= (np.arange(BLOCKS) << 24)[None, :, None]
         keys, used = keys.reshape(n, -1), used.reshape(n, -1)
-        packed = keys << 36 | short.astype(np.int64)[:, None]
-        every, *long = (np.repeat(x, BLOCKS * KEYS)[used.ravel()] for x in (np.array(which), *[x.view(np.int64) for x in long]))
-        return every, packed[used], *long
+        packed = keys << 36 | low.astype(np.int64)[:, None]
+        every, sketch = (np.repeat(x, BLOCKS * KEYS)[used.ravel()] for x in (np.array(which), short.view(np.int64)))
+        # spread over the tasks of the key shuffle like the keys
+        spread = hashes[ids[np.cumsum(size) - 1]] >> np.uint64(40) << np.uint64(36)
+        marks = [(spread | np.uint64(b << 60)).view(np.int64) for b in SKETCH_ROWS]
+        return (
+            np.concatenate([every, np.array(which), np.array(which)]),
+            np.concatenate([packed[used], *marks]),
+            np.concatenate([sketch, *[x.view(np.int64) for x in long]]),
+        )
 
 
 _worker: list[Fingerprints] = []
@@ -206,7 +244,7 @@ def _fingerprints() -> Fingerprints:
 
 
 def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, copy, text) to (id, packed, s0, s1, s2); of equal texts only a partition's first has rows."""
+    """(id, copy, text) to (id, packed, sketch); of equal texts only a partition's first has rows."""
     maker = _fingerprints()
     seen: set[int] = set()
     for batch in batches:
@@ -220,13 +258,15 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(seen) > 2_000_000:
                 seen.clear()
             take = pa.array(fresh, pa.int64())
-            which, packed, *long = maker.rows(part.column(2).take(take).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take).take(pa.array(which)), pa.array(packed), *map(pa.array, long)], names=["id", "packed", *SKETCH])
+            which, packed, sketch = maker.rows(part.column(2).take(take).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take).take(pa.array(which)), pa.array(packed), pa.array(sketch)], names=["id", "packed", "sketch"])
 
 
-def _nibbles_differ(x: Column, ones: int) -> Column:
-    """How many groups of four bits of an XOR are not zero."""
-    spread = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+def _differ(x: Column, bits: int, ones: int) -> Column:
+    """How many groups of two or four bits of an XOR are not zero."""
+    spread = x
+    for k in range(1, bits):
+        spread = spread.bitwiseOR(F.shiftright(x, k))
     return F.bit_count(spread.bitwiseAND(F.lit(ones)))
 
 
@@ -237,16 +277,24 @@ def candidates(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.count() if n_docs is None else n_docs) * BLOCKS * KEYS // ROWS_A_TASK)
     key = F.shiftright("packed", 36)
-    rows = docs.select("id", "copy", "text").mapInArrow(key_rows, f"id {kind}, packed long, " + ", ".join(f"{c} long" for c in SKETCH)).repartition(tasks, key)
-    left = rows.select(F.col("id").alias("a"), F.col("packed").alias("pa"), *[F.col(c).alias(f"a{c}") for c in SKETCH])
-    right = rows.select(F.col("id").alias("b"), F.col("packed").alias("pb"), *[F.col(c).alias(f"b{c}") for c in SKETCH])
-    ones9, ones16 = 0x111111111, 0x1111111111111111
-    differ = _nibbles_differ(F.col("pa").bitwiseXOR(F.col("pb")).bitwiseAND(F.lit((1 << 36) - 1)), ones9)
-    for c in SKETCH:
-        differ = differ + _nibbles_differ(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")), ones16)
+    rows = docs.select("id", "copy", "text").mapInArrow(key_rows, f"id {kind}, packed long, sketch long").repartition(tasks, key)
+    block = F.shiftrightunsigned("packed", 60)
+    left = rows.filter(block < SKETCH_ROWS[0]).select(F.col("id").alias("a"), F.col("packed").alias("pa"), F.col("sketch").alias("sa"))
+    right = rows.filter(block < SKETCH_ROWS[0]).select(F.col("id").alias("b"), F.col("packed").alias("pb"), F.col("sketch").alias("sb"))
+    pa_pb = F.col("pa").bitwiseXOR(F.col("pb"))
+    differ = _differ(pa_pb.bitwiseAND(F.lit((1 << 30) - 1)), 2, 0x15555555) + _differ(F.col("sa").bitwiseXOR(F.col("sb")), 2, 0x5555555555555555)
     same = F.shiftright("pa", 36) == F.shiftright("pb", 36)
+    step = lambda c: F.shiftright(c, 30).bitwiseAND(F.lit(63))
+    near = F.abs(step("pa") - step("pb")) <= STEPS + 1
     # both sides read one shuffle, by key, in as many tasks as keep a side small; neither is broadcast
-    return left.join(right.hint("shuffle_hash"), same & (F.col("a") < F.col("b")) & (differ <= NIBBLES - ALIKE)).select("a", "b").distinct()
+    met = left.join(right.hint("shuffle_hash"), same & (F.col("a") < F.col("b")) & near & (differ <= SHORT - SHORT_ALIKE)).select("a", "b", differ.alias("differ"))
+    # the longer sketches come out of the same shuffle
+    longer = rows.filter(block >= SKETCH_ROWS[0]).groupBy("id").agg(*[F.max(F.when(block == b, F.col("sketch"))).alias(f"s{i}") for i, b in enumerate(SKETCH_ROWS)])
+    for side in ("a", "b"):
+        met = met.join(longer.select(F.col("id").alias(side), *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(2)]), side)
+    differ = sum((_differ(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")), 4, 0x1111111111111111) for i in range(2)), F.lit(0))
+    least = WEIGHTS[0] * (SHORT - F.col("differ")) + WEIGHTS[1] * (LONG - differ)
+    return met.filter(least >= ALIKE).select("a", "b").distinct()
 
 
 def similarity(a: str, b: str) -> float:
