@@ -33,3 +33,20 @@ def mixed(h: Column) -> Column:
     x = h.bitwiseXOR(F.shiftright(h, 15))
     x = (x * F.lit(739).cast("long")).bitwiseAND(F.lit(4294967295).cast("long"))
     return x.bitwiseXOR(F.shiftright(x, 13))
+
+
+#: Odd multipliers of the counters and of the finaliser, all below 2^31.
+COUNTERS, FINAL = (1540483477, 1274126177, 1103515245, 668265263), (739982445, 695872825)
+
+
+def counter_draw(*parts: Column | int) -> Column:
+    """A 32-bit number drawn by counters (integers): the same in every engine, without strings."""
+    whole = F.lit(4294967295).cast("long")
+    x = F.lit(0).cast("long")
+    for p, m in zip(parts, COUNTERS, strict=False):
+        x = (x + (p if isinstance(p, Column) else F.lit(p)).cast("long") * F.lit(m).cast("long")).bitwiseAND(whole)
+    x = x.bitwiseXOR(F.shiftright(x, 15))
+    for m, shift in zip(FINAL, (12, 15), strict=True):
+        x = (x * F.lit(m).cast("long")).bitwiseAND(whole)
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+    return x

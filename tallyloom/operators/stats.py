@@ -9,25 +9,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import counter_random, mixed
+from ..functions.numbers import counter_draw
+from ..session import cut
 
 
 def numbered(values: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds i, from 0, and n per key."""
+    """Adds i, from 0, and n per key; for groups of a size that one task can sort."""
     own = Window.partitionBy(*keys)
     return values.withColumn("i", F.row_number().over(own.orderBy(*order)) - 1).withColumn("n", F.count(F.lit(1)).over(own))
 
 
+#: Values up to which every draw gets its group's values as one broadcast array; beyond, values are
+#: joined to the draws' picks in a shuffle.
+FEW_VALUES = 200_000
+
+
+def _arrays(values: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, vs): each group's values in the order of i, for broadcast; None if there are too many."""
+    if values.limit(FEW_VALUES + 1).count() > FEW_VALUES:
+        return None
+    rows = F.array_sort(F.collect_list(F.struct("i", "value")))
+    return F.broadcast(values.groupBy(*keys).agg(F.transform(rows, lambda r: r["value"]).alias("vs")))
+
+
+def _trials(values: DataFrame, trials: int, name: str) -> DataFrame:
+    spark = values.sparkSession
+    return spark.range(0, trials, 1, max(1, min(trials // 500, spark.sparkContext.defaultParallelism))).withColumnRenamed("id", name)
+
+
+def _mean(vs: Column, of) -> Column:
+    """Mean of ``of(i)`` over the positions of an array."""
+    places = F.sequence(F.lit(0), F.size(vs) - 1)
+    return F.aggregate(places, F.lit(0.0), lambda s, i: s + of(i)) / F.size(vs)
+
+
 def bootstrap(values: DataFrame, keys: list[str], draws: int, seed: int = 0, level: float = 0.95) -> DataFrame:
     """(keys, n, mean, low, high): percentile interval of the mean of ``value``, from rows
-    (keys, i, n, value) of small groups, such as one value per query.
+    (keys, i, n, value), such as one value per query. Each draw takes n values by counter.
 
-    Each draw takes n values by counter hash; draws are spread over tasks and combined map-side.
+    Draws are spread over tasks and meet the values where they are: only one mean per draw is
+    shuffled. Groups too large for that are joined to the picks and combined map-side.
     """
+    values = cut(values.select(*keys, "i", "n", "value"))
     tail = (1 - level) / 2
-    slots = values.select(*keys, "i", "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = slots.select(*keys, "b", F.pmod(mixed(counter_random(F.lit(seed), F.col("b"), F.col("i"))), F.col("n")).alias("i"))
-    means = picked.join(values.select(*keys, "i", "value"), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("value").alias("m"))
+    few = _arrays(values, keys)
+    if few is None:
+        slots = values.select(*keys, "i", "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        picked = slots.select(*keys, "b", F.pmod(counter_draw(seed, F.col("b"), F.col("i")), F.col("n")).alias("i"))
+        means = picked.join(values.select(*keys, "i", "value"), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("value").alias("m"))
+    else:
+        pick = lambda i: F.get("vs", F.pmod(counter_draw(seed, F.col("b"), i), F.size("vs")).cast("int"))
+        means = _trials(values, draws, "b").crossJoin(few).select(*keys, _mean(F.col("vs"), pick).alias("m"))
     ends = means.groupBy(*keys).agg(F.round(F.percentile("m", F.lit(tail)), 9).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), 9).alias("high"))
     own = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("mean"))
     return own.join(ends, keys)
@@ -39,10 +71,16 @@ def equivalence_bound(low: Column, high: Column) -> Column:
 
 def sign_flip(diffs: DataFrame, keys: list[str], trials: int, seed: int = 0) -> DataFrame:
     """(keys, n, observed, p): two-sided paired permutation test of the mean of ``value`` over rows
-    (keys, i, value); p is 1 where all values are (nearly) 0."""
-    signs = diffs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    flip = F.pmod(mixed(counter_random(F.lit(seed), F.col("t"), F.col("i"))), F.lit(2)) == 0
-    means = signs.groupBy(*keys, "t").agg(F.avg(F.when(flip, F.col("value")).otherwise(-F.col("value"))).alias("m"))
+    (keys, i, value); p is 1 where all values are (nearly) 0. Spread over tasks as in bootstrap()."""
+    diffs = cut(diffs.select(*keys, "i", "value"))
+    few = _arrays(diffs, keys)
+    if few is None:
+        signs = diffs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+        flip = F.pmod(counter_draw(seed, F.col("t"), F.col("i")), F.lit(2)) == 0
+        means = signs.groupBy(*keys, "t").agg(F.avg(F.when(flip, F.col("value")).otherwise(-F.col("value"))).alias("m"))
+    else:
+        signed = lambda i: F.when(F.pmod(counter_draw(seed, F.col("t"), i), F.lit(2)) == 0, F.get("vs", i)).otherwise(-F.get("vs", i))
+        means = _trials(diffs, trials, "t").crossJoin(few).select(*keys, _mean(F.col("vs"), signed).alias("m"))
     own = diffs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("observed"), F.max(F.abs("value")).alias("largest"))
     both = means.join(own, keys)
     rows = both.groupBy(*keys, "n", "observed", "largest").agg(F.avg(F.when(F.abs("m") >= F.abs("observed") - 1e-12, 1.0).otherwise(0.0)).alias("p"))
@@ -128,9 +166,18 @@ def agreement(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFra
 def two_sample(values: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     """(n_a, n_b, difference, low, high) of the means of sides 'a' and 'b' of (side, i, n, value),
     from independent draws; ends are the sorted draws at floor(0.025 d) and floor(0.975 d)."""
-    slots = values.select("side", "i", "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = slots.select("side", "b", F.pmod(mixed(counter_random(F.lit(seed), F.col("side"), F.col("b"), F.col("i"))), F.col("n")).alias("i"))
-    means = picked.join(values.select("side", "i", "value"), ["side", "i"]).groupBy("b").agg((F.avg(F.when(F.col("side") == "b", F.col("value"))) - F.avg(F.when(F.col("side") == "a", F.col("value")))).alias("m"))
+    values = cut(values.select("side", "i", "n", "value"))
+    place = F.when(F.col("side") == "b", 1).otherwise(0)
+    few = _arrays(values, ["side"])
+    if few is None:
+        slots = values.select("side", "i", "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        picked = slots.select("side", "b", F.pmod(counter_draw(seed, place, F.col("b"), F.col("i")), F.col("n")).alias("i"))
+        one = picked.join(values.select("side", "i", "value"), ["side", "i"]).groupBy("side", "b").agg(F.avg("value").alias("m"))
+    else:
+        pick = lambda i: F.get("vs", F.pmod(counter_draw(seed, place, F.col("b"), i), F.size("vs")).cast("int"))
+        one = _trials(values, draws, "b").crossJoin(few).select("side", "b", _mean(F.col("vs"), pick).alias("m"))
+    side = lambda x: F.max(F.when(F.col("side") == x, F.col("m")))
+    means = one.groupBy("b").agg((side("b") - side("a")).alias("m"))
     ends = means.agg(F.sort_array(F.collect_list("m")).alias("ms"))  # one number per draw
     low, high = int(0.025 * draws), int(0.975 * draws)
     own = values.agg(F.count(F.when(F.col("side") == "a", 1)).alias("n_a"), F.count(F.when(F.col("side") == "b", 1)).alias("n_b"), (F.avg(F.when(F.col("side") == "b", F.col("value"))) - F.avg(F.when(F.col("side") == "a", F.col("value")))).alias("d"))

@@ -19,6 +19,14 @@ def mixed(h: str) -> str:
     return f"xor(((xor({h}, {h} >> 15) * 739) & 4294967295), ((xor({h}, {h} >> 15) * 739) & 4294967295) >> 13)"
 
 
+def drawn(relation: str, *parts: str) -> str:
+    """The relation with hh, a 32-bit number drawn by integer counters."""
+    m = 4294967295
+    z = " + ".join(f"({p})::bigint * {f}" for p, f in zip(parts, (1540483477, 1274126177, 1103515245, 668265263)))
+    return f"""(select * exclude (z, x0, x1, x2, x3), xor(x3, x3 >> 15) as hh from (select *, (x2 * 695872825) & {m} as x3 from (select *, xor(x1, x1 >> 12) as x2 from
+(select *, (x0 * 739982445) & {m} as x1 from (select *, xor(z, z >> 15) as x0 from (select *, ({z}) & {m} as z from {relation}))))))"""
+
+
 def hk(p: str, m: str) -> str:
     return f"(case when {p} > 0 then 0.5 * {p} * log2({p} / ({m})) else 0 end)"
 
@@ -75,7 +83,7 @@ ANS = "a as (select * from (select *, row_number() over (partition by answer_id
 def bootstrap(base: str, draws: int, seed: int) -> str:
     """From a relation nv(stratum, i, n, value)."""
     return f"""{base}, sl as (select stratum, i, n, b from nv, range({draws}) r(b)),
-pk as (select stratum, b, {mixed('hh')} % n as i from (select *, {fnv(f"concat_ws(':', '{seed}', b, i)")} as hh from sl)),
+pk as (select stratum, b, hh % n as i from {drawn('sl', str(seed), 'b', 'i')}),
 ms as (select pk.stratum, b, avg(value) as m from pk join nv on nv.stratum = pk.stratum and nv.i = pk.i group by 1, 2)
 select stratum, n, mean, low, high from (select stratum, count(*) as n, round(avg(value), 9) as mean from nv group by 1) join
 (select stratum, round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high from ms group by 1) using (stratum)"""
@@ -163,7 +171,9 @@ ad as (select *, not known or pl - 1 < 5.0 / greatest(coalesce(n_groups, 0), 1)
 ch as (select * from (select *, row_number() over (partition by cell_id, qid order by admitted desc, score desc, ord) as pk from ad) where pk <= 5)
 select cell_id, qid, row_number() over (partition by cell_id, qid order by score desc, admitted desc, ord) as rnk, doc_id, admitted from ch""",
     "select_multi_query": f"""with tx as (select text, min(qid) as qid from queries group by 1), ws as (select qid, text, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' '), ' ') as w from tx),
-va as (select qid || '#' || v as qid, case when v = 0 or len(w) < 2 then text else array_to_string(list_filter(w, lambda x, i: i - 1 <> ((v - 1) * 3) % len(w)), ' ') end as text from ws, range(6) r(v)),
+wv as (select qid, text, w, v, list_transform(range(len(w)), lambda i: ({mixed(fnv("concat_ws(':', qid, v, i)"))}) % 10000 >= 500) as keep, ({mixed(fnv("concat_ws(':', qid, v)"))}) % len(w) as one from ws, range(6) r(v)),
+vl as (select *, array_to_string(list_filter(w, lambda x, i: case when len(list_filter(keep, lambda y: not y)) = 0 then i - 1 <> one else keep[i] end), ' ') as kept from wv),
+va as (select qid || '#' || v as qid, case when v = 0 or kept = '' then text else kept end as text from vl),
 {bm25('va').replace('ln(1 +', 'ln(1.0 +')}, tp as (select * from (select *, row_number() over (partition by qid order by score desc, ord) as rnk from sc) where rnk <= 15),
 c as (select split_part(qid, '#', 1) as qid, ord, count(*) as c, avg(rnk) as r, min(cast(split_part(qid, '#', 2) as int) * 1000 + rnk) as fs from tp group by 1, 2),
 sr as (select *, round(c / 6 + 1.0 / r, 9) as score2 from c), rk as (select *, row_number() over (partition by qid order by score2 desc, fs) as rnk from sr)
@@ -179,26 +189,27 @@ select cell_id, prof.grp, round(avg(share - cd.base), 12) as delta from prof joi
     "overgeneralisation": f"""with {D}, {S}, c as (select doc_id, count(distinct qid) as c from s group by 1), r as (select is_poison, coalesce(c, 0) / (select count(*) from queries) as part from d left join c using (doc_id)),
 l as (select quantile_cont(part, 0.9) as l from r where not is_poison)
 select is_poison, count(*) as n_docs, round(avg(part), 9) as mean, round(quantile_cont(part, 0.5), 9) as median, round(quantile_cont(part, 0.9), 9) as p90, round(max(part), 9) as most, sum(case when part > l then 1 else 0 end)::bigint as above from r, l group by 1""",
-    "poison_margin": f"""with {BM}, m as (select sc.*, d.is_poison from sc join d using (ord)), p as (select *, row_number() over (partition by qid, is_poison order by score desc, ord) as pl from m),
+    "poison_margin": f"""with {BM}, m as (select q.qid, d.ord, d.is_poison, coalesce(sc.score, 0.0) as score from queries q cross join d left join sc on sc.qid = q.qid and sc.ord = d.ord),
+p as (select *, row_number() over (partition by qid, is_poison order by score desc, ord) as pl from m),
 x as (select qid, max(case when is_poison and pl = 1 then score end) as best, max(case when not is_poison and pl = 5 then score end) as kth from p where pl <= 5 group by 1)
 select qid, round(best - kth, 6) as margin, best > kth as hit from x""",
-    "outranked_fraction": f"""with {BM}, m as (select sc.*, d.is_poison from sc join d using (ord)),
-w as (select *, coalesce(sum(case when is_poison then 0 else 1 end) over (partition by qid order by score range between unbounded preceding and 1e-9 preceding), 0) as below, sum(case when is_poison then 0 else 1 end) over (partition by qid) as clean from m)
-select qid, ord, round(below / clean, 9) as fraction from w where is_poison""",
+    "outranked_fraction": f"""with {BM}, m as (select q.qid, d.ord, d.is_poison, coalesce(sc.score, 0.0) as score from queries q cross join d left join sc on sc.qid = q.qid and sc.ord = d.ord),
+c as (select qid, score, sum(case when is_poison then 0 else 1 end) as n from m group by 1, 2), w as (select qid, score, coalesce(sum(n) over (partition by qid order by score rows between unbounded preceding and 1 preceding), 0) as below, sum(n) over (partition by qid) as clean from c)
+select m.qid, m.ord, round(below / clean, 9) as fraction from m join w on w.qid = m.qid and w.score = m.score where m.is_poison""",
     "label_distribution": f"""with {PQ} select cell_id, sum(case when poison_share = 0 then 1 else 0 end)::bigint as zero, sum(case when poison_share > 0 and poison_share < 1 then 1 else 0 end)::bigint as partial,
 sum(case when poison_share = 1 then 1 else 0 end)::bigint as "full", sum(case when poison_share is null then 1 else 0 end)::bigint as undefined from pq group by 1""",
     "vector_anisotropy": """with u as (select embedding::double[] as v, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n from embeddings), p as (select v[i] / n as x, i from u, range(1, 65) r(i) where n > 0), t as (select i, sum(x) as s, count(*) as n from p group by 1)
 select round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 6) as anisotropy from t""",
-    "bootstrap_ci": f"select *, greatest(abs(low), abs(high)) as bound from ({bootstrap(DIFF + ', nv as (select stratum, row_number() over (partition by stratum order by qid) - 1 as i, count(*) over (partition by stratum) as n, attacked as value from byq where attacked is not null)', 200, 11)})",
-    "paired_bootstrap": bootstrap(DIFF + ", nv as (select stratum, row_number() over (partition by stratum order by qid) - 1 as i, count(*) over (partition by stratum) as n, attacked - clean as value from byq where attacked is not null and clean is not null)", 200, 12),
+    "bootstrap_ci": f"select *, greatest(abs(low), abs(high)) as bound from ({bootstrap(DIFF + ', nv as (select stratum, row_number() over (partition by stratum order by qid) - 1 as i, count(*) over (partition by stratum) as n, attacked as value from byq where attacked is not null)', 5000, 11)})",
+    "paired_bootstrap": bootstrap(DIFF + ", nv as (select stratum, row_number() over (partition by stratum order by qid) - 1 as i, count(*) over (partition by stratum) as n, attacked - clean as value from byq where attacked is not null and clean is not null)", 10000, 12),
     "paired_permutation": f"""{DIFF}, nv as (select stratum, row_number() over (partition by stratum order by qid) - 1 as i, attacked - clean as value from byq where attacked is not null and clean is not null),
-sg as (select *, {mixed('hh')} % 2 = 0 as flip from (select stratum, i, value, t, {fnv("concat_ws(':', '13', t, i)")} as hh from nv, range(200) r(t))),
+sg as (select *, hh % 2 = 0 as flip from {drawn('(select stratum, i, value, t from nv, range(10000) r(t))', '13', 't', 'i')}),
 ms as (select stratum, t, avg(case when flip then value else -value end) as m from sg group by 1, 2), ow as (select stratum, count(*) as n, avg(value) as observed, max(abs(value)) as largest from nv group by 1)
 select stratum, n, round(observed, 9) as observed, case when largest <= 1e-8 then 1.0 else round(avg(case when abs(m) >= abs(observed) - 1e-12 then 1.0 else 0.0 end), 9) end as p from ms join ow using (stratum) group by stratum, n, observed, largest""",
     "two_sample_bootstrap": f"""{DIFF}, lg as (select qid, 'a' as side, clean as value from byq union all select qid, 'b', attacked from byq), nv as (select side, row_number() over (partition by side order by qid) - 1 as i, count(*) over (partition by side) as n, value from lg where value is not null),
-pk as (select side, b, {mixed('hh')} % n as i from (select side, n, b, {fnv("concat_ws(':', '14', side, b, i)")} as hh from nv, range(200) r(b))),
+pk as (select side, b, hh % n as i from {drawn('(select side, n, b, i from nv, range(2000) r(b))', '14', "case when side = 'b' then 1 else 0 end", 'b', 'i')}),
 ms as (select b, avg(value) filter (where pk.side = 'b') - avg(value) filter (where pk.side = 'a') as m from pk join nv on nv.side = pk.side and nv.i = pk.i group by 1), so as (select list(m order by m) as l from ms)
-select count(*) filter (where side = 'a') as n_a, count(*) filter (where side = 'b') as n_b, round(avg(value) filter (where side = 'b') - avg(value) filter (where side = 'a'), 9) as difference, round((select l[6] from so), 9) as low, round((select l[196] from so), 9) as high from nv""",
+select count(*) filter (where side = 'a') as n_a, count(*) filter (where side = 'b') as n_b, round(avg(value) filter (where side = 'b') - avg(value) filter (where side = 'a'), 9) as difference, round((select l[51] from so), 9) as low, round((select l[1951] from so), 9) as high from nv""",
     "auc_tie_aware": f"""with {PQ}, g as (select p.stratum, stance_gap as x, case when attack = 'clean' then 0 else 1 end as y from pq p join cells using (cell_id) where stance_gap is not null),
 r as (select *, rank() over (partition by stratum order by x) + (count(*) over (partition by stratum, x) - 1) / 2.0 as rk from g)
 select stratum, sum(y)::bigint as n_pos, sum(1 - y)::bigint as n_neg, case when sum(y) * sum(1 - y) > 0 then round((sum(case when y = 1 then rk end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 9) end as auc from r group by 1""",
@@ -206,7 +217,7 @@ select stratum, sum(y)::bigint as n_pos, sum(1 - y)::bigint as n_neg, case when
 (select stratum, stance_gap as x, poison_share as y from by_stratum where stance_gap is not null and poison_share is not null and cast(stance_gap as varchar) <> 'nan' and cast(poison_share as varchar) <> 'nan') group by 1""",
     "nearest_rank_p90": f"""with {PQ} select stratum, n, v as value from (select stratum, drift_tv as v, row_number() over (partition by stratum order by drift_tv) - 1 as i, count(*) over (partition by stratum) as n from pq where drift_tv is not null) where i = least(n - 1, floor(0.9 * n))""",
     "replica_batches": f"""with {PQ}, r as (select *, row_number() over (partition by cell_id, stratum order by qid) - 1 as i, count(*) over (partition by cell_id, stratum) as n from pq),
-bb as (select cell_id, stratum, cast(floor(i / greatest(1, floor(n / 6))) as bigint) as batch, stance_gap from r) select cell_id, stratum, batch, count(*) as n, round(avg(stance_gap), 12) as gap from bb group by 1, 2, 3 having count(*) >= 3""",
+bb as (select cell_id, stratum, cast(floor(i / greatest(1, floor(n / 12))) as bigint) as batch, stance_gap from r) select cell_id, stratum, batch, count(*) as n, round(avg(stance_gap), 12) as gap from bb group by 1, 2, 3 having count(*) >= 3""",
     "monitor_scores": f"""with {PQ}, g as (select p.stratum, attack, stance_gap as x, avg(stance_gap) over (partition by p.stratum, attack) as m from pq p join cells using (cell_id))
 select stratum, attack, round(avg(abs(x - 0.5)), 12) as off_half, round(max(abs(x - m)), 12) as deviation from g group by 1, 2""",
     "paired_monitor": f"""{DIFF}, gg as (select round(abs(attacked - clean), 9) as x, 1 as y from byq where attacked is not null and clean is not null union all select 0.0, 0 from byq where attacked is not null and clean is not null),
@@ -238,6 +249,13 @@ select c.cond, count(*) as n, sum(case when c.l <> b.l then 1 else 0 end)::bigin
 select t.*, round(t.gap - b.gap, 12) as delta from t left join t b on b.defense = 'vanilla' and b.retriever is not distinct from t.retriever and b.stratum is not distinct from t.stratum""",
     "cell_lookup": "select retriever, defense, count(*) as n from by_stratum where attack = 'template' and backbone is null and abs(poison_rate - 0.02) < 1e-9 group by 1, 2",
     "number_provenance": "select run_tag, x, count(*) as n from by_stratum, (values (0.25::double), (1.5), (2.234)) s(x) where mean_score is not null and cast(mean_score as varchar) <> 'nan' and abs(mean_score - x) <= 5e-4 group by 1, 2",
+    "top_agreement": "with l as ({bm25_topk}), r as ({hash_dense_topk}), x as (select qid, list_sort(list(distinct ord)) as a from l group by 1), y as (select qid, list_sort(list(distinct ord)) as b from r group by 1) select count(*) as n, sum(case when a = b then 1 else 0 end)::bigint as same from x join y using (qid)",
+    "collected_contexts": f"""with {D}, {S}, w as (select 'clean' as cond, (select min(cell_id) from cells where attack = 'clean') as cell_id union all select 'poisoned', (select min(cell_id) from cells where attack <> 'clean' and defense = 'vanilla')
+union all select 'r1only', (select min(cell_id) from cells where defense = 'repr_group') union all select 'r2both', (select min(cell_id) from cells where defense = 'repr_both')),
+l as (select cond, s.qid, s.rnk, s.doc_id, coalesce(d.text, '') as text, s.is_poison from s join w using (cell_id) left join d on d.ord = s.ord)
+select cond, qid, string_agg(doc_id, ',' order by rnk) as ids, cast(sum(case when is_poison then 1 else 0 end) as int) as n_poison,
+cast(length(string_agg('[' || rnk || '] ' || text, chr(10) order by rnk)) as int) as size from l group by 1, 2""",
     "attack_success": PERQ + "poison_in_topk, poison_share from pq",
     "in_pool_rate": PERQ + "in_pool_rate, mean_score from pq",
 } | {m: PERQ + f"{m} from pq" for m in ("drift_tv", "drift_js", "stance_shift", "stance_div", "stance_onesided", "stance_gap")}
+SQL["top_agreement"] = SQL["top_agreement"].format(bm25_topk=SQL["bm25_topk"], hash_dense_topk=SQL["hash_dense_topk"])

@@ -342,7 +342,7 @@ def nearest_rank_p90(s, d):
 
 
 def replica_batches(s, d):
-    rows = stats.batches(per_query(s, d), ["cell_id", "stratum"], "qid", 6)
+    rows = stats.batches(per_query(s, d), ["cell_id", "stratum"], "qid")
     return rows.groupBy("cell_id", "stratum", "batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("stance_gap"), 12).alias("gap"))
 
 
