@@ -33,13 +33,13 @@ WIDTH = 512
 #: Min-hashes of 2 bits in a key row, and how many of them similar texts share at least: by the
 #: binomial law 8 of 10,000 pairs at the limit share fewer, and 1 of a million at 0.6.
 SHORT, SHORT_ALIKE = 47, 19
-#: Min-hashes of 4 bits in the two words of the longer sketch; the least weighted number alike of
+#: Min-hashes of 4 bits in the four words of the longer sketch; the least weighted number alike of
 #: both sketches (2 and 3 are their log-likelihood ratios against unlike texts): 7 of 10,000 at the limit.
-LONG, WEIGHTS, ALIKE = 32, (2, 3), 75
+LONG, WEIGHTS, ALIKE = 64, (2, 3), 117
 #: Steps of the number of word pairs per doubling; of similar texts none has more than twice the other's.
 STEPS = 4
-#: Number in the place of the block in the two rows of a text's longer sketch.
-SKETCH_ROWS = (14, 15)
+#: Numbers in the place of the block in the four rows of a text's longer sketch.
+SKETCH_ROWS = (12, 13, 14, 15)
 #: Bits of the filter that keeps texts without candidates out of the check's shuffle.
 FILTER_BITS = 1 << 24
 #: Fixed value: generator polynomial of the binary Golay code.
@@ -155,7 +155,7 @@ class Fingerprints:
     def rows(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(text number, packed key, sketch) of the texts with at least two words. A packed key has,
         from above, the block, 24 bits of codewords, 6 bits of the number of word pairs and 30 bits
-        of the short sketch, the rest of which is in the other word. Two rows of every text have the
+        of the short sketch, the rest of which is in the other word. Four rows of every text have the
         longer sketch instead, under the block numbers SKETCH_ROWS."""
         if len(self.number) > self.REMEMBERED:
             self.forget()
@@ -228,7 +228,7 @@ class Fingerprints:
         spread = hashes[ids[np.cumsum(size) - 1]] >> np.uint64(40) << np.uint64(36)
         marks = [(spread | np.uint64(b << 60)).view(np.int64) for b in SKETCH_ROWS]
         return (
-            np.concatenate([every, np.array(which), np.array(which)]),
+            np.concatenate([every, *[np.array(which)] * len(SKETCH_ROWS)]),
             np.concatenate([packed[used], *marks]),
             np.concatenate([sketch, *[x.view(np.int64) for x in long]]),
         )
@@ -277,22 +277,26 @@ def candidates(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (docs.count() if n_docs is None else n_docs) * BLOCKS * KEYS // ROWS_A_TASK)
     key = F.shiftright("packed", 36)
-    rows = docs.select("id", "copy", "text").mapInArrow(key_rows, f"id {kind}, packed long, sketch long").repartition(tasks, key)
-    block = F.shiftrightunsigned("packed", 60)
-    left = rows.filter(block < SKETCH_ROWS[0]).select(F.col("id").alias("a"), F.col("packed").alias("pa"), F.col("sketch").alias("sa"))
-    right = rows.filter(block < SKETCH_ROWS[0]).select(F.col("id").alias("b"), F.col("packed").alias("pb"), F.col("sketch").alias("sb"))
+    rows = docs.select("id", "copy", "text").mapInArrow(key_rows, f"id {kind}, packed long, sketch long")
+    rows = rows.filter("id is not null and packed is not null and sketch is not null").repartition(tasks, key)  # all true: what each side would infer for itself
+    left = rows.select(F.col("id").alias("a"), F.col("packed").alias("pa"), F.col("sketch").alias("sa"))
+    right = rows.select(F.col("id").alias("b"), F.col("packed").alias("pb"), F.col("sketch").alias("sb"))
+    block = lambda c: F.shiftrightunsigned(c, 60)
     pa_pb = F.col("pa").bitwiseXOR(F.col("pb"))
     differ = _differ(pa_pb.bitwiseAND(F.lit((1 << 30) - 1)), 2, 0x15555555) + _differ(F.col("sa").bitwiseXOR(F.col("sb")), 2, 0x5555555555555555)
-    same = F.shiftright("pa", 36) == F.shiftright("pb", 36)
+    # conditions on both sides stay above the shuffle, so that there is one for all
+    same = (F.shiftright("pa", 36) == F.shiftright("pb", 36)) & (block("pa") + block("pb") < 2 * SKETCH_ROWS[0])
     step = lambda c: F.shiftright(c, 30).bitwiseAND(F.lit(63))
     near = F.abs(step("pa") - step("pb")) <= STEPS + 1
     # both sides read one shuffle, by key, in as many tasks as keep a side small; neither is broadcast
     met = left.join(right.hint("shuffle_hash"), same & (F.col("a") < F.col("b")) & near & (differ <= SHORT - SHORT_ALIKE)).select("a", "b", differ.alias("differ"))
     # the longer sketches come out of the same shuffle
-    longer = rows.filter(block >= SKETCH_ROWS[0]).groupBy("id").agg(*[F.max(F.when(block == b, F.col("sketch"))).alias(f"s{i}") for i, b in enumerate(SKETCH_ROWS)])
+    n = len(SKETCH_ROWS)
+    above = block("packed") + F.floor(F.rand(0)) >= SKETCH_ROWS[0]  # a random nothing, or the filter would move below the shuffle and repeat it
+    longer = rows.filter(above).groupBy("id").agg(*[F.max(F.when(block("packed") == b, F.col("sketch"))).alias(f"s{i}") for i, b in enumerate(SKETCH_ROWS)])
     for side in ("a", "b"):
-        met = met.join(longer.select(F.col("id").alias(side), *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(2)]), side)
-    differ = sum((_differ(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")), 4, 0x1111111111111111) for i in range(2)), F.lit(0))
+        met = met.join(longer.select(F.col("id").alias(side), *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(n)]), side)
+    differ = sum((_differ(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")), 4, 0x1111111111111111) for i in range(n)), F.lit(0))
     least = WEIGHTS[0] * (SHORT - F.col("differ")) + WEIGHTS[1] * (LONG - differ)
     return met.filter(least >= ALIKE).select("a", "b").distinct()
 
