@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import counter_random
 from ..functions.text import align_words, strip_filler
 from .ranks import place
-from .retrieve import dot
+from .retrieve import dot, top_k, vector_top_k
 
 
 def budget(rate: Column, n_docs: Column) -> Column:
@@ -85,6 +87,35 @@ def usage(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.select("ord", F.col("v").alias("x")).join(after.select("ord", F.col("v").alias("y")), "ord").agg(F.avg(cosine(F.col("x"), F.col("y"))).alias("usage"))
 
 
+def usage_by_lambda(vectors: DataFrame, queries: DataFrame, lambdas: Sequence[float]) -> DataFrame:
+    """(lam, usage): mean cosine of the injected vectors before and after the push, for all strengths
+    in one pass: with a = <h, q> / |q|^2, the pushed norm and product follow from |h|^2 and a."""
+    rows = vectors.filter("is_poison").crossJoin(F.broadcast(mean_vector(queries)))
+    rows = rows.select(dot(F.col("v"), F.col("v")).alias("n"), dot(F.col("v"), F.col("mean")).alias("a"), dot(F.col("mean"), F.col("mean")).alias("q"))
+    rows = rows.withColumn("g", F.when(F.col("q") > 1e-12, F.col("a") * F.col("a") / F.col("q")).otherwise(0.0)).withColumn("lam", F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
+    lam, n, g = F.col("lam"), F.col("n"), F.col("g")
+    norms = F.sqrt(n) * F.sqrt(n + 2 * lam * g + lam * lam * g)
+    return rows.groupBy("lam").agg(F.avg(F.when(norms == 0, 1.0).otherwise((n + lam * g) / norms)).alias("usage"))
+
+
+def swept_top_k(vectors: DataFrame, queries: DataFrame, lambdas: Sequence[float], k: int) -> DataFrame:
+    """(lam, qid, rnk, ord, is_poison, score): top-k under every strength of the push. Scores are linear
+    in it: an injected vector's is <h, q> + lam a <mean, q>, so its vector gets a as one more number
+    and each query one per strength; clean vectors are ranked once."""
+    mean = mean_vector(queries)
+    norm = dot(F.col("mean"), F.col("mean"))
+    step = F.when(norm > 1e-12, dot(F.col("v"), F.col("mean")) / norm).otherwise(0.0)
+    double = F.col("v").cast("array<double>")
+    pushed = vectors.filter("is_poison").crossJoin(F.broadcast(mean)).select("ord", F.array_append(double, step).alias("v"))
+    asked = queries.crossJoin(F.broadcast(mean)).withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(len(lambdas) - 1))))
+    lams = F.array(*[F.lit(float(x)) for x in lambdas])
+    asked = asked.select((F.col("qid") * len(lambdas) + F.col("l")).alias("qid"), F.array_append(double, F.get(lams, F.col("l")) * dot(F.col("v"), F.col("mean"))).alias("v"))
+    strength = F.get(lams, F.pmod("qid", F.lit(len(lambdas))).cast("int"))
+    bad = vector_top_k(pushed, asked, k).select(strength.alias("lam"), F.floor(F.col("qid") / len(lambdas)).cast("long").alias("qid"), "ord", F.lit(True).alias("is_poison"), "score")
+    good = vector_top_k(vectors.filter(~F.col("is_poison")), queries, k).select(F.explode(lams).alias("lam"), "qid", "ord", F.lit(False).alias("is_poison"), "score")
+    return top_k(good.unionByName(bad), ["lam", "qid"], k)
+
+
 def best_lambda(sims: DataFrame, lambdas: DataFrame, r: int, beta: float = 1.0) -> DataFrame:
     """(lam, objective) of the strongest projection: the mean of the r largest values of similarity
     minus penalty per lambda; equal objectives keep the first lambda. ``sims`` has (ord, sim, gain,

@@ -6,6 +6,8 @@ mean comes with the number of values it is a mean of.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +58,20 @@ def js_of_two(p: Column, q: Column) -> Column:
     return half_kl(p, m) + half_kl(q, m) + half_kl(1 - p, w) + half_kl(1 - q, w)
 
 
-def evaluate(selection: DataFrame, reference: DataFrame, docs: DataFrame, queries: DataFrame, strata: DataFrame, pool: DataFrame, poisoned: DataFrame) -> DataFrame:
+def evaluate(selection: DataFrame, reference: DataFrame, docs: DataFrame, queries: DataFrame, strata: DataFrame, pool: DataFrame | Callable[[DataFrame], DataFrame], poisoned: DataFrame) -> DataFrame:
     """(cell_id, qid, stratum and METRICS), one row per selection.
 
-    ``reference`` holds clean selections under the same keys; a selection without one is compared
-    with the empty profile. ``pool`` has (qid, doc_id), ``poisoned`` the (cell_id) of cells into
-    which something was injected: elsewhere inclusion is undefined.
+    ``reference`` holds clean selections under the same keys, or (cell_id, ref): the cell whose
+    selection is the clean one; a selection without one is compared with the empty profile.
+    ``pool`` has (qid, doc_id) or is a function that adds ``pooled`` to selected rows; ``poisoned``
+    has the (cell_id) of cells into which something was injected: elsewhere inclusion is undefined.
     """
     own = group_profile(selection, queries, strata)
-    ref = group_profile(reference, queries, strata).select(*KEYS, "grp", F.col("share").alias("ref"))
+    if "ref" in reference.columns:
+        of = reference.select(F.col("cell_id").alias("to"), F.col("ref").alias("cell_id"))
+        ref = own.join(of, "cell_id").select(F.col("to").alias("cell_id"), "qid", "grp", F.col("share").alias("ref"))
+    else:
+        ref = group_profile(reference, queries, strata).select(*KEYS, "grp", F.col("share").alias("ref"))
     rates = corpus_rates(docs).select("grp", F.col("fav_rate").alias("base"))
     rows = own.join(ref, [*KEYS, "grp"], "left").fillna(0.0, ["ref"]).join(rates, "grp", "left")
     per = Window.partitionBy(*KEYS)
@@ -79,9 +86,9 @@ def evaluate(selection: DataFrame, reference: DataFrame, docs: DataFrame, querie
         F.round(F.max(F.abs(F.col("fav_rate") - 0.5)), 9).alias("stance_onesided"),
         F.when(F.count("fav_rate") >= 2, F.round(F.max("fav_rate") - F.min("fav_rate"), 9)).alias("stance_gap"),
     )
-    tagged = selection.join(pool.select("qid", "doc_id", F.lit(1).alias("pooled")), ["qid", "doc_id"], "left")
+    tagged = pool(selection) if callable(pool) else selection.join(pool.select("qid", "doc_id", F.lit(True).alias("pooled")), ["qid", "doc_id"], "left")
     hits = F.when(F.col("is_poison"), 1.0).otherwise(0.0)
-    tops = tagged.groupBy(*KEYS).agg(F.max(hits).alias("hit"), F.avg(hits).alias("part"), F.round(F.avg(F.when(F.col("pooled") == 1, 1.0).otherwise(0.0)), 9).alias("in_pool_rate"), F.round(F.avg("score"), 9).alias("mean_score"))
+    tops = tagged.groupBy(*KEYS).agg(F.max(hits).alias("hit"), F.avg(hits).alias("part"), F.round(F.avg(F.when(F.col("pooled"), 1.0).otherwise(0.0)), 9).alias("in_pool_rate"), F.round(F.avg("score"), 9).alias("mean_score"))
     tops = tops.join(poisoned.select("cell_id", F.lit(1).alias("attacked")), "cell_id", "left")
     tops = tops.select(*KEYS, F.when(F.col("attacked") == 1, F.col("hit")).alias("poison_in_topk"), F.when(F.col("attacked") == 1, F.round("part", 9)).alias("poison_share"), "in_pool_rate", "mean_score")
     return sets.join(tops, KEYS).select(*KEYS, "stratum", *METRICS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numbers import counter_random, defined, mixed
 from ..operators import attack, generation, metrics, reports, retrieve, select, stats
+from ..session import cut
 from ..sources.tables import table
 
 K = 5
@@ -27,10 +28,13 @@ def strata(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "strata")
 
 
-def pool(s: SparkSession, d: str) -> DataFrame:
-    """The candidate pool of a query: every fiftieth document, by corpus order."""
-    q = queries(s, d).select("qid", F.pmod("qord", F.lit(50)).alias("m"))
-    return docs(s, d).select("doc_id", F.pmod("ord", F.lit(50)).alias("m")).join(F.broadcast(q), "m").select("qid", "doc_id")
+def pooled(s: SparkSession, d: str, chosen: DataFrame) -> DataFrame:
+    """The selected rows with ``pooled``: whether they are in their query's candidate pool, which is
+    every fiftieth document by corpus order. Looked up from the k rows of each query; the pool
+    itself is never built."""
+    q = retrieve.small_side(queries(s, d).select("qid", F.pmod("qord", F.lit(50)).alias("m")))
+    of = docs(s, d).select("doc_id", F.pmod("ord", F.lit(50)).alias("at"))
+    return chosen.join(of, "doc_id", "left").join(q, "qid", "left").withColumn("pooled", F.coalesce(F.col("at") == F.col("m"), F.lit(False))).drop("at", "m")
 
 
 def listed(s: SparkSession, d: str) -> DataFrame:
@@ -43,19 +47,18 @@ def selection(s: SparkSession, d: str, k: int = K) -> DataFrame:
     return retrieve.top_k(listed(s, d), ["cell_id", "qid"], k)
 
 
-def reference(s: SparkSession, d: str, chosen: DataFrame) -> DataFrame:
-    """For each cell, the selection of the first clean, undefended cell with its retriever and
+def reference(s: SparkSession, d: str) -> DataFrame:
+    """(cell_id, ref): for each cell, the first clean, undefended cell with its retriever and
     backbone."""
     c = table(s, d, "cells")
     clean = c.filter((F.col("attack") == "clean") & (F.col("defense") == "vanilla")).groupBy(F.col("retriever").alias("r"), F.col("backbone").alias("b")).agg(F.min("cell_id").alias("ref"))
-    of = c.join(clean, F.col("retriever").eqNullSafe(F.col("r")) & F.col("backbone").eqNullSafe(F.col("b"))).select(F.col("cell_id").alias("to"), "ref")
-    return chosen.join(of, F.col("cell_id") == F.col("ref")).drop("cell_id", "ref").withColumnRenamed("to", "cell_id")
+    return c.join(clean, F.col("retriever").eqNullSafe(F.col("r")) & F.col("backbone").eqNullSafe(F.col("b"))).select("cell_id", "ref")
 
 
 def per_query(s: SparkSession, d: str) -> DataFrame:
-    chosen = selection(s, d)
+    chosen = cut(selection(s, d))  # k rows a key, read for profiles and for hits
     attacked = table(s, d, "cells").filter(F.col("attack") != "clean").select("cell_id")
-    return metrics.evaluate(chosen, reference(s, d, chosen), docs(s, d), queries(s, d), strata(s, d), pool(s, d), attacked)
+    return metrics.evaluate(chosen, reference(s, d), docs(s, d), queries(s, d), strata(s, d), lambda rows: pooled(s, d, rows), attacked)
 
 
 def _metric(*names: str):
@@ -158,11 +161,7 @@ def subspace_project(s, d):
 
 def projection_usage(s, d):
     v = _vectors(s, d)
-    parts = [attack.usage(v.filter("is_poison"), attack.projected(v, _vector_queries(v), lam).filter("is_poison")).select(F.lit(lam).alias("lam"), F.round("usage", 6).alias("usage")) for lam in LAMBDAS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return attack.usage_by_lambda(v, _vector_queries(v), LAMBDAS).select("lam", F.round("usage", 6).alias("usage"))
 
 
 def adaptive_lambda(s, d):
@@ -177,16 +176,8 @@ def adaptive_lambda(s, d):
 def lambda_sweep(s, d):
     """How the share of injected rows among the top 5 grows with the push along the mean query."""
     v = _vectors(s, d)
-    q = _vector_queries(v)
-    parts = []
-    for lam in LAMBDAS:
-        pushed = attack.projected(v, q, lam)
-        top = retrieve.vector_top_k(pushed.select("ord", "v"), q, K).join(pushed.select("ord", "is_poison"), "ord")
-        parts.append(top.agg(F.lit(lam).alias("lam"), F.round(F.avg(F.when(F.col("is_poison"), 1.0).otherwise(0.0)), 9).alias("poison_share"), F.round(F.avg("score"), 6).alias("mean_score")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    top = attack.swept_top_k(v, _vector_queries(v), LAMBDAS, K)
+    return top.groupBy("lam").agg(F.round(F.avg(F.when(F.col("is_poison"), 1.0).otherwise(0.0)), 9).alias("poison_share"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 def swap_control(s, d):
@@ -219,7 +210,8 @@ def select_multi_query(s, d):
     n = 5
     q = queries(s, d)
     texts, same = retrieve.distinct_texts(q)
-    v = select.variants(texts, n).select(F.concat_ws("#", "qid", "v").alias("qid"), "text")
+    v = cut(select.variants(texts, n).select(F.concat_ws("#", "qid", "v").alias("qid"), "text"))
+    # every (term, document) part is made once; a variant is one more column of the query matrix
     ranked = retrieve.top_by_text(docs(s, d), v, retrieve.fetch_size(K))
     ranked = ranked.select(F.split("qid", "#")[0].alias("qid"), F.split("qid", "#")[1].cast("int").alias("v"), "ord", "rnk")
     return retrieve.to_all(select.consistency(ranked, n + 1, K), same).select("qid", "rnk", "ord", "score")
