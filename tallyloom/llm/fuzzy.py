@@ -225,7 +225,7 @@ class Fingerprints:
         packed = keys << 36 | low.astype(np.int64)[:, None]
         every, sketch = (np.repeat(x, BLOCKS * KEYS)[used.ravel()] for x in (np.array(which), short.view(np.int64)))
         # spread over the tasks of the key shuffle like the keys
-        spread = hashes[ids[np.cumsum(size) - 1]] >> np.uint64(40) << np.uint64(36)
+        spread = (short * np.uint64(0x9E3779B97F4A7C15) ^ low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40) << np.uint64(36)
         marks = [(spread | np.uint64(b << 60)).view(np.int64) for b in SKETCH_ROWS]
         return (
             np.concatenate([every, *[np.array(which)] * len(SKETCH_ROWS)]),
