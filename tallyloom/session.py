@@ -7,6 +7,7 @@ and fall back to test-friendly values only where the session has none.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import zipfile
@@ -29,10 +30,14 @@ def local_session(app: str = "tallyloom", cores: int = 8, partitions: int = 8) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only in a local session where it
+    is unset. On a cluster without the setting this is a RuntimeError: a machine's own folder would
+    be lost with the machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -44,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the context drop the shuffle files of plans that nothing refers to any more; call after
+    cut(), when a large shuffle has served its purpose. It only asks: nothing in use is dropped."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once per context; call before using it in a worker."""
     context = spark.sparkContext
