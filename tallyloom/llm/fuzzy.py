@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut, release, ship
 
 #: Exact similarity from which two texts are a pair.
 SIMILARITY = 0.5
@@ -33,13 +33,13 @@ WIDTH = 512
 #: Min-hashes of 2 bits in a key row, and how many of them similar texts share at least: by the
 #: binomial law 8 of 10,000 pairs at the limit share fewer, and 1 of a million at 0.6.
 SHORT, SHORT_ALIKE = 47, 19
-#: Min-hashes of 4 bits in the four words of the longer sketch; the least weighted number alike of
-#: both sketches (2 and 3 are their log-likelihood ratios against unlike texts): 7 of 10,000 at the limit.
-LONG, WEIGHTS, ALIKE = 64, (2, 3), 117
+#: Min-hashes of 1 bit in the two words of the longer sketch; the least weighted number alike of both
+#: sketches (4 and 3 are their log-likelihood ratios against unlike texts): 7 of 10,000 at the limit.
+LONG, WEIGHTS, ALIKE = 128, (4, 3), 342
 #: Steps of the number of word pairs per doubling; of similar texts none has more than twice the other's.
 STEPS = 4
-#: Numbers in the place of the block in the four rows of a text's longer sketch.
-SKETCH_ROWS = (12, 13, 14, 15)
+#: Numbers in the place of the block in the two rows of a text's longer sketch.
+SKETCH_ROWS = (14, 15)
 #: Bits of the filter that keeps texts without candidates out of the check's shuffle.
 FILTER_BITS = 1 << 24
 #: Fixed value: generator polynomial of the binary Golay code.
@@ -155,7 +155,7 @@ class Fingerprints:
     def rows(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(text number, packed key, sketch) of the texts with at least two words. A packed key has,
         from above, the block, 24 bits of codewords, 6 bits of the number of word pairs and 30 bits
-        of the short sketch, the rest of which is in the other word. Four rows of every text have the
+        of the short sketch, the rest of which is in the other word. Two rows of every text have the
         longer sketch instead, under the block numbers SKETCH_ROWS."""
         if len(self.number) > self.REMEMBERED:
             self.forget()
@@ -194,7 +194,7 @@ class Fingerprints:
         order = np.sort(np.repeat(np.arange(n, dtype=np.uint64), size - 1) << np.uint64(32) | pairs)
         count = np.bincount((order[np.concatenate([[True], order[1:] != order[:-1]])] >> np.uint64(32)).astype(np.int64), minlength=n)
         step = np.minimum(np.floor(np.log2(count) * STEPS), 63).astype(np.uint64)
-        two, four = (least[:SHORT] >> np.uint32(30)).astype(np.uint64), (least[SHORT:] >> np.uint32(28)).astype(np.uint64)
+        two, one = (least[:SHORT] >> np.uint32(30)).astype(np.uint64), (least[SHORT:] >> np.uint32(31)).astype(np.uint64)
         low, short, long = step << np.uint64(30), np.zeros(n, np.uint64), [np.zeros(n, np.uint64) for _ in SKETCH_ROWS]
         for k in range(SHORT):
             if k < 15:
@@ -202,7 +202,7 @@ class Fingerprints:
             else:
                 short |= two[k] << np.uint64(2 * (k - 15))
         for k in range(LONG):
-            long[k // 16] |= four[k] << np.uint64(4 * (k % 16))
+            long[k // 64] |= one[k] << np.uint64(k % 64)
 
         row, word = np.repeat(np.arange(n), distinct), np.array(once)
         cell = row * WIDTH + (hashes[word] % np.uint64(WIDTH)).astype(np.int64)
@@ -262,12 +262,9 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(take).take(pa.array(which)), pa.array(packed), pa.array(sketch)], names=["id", "packed", "sketch"])
 
 
-def _differ(x: Column, bits: int, ones: int) -> Column:
-    """How many groups of two or four bits of an XOR are not zero."""
-    spread = x
-    for k in range(1, bits):
-        spread = spread.bitwiseOR(F.shiftright(x, k))
-    return F.bit_count(spread.bitwiseAND(F.lit(ones)))
+def _differ(x: Column, ones: int) -> Column:
+    """How many groups of two bits of an XOR are not zero."""
+    return F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(ones)))
 
 
 def candidates(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
@@ -283,7 +280,7 @@ def candidates(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
     right = rows.select(F.col("id").alias("b"), F.col("packed").alias("pb"), F.col("sketch").alias("sb"))
     block = lambda c: F.shiftrightunsigned(c, 60)
     pa_pb = F.col("pa").bitwiseXOR(F.col("pb"))
-    differ = _differ(pa_pb.bitwiseAND(F.lit((1 << 30) - 1)), 2, 0x15555555) + _differ(F.col("sa").bitwiseXOR(F.col("sb")), 2, 0x5555555555555555)
+    differ = _differ(pa_pb.bitwiseAND(F.lit((1 << 30) - 1)), 0x15555555) + _differ(F.col("sa").bitwiseXOR(F.col("sb")), 0x5555555555555555)
     # conditions on both sides stay above the shuffle, so that there is one for all
     same = (F.shiftright("pa", 36) == F.shiftright("pb", 36)) & (block("pa") + block("pb") < 2 * SKETCH_ROWS[0])
     step = lambda c: F.shiftright(c, 30).bitwiseAND(F.lit(63))
@@ -296,7 +293,7 @@ def candidates(docs: DataFrame, n_docs: int | None = None) -> DataFrame:
     longer = rows.filter(above).groupBy("id").agg(*[F.max(F.when(block("packed") == b, F.col("sketch"))).alias(f"s{i}") for i, b in enumerate(SKETCH_ROWS)])
     for side in ("a", "b"):
         met = met.join(longer.select(F.col("id").alias(side), *[F.col(f"s{i}").alias(f"{side}{i}") for i in range(n)]), side)
-    differ = sum((_differ(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")), 4, 0x1111111111111111) for i in range(n)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(n)), F.lit(0))
     least = WEIGHTS[0] * (SHORT - F.col("differ")) + WEIGHTS[1] * (LONG - differ)
     return met.filter(least >= ALIKE).select("a", "b").distinct()
 
@@ -386,6 +383,7 @@ def distinct_pairs(df: DataFrame, key: str = "ord", text: str = "text", limit: f
     a, b = F.coalesce("fa", "a"), F.coalesce("fb", "b")
     met = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter(F.col("a") < F.col("b"))
     met = cut(met.distinct())
+    release(docs.sparkSession)  # the key shuffle is done with
     return cut(checked(met, docs, limit)), twins
 
 

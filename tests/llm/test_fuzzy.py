@@ -105,7 +105,7 @@ def test_a_third_of_copies_makes_no_candidates(spark):
 
 def test_sketch_loses_no_pairs_at_the_limit(spark):
     both = 0.5
-    short, long = ([math.comb(n, k) * (p := both + (1 - both) / size) ** k * (1 - p) ** (n - k) for k in range(n + 1)] for n, size in ((fuzzy.SHORT, 4), (fuzzy.LONG, 16)))
+    short, long = ([math.comb(n, k) * (p := both + (1 - both) / size) ** k * (1 - p) ** (n - k) for k in range(n + 1)] for n, size in ((fuzzy.SHORT, 4), (fuzzy.LONG, 2)))
     assert sum(short[: fuzzy.SHORT_ALIKE]) < 0.001
     weigh = lambda a, b: fuzzy.WEIGHTS[0] * a + fuzzy.WEIGHTS[1] * b
     assert sum(x * y for a, x in enumerate(short) for b, y in enumerate(long) if weigh(a, b) < fuzzy.ALIKE) < 0.001
