@@ -107,19 +107,20 @@ def constrained(ords: Sequence[int], groups: Sequence[str | None], stances: Sequ
 TRACE = ("skipped", "repaired", "exhausted", "fallback", "drift_group", "drift_stance")
 
 
-def stance_budget(candidates: DataFrame, keys: list[str], k: int, epsilon: float, mode: str = "both", fixed: bool = False) -> DataFrame:
+def stance_budget(candidates: DataFrame, keys: list[str], k: int, epsilon: Column | float, mode: str = "both", fixed: bool = False) -> DataFrame:
     """(keys, rnk, ord, score, and the trace columns): the stance modes over each key's few rows."""
     ship(candidates.sparkSession)
     own = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "ord", "grp", F.col("stance").cast("int").alias("stance"))))
-    rows = candidates.groupBy(*keys).agg(own.alias("rows"))  # at most fetch_size(k) rows a key
+    eps = F.lit(float(epsilon)) if isinstance(epsilon, int | float) else epsilon
+    rows = candidates.groupBy(*keys).agg(own.alias("rows"), F.max(eps).alias("eps"))  # at most fetch_size(k) rows a key
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, columns = [], [[] for _ in range(3 + len(TRACE))]
-            for at, own in enumerate(batch.column(len(keys)).to_pylist()):
+            for at, (own, eps) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True)):
                 scores = [-r["down"] for r in own]
-                picked, trace = constrained([r["ord"] for r in own], [r["grp"] for r in own], [r["stance"] or 0 for r in own], scores, k, epsilon, mode, fixed)
+                picked, trace = constrained([r["ord"] for r in own], [r["grp"] for r in own], [r["stance"] or 0 for r in own], scores, k, eps, mode, fixed)
                 for place, i in enumerate(picked, 1):
                     of.append(at)
                     for column, value in zip(columns, (place, own[i]["ord"], scores[i], *(trace[t] for t in TRACE)), strict=True):

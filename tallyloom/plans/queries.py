@@ -10,6 +10,7 @@ from ..functions.numbers import counter_random, defined, mixed
 from ..operators import attack, generation, metrics, reports, retrieve, select, stats
 from ..session import cut
 from ..sources.tables import table
+from . import sweep
 
 K = 5
 LAMBDAS = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0)
@@ -484,6 +485,11 @@ def number_provenance(s, d):
     return reports.close_values(t, "m", series).groupBy("run_tag", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
+def experiment_grid(s, d):
+    """The whole grid over the controlled corpus; the tables of the folder are not read."""
+    return sweep.controlled(s)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -494,7 +500,7 @@ QUERIES = {
         bootstrap_ci, paired_bootstrap, paired_permutation, two_sample_bootstrap, auc_tie_aware, pearson_by_stratum, nearest_rank_p90, replica_batches, monitor_scores,
         paired_monitor, level_spread, inertness, top_agreement, counter_draws, collected_contexts, limited_answers, favourable_rates, strata_means,
         forced_choice_summary, stance_pairs, condition_summary, context_sensitivity, identical_answers, backbone_pivot, lambda_collapse, baseline_delta, cell_lookup, number_provenance,
-        partial_cells, label_audit, figure_data, first_per_stratum,
+        partial_cells, label_audit, figure_data, first_per_stratum, experiment_grid,
     )
 } | {
     "drift_tv": _metric("drift_tv"), "drift_js": _metric("drift_js"), "stance_shift": _metric("stance_shift"), "stance_div": _metric("stance_div"),
