@@ -178,6 +178,31 @@ def forced_choice_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def agreement(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, agree): among records with a choice and a margin, the share whose choice is the
+    favourable option exactly when its probability is the higher one."""
+    both = records.filter(F.col("choice").isNotNull() & (F.col("p_fav") != F.col("p_unfav")))
+    took = choice_score(F.col("choice"), F.col("fav_is_a")) > 0
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(took == (F.col("p_fav") > F.col("p_unfav")), 1.0).otherwise(0.0)), 12).alias("agree"))
+
+
+def commitment_diagnostic(scores: DataFrame, records: DataFrame, keys: list[str], low: float = 0.1) -> DataFrame:
+    """(keys, n, commitment, uncommitted): how far apart the favourable and unfavourable score of a
+    record's group are, from (answer_id, grp, side, p); pairs are made within a group. ``low`` is
+    the distance below which a pair is uncommitted."""
+    pairs = stances(scores).join(records.select("answer_id", *keys), "answer_id")
+    away = F.abs(F.col("stance"))
+    return pairs.filter(F.col("stance").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(away), 9).alias("commitment"), F.round(F.avg(F.when(away < low, 1.0).otherwise(0.0)), 9).alias("uncommitted"))
+
+
+def calibration(scores: DataFrame) -> DataFrame:
+    """(direction, style, n, separation, rnk): how far a scorer tells favourable from unfavourable
+    statements apart under each way of asking, from (direction, style, leaning, p); the best first."""
+    part = lambda sign: F.avg(F.when(F.signum("leaning") == sign, F.col("p")))
+    rows = scores.groupBy("direction", "style").agg(F.count(F.lit(1)).alias("n"), F.round(part(1) - part(-1), 9).alias("separation"))
+    return rows.withColumn("rnk", F.row_number().over(Window.orderBy(F.col("separation").desc_nulls_last(), "direction", "style")))  # one row per way of asking
+
+
 def changed(answers: DataFrame, base: str) -> DataFrame:
     """(cond, n, n_changed): answers per condition that differ from those of the base condition for
     the same generator and query; several answers are compared as sets."""

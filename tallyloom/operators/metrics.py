@@ -181,6 +181,17 @@ def effective_dimension(values: list[float]) -> float:
     return float(np.exp(-(p * np.log(p)).sum()))
 
 
+def effective_dimensions(vectors: DataFrame) -> DataFrame:
+    """(n, dimension) of all vectors (v): one row; the driver sees one matrix of their width."""
+    import numpy as np
+
+    from .select import moment_matrix
+
+    n, _, moments = moment_matrix(vectors)
+    values = np.linalg.eigvalsh(moments) / max(n, 1.0) if n else []
+    return vectors.sparkSession.createDataFrame([(int(n), round(effective_dimension(list(values)), 6))], "n long, dimension double")
+
+
 def anisotropy(vectors: DataFrame) -> DataFrame:
     """(anisotropy): mean cosine of two different vectors, from the sum of unit vectors alone:
     (|sum|^2 - n) / (n (n - 1))."""

@@ -56,8 +56,11 @@ def phantom_columns(df: DataFrame, claimed: list[str]) -> dict[str, list[str]]:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A finished report table of at most ``most`` rows as markdown; null is a dash."""
-    rows = df.limit(most).collect()
+    """A finished report table as markdown, in its order; null is a dash. A table of more than
+    ``most`` rows is no report: a ValueError."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write a file instead")
     line = lambda cells: "| " + " | ".join("-" if c is None else f"{c:.4f}" if isinstance(c, float) else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
 
@@ -71,6 +74,7 @@ def summary(aggregate: DataFrame) -> dict[str, DataFrame]:
         "attack effect": aggregate.filter(F.col("defense") == "vanilla").select(*order[:3], *shown).orderBy(*order[:3]),
         "defenses": aggregate.filter(F.coalesce("epsilon", F.lit(0.0)) == 0).select(*order[:4], *shown).orderBy(*order[:4]),
         "epsilon": aggregate.filter(F.col("epsilon").isNotNull()).select(*order, *shown).orderBy(*order),
+        "adaptive": aggregate.filter(F.col("attack") == "template_plus_projection").select(*order, *shown).orderBy(*order),
     }
 
 
@@ -91,3 +95,23 @@ def label_audit(rows: DataFrame, label: str, parts: dict[str, str]) -> DataFrame
     kind = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
     named = rows.withColumn("expected", F.col(label).substr(F.lit(1), F.instr(F.col(label), ":") - 1))
     return named.groupBy("expected").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("client") == kind[F.col("expected")], 1).otherwise(0)).alias("n_held"))
+
+
+def matched_runs(runs: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(matched, n_runs, n_rows): distinct settings among the runs, with and without a cell of the
+    same settings; null settings are equal to each other."""
+    own = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    known = cells.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    # equal hashes make it a hash join, where null-safe equality of doubles alone would do, too
+    return own.join(known.withColumn("__m", F.lit(1)), on, "left").groupBy((F.col("__m") == 1).alias("m")).agg(F.count(F.lit(1)).alias("n_runs"), F.sum("rows").alias("n_rows")).select(F.coalesce("m", F.lit(False)).alias("matched"), "n_runs", "n_rows")
+
+
+def unchanged(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(n_before, n_after, n_changed, n_new): whether a step left the rows of ``before`` as they were."""
+    b = before.select(F.col(key).alias("k"), F.xxhash64(*columns).alias("h"), F.lit(1).alias("b"))
+    a = after.select(F.col(key).alias("k2"), F.xxhash64(*columns).alias("h2"), F.lit(1).alias("a"))
+    both = b.join(a, F.col("k") == F.col("k2"), "full")
+    return both.agg(F.count("b").alias("n_before"), F.count("a").alias("n_after"), F.count(F.when(F.col("b").isNotNull() & ~F.col("h").eqNullSafe(F.col("h2")), 1)).alias("n_changed"), F.count(F.when(F.col("b").isNull(), 1)).alias("n_new"))

@@ -25,10 +25,15 @@ def vanilla(candidates: DataFrame, keys: list[str], k: int) -> DataFrame:
     return top_k(candidates, keys, k)
 
 
-def group_budget(candidates: DataFrame, keys: list[str], k: int, epsilon: Column | float) -> DataFrame:
+def above(candidates: DataFrame, floor: float = float("-inf")) -> DataFrame:
+    """Candidates whose score reaches the relevance floor; the default keeps all."""
+    return candidates if floor == float("-inf") else candidates.filter(F.col("score") >= floor)
+
+
+def group_budget(candidates: DataFrame, keys: list[str], k: int, epsilon: Column | float, shares: dict[str, float] | None = None) -> DataFrame:
     """Group mode: of each group, at most its share of k plus epsilon k are admitted, neutral rows
     always; the rest of k is filled by score. Shares are uniform over the groups among the
-    candidates. Adds ``admitted`` and the final ``rnk``.
+    candidates, or those of ``shares`` (0 for a group that isn't there). Adds ``admitted`` and the final ``rnk``.
 
     Exact as windows, because the n-th admitted row of a group is its n-th best.
     """
@@ -39,7 +44,10 @@ def group_budget(candidates: DataFrame, keys: list[str], k: int, epsilon: Column
     rows = candidates.withColumn("__groups", F.size(F.collect_set(F.when(relevant, F.col("grp"))).over(own)))
     known = F.max(F.when(relevant, 1).otherwise(0)).over(Window.partitionBy(*keys, "grp")) == 1
     rows = rows.withColumn("__known", F.col("grp").isNotNull() & known).withColumn("__place", F.row_number().over(Window.partitionBy(*keys, "grp").orderBy(*by_score)))
-    allowed = k / F.greatest(F.col("__groups"), F.lit(1)) + eps * k
+    share = 1 / F.greatest(F.col("__groups"), F.lit(1))
+    if shares is not None:
+        share = F.coalesce(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("grp")], F.lit(0.0))
+    allowed = k * share + eps * k
     rows = rows.withColumn("admitted", ~F.col("__known") | (F.col("__place") - 1 < allowed))
     chosen = rows.withColumn("__pick", F.row_number().over(own.orderBy(F.col("admitted").desc(), *by_score))).filter(F.col("__pick") <= k)
     final = own.orderBy(F.col("score").desc(), F.col("admitted").desc(), F.col("ord").asc())
@@ -154,12 +162,9 @@ def consistency(ranked: DataFrame, n: int, k: int, w_freq: float = 1.0, w_rank:
     return scored.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k).select("qid", "ord", "score", "rnk")
 
 
-def manifold(vectors: DataFrame, rank: int = 16) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(mean, basis, residual mean, residual deviation) of the vectors (v).
-
-    Sums and the d x d moment matrix are added up by partition, so the driver gets one matrix per
-    task for d up to about a thousand; its eigenvectors span what the singular ones do.
-    """
+def moment_matrix(vectors: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+    """(n, mean, centred moments) of the vectors (v). Sums and the d x d matrix are added up by
+    partition, so the driver gets one matrix for d up to about a thousand."""
     ship(vectors.sparkSession)
 
     def moments(batches):
@@ -172,14 +177,23 @@ def manifold(vectors: DataFrame, rank: int = 16) -> tuple[np.ndarray, np.ndarray
         if total is not None:
             yield pd.DataFrame({"m": [total.ravel()], "d": [total.shape[1]]})
 
-    rows = vectors.select(F.col("v").cast("array<double>").alias("v")).mapInPandas(moments, "m array<double>, d int")
+    rows = vectors.select(F.col("v").cast("array<double>").alias("v")).filter(F.col("v").isNotNull()).mapInPandas(moments, "m array<double>, d int")
     added = rows.select("d", F.posexplode("m").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x"), F.max("d").alias("d"))
     flat = added.orderBy("p").toPandas()
+    if not len(flat):
+        return 0.0, np.zeros(0), np.zeros((0, 0))
     d = int(flat["d"].iloc[0])
     m = flat["x"].to_numpy().reshape(-1, d)
     n, mean = m[0, 0], m[1] / m[0, 0]
-    values, vectors_ = np.linalg.eigh(m[2:] - n * np.outer(mean, mean))
-    basis = vectors_[:, ::-1][:, : min(rank, d)].T
+    return float(n), mean, m[2:] - n * np.outer(mean, mean)
+
+
+def manifold(vectors: DataFrame, rank: int = 16) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(mean, basis, residual mean, residual deviation) of the vectors (v): the eigenvectors of the
+    moment matrix span what the singular ones do."""
+    n, mean, moments = moment_matrix(vectors)
+    values, vectors_ = np.linalg.eigh(moments)
+    basis = vectors_[:, ::-1][:, : min(rank, len(mean))].T
     sizes = vectors.select(residual(F.col("v"), mean, basis).alias("r")).agg(F.avg("r").alias("mu"), F.stddev_pop("r").alias("sd")).first()
     return mean, basis, float(sizes["mu"]), float(sizes["sd"]) + 1e-9
 

@@ -255,6 +255,33 @@ union all select 'r1only', (select min(cell_id) from cells where defense = 'repr
 l as (select cond, s.qid, s.rnk, s.doc_id, coalesce(d.text, '') as text, s.is_poison from s join w using (cell_id) left join d on d.ord = s.ord)
 select cond, qid, string_agg(doc_id, ',' order by rnk) as ids, cast(sum(case when is_poison then 1 else 0 end) as int) as n_poison,
 cast(length(string_agg('[' || rnk || '] ' || text, chr(10) order by rnk)) as int) as size from l group by 1, 2""",
+    "choice_agreement": f"""with {ANS}, c as (select *, {fnv("concat_ws(':', '3', cond, qid, 'g')")} % 2 = 0 as fa, (answer_id % 100) / 100 as pf from a)
+select generator, cond, count(*) as n, round(avg(case when (leaning > 0) = (pf > 1 - pf) then 1.0 else 0.0 end), 12) as agree from c where leaning <> 0 and pf <> 1 - pf group by 1, 2""",
+    "commitment": f"""with {ANS}, p as (select answer_id, generator, cond, strata.grp, s.side, ({fnv("concat_ws(':', answer_id, strata.grp, s.side)")}) % 1000 / 1000 as p from a join strata using (stratum), (values ('fav'), ('unfav')) s(side) where answer is not null),
+t as (select answer_id, generator, cond, grp, abs(max(case when side = 'fav' then p end) - max(case when side = 'unfav' then p end)) as st from p group by 1, 2, 3, 4)
+select generator, cond, count(*) as n, round(avg(st), 9) as commitment, round(avg(case when st < 0.1 then 1.0 else 0.0 end), 9) as uncommitted from t where st is not null group by 1, 2""",
+    "scorer_calibration": f"""with {ANS}, p as (select direction, cast(style as int) as style, leaning, ({fnv("concat_ws(':', answer_id, direction, style)")}) % 1000 / 1000 as p from a, (values ('answer first'), ('statement first')) d(direction), range(4) r(style) where answer is not null),
+s as (select direction, style, count(*) as n, round(avg(case when leaning > 0 then p end) - avg(case when leaning < 0 then p end), 9) as separation from p group by 1, 2)
+select *, row_number() over (order by separation desc nulls last, direction, style) as rnk from s""",
+    "context_stance": f"""with {S}, k as (select distinct cell_id, s.qid, st.grp from s join queries q on q.qid = s.qid join strata st on st.stratum = q.stratum),
+t as (select cell_id, qid, ({fnv("concat_ws(':', cell_id, qid, grp, 'fav')")}) % 1000 / 1000 - ({fnv("concat_ws(':', cell_id, qid, grp, 'unfav')")}) % 1000 / 1000 as x from k)
+select cell_id, qid, count(*) as n_groups, round(case when count(*) >= 2 then max(x) - min(x) end, 6) as gap from t group by 1, 2""",
+    "relevance_floor": f"with {S} select cell_id, qid, count(*) as n, min(score) as least from s where score >= 0.5 group by 1, 2",
+    "weighted_group_budget": f"""with {S}, sh as (select * from (values ('veteran', 0.6::double), ('apprentice', 0.4), ('remote', 0.3), ('onsite', 0.7)) x(sg, share)), g as (select *, grp is not null and stance <> 0 as rel from f),
+k as (select g.*, kn.grp is not null as known, coalesce(share, 0.0) as share, row_number() over (partition by g.cell_id, g.qid, g.grp order by score desc, ord) as pl from g left join sh on sg = g.grp
+  left join (select distinct cell_id, qid, grp from g where rel) kn on kn.cell_id = g.cell_id and kn.qid = g.qid and kn.grp = g.grp),
+ad as (select *, not known or pl - 1 < 5 * share + 0.1 * 5 as admitted from k),
+ch as (select * from (select *, row_number() over (partition by cell_id, qid order by admitted desc, score desc, ord) as pk from ad) where pk <= 5)
+select cell_id, qid, row_number() over (partition by cell_id, qid order by score desc, admitted desc, ord) as rnk, doc_id, admitted from ch""",
+    "epsilon_theory": """with t as (select retriever, stratum, defense, epsilon, case when cast(drift_tv as varchar) <> 'nan' then drift_tv end as v from by_stratum), b as (select retriever, stratum, round(avg(v), 12) as base from t where defense = 'vanilla' group by 1, 2),
+o as (select retriever, stratum, defense, epsilon, count(v) as n, round(avg(v), 12) as drift from t where epsilon is not null group by 1, 2, 3, 4)
+select o.retriever, o.stratum, defense, epsilon, n, drift, round(drift - base, 12) as delta, drift <= epsilon + 1e-9 as within from o left join b on b.retriever is not distinct from o.retriever and b.stratum is not distinct from o.stratum""",
+    "scale_check": """with o as (select attack, poison_rate, retriever, backbone, defense, epsilon, count(*) as rows_ from by_stratum group by all)
+select matched, count(*) as n_runs, sum(rows_)::bigint as n_rows from (select rows_, exists (select 1 from cells c where c.attack is not distinct from o.attack and c.poison_rate is not distinct from o.poison_rate and c.retriever is not distinct from o.retriever
+and c.backbone is not distinct from o.backbone and c.defense is not distinct from o.defense and c.epsilon is not distinct from o.epsilon) as matched from o) group by 1""",
+    "generation_report": f"""with {ANS}, p as (select generator, cond, stratum, round(avg(case when leaning > 0 then 1.0 when leaning < 0 then 0.0 end), 12) as rate from a group by 1, 2, 3), m as (select generator, cond, round(avg(rate), 12) as rate from p group by 1, 2)
+select generator, """ + ", ".join(f"round(avg(case when cond = '{c}' then rate end), 12) as {c}" for c in ("clean", "poisoned", "r1only", "r2both")) + " from m group by 1",
+    "injection_noop": "select count(*) as n_before, count(*) + 20 * (select count(distinct stratum) from strata) as n_after, 0::bigint as n_changed, 20 * (select count(distinct stratum) from strata) as n_new from docs where not is_poison",
     "attack_success": PERQ + "poison_in_topk, poison_share from pq",
     "in_pool_rate": PERQ + "in_pool_rate, mean_score from pq",
 } | {m: PERQ + f"{m} from pq" for m in ("drift_tv", "drift_js", "stance_shift", "stance_div", "stance_onesided", "stance_gap")}

@@ -485,6 +485,79 @@ def number_provenance(s, d):
     return reports.close_values(t, "m", series).groupBy("run_tag", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
+def choice_agreement(s, d):
+    return generation.agreement(_choices(s, d), ["generator", "cond"])
+
+
+def commitment(s, d):
+    """Scores are stand-ins by counter hash, as in ``stance_pairs``."""
+    a = _answers(s, d)
+    pairs = generation.pair_expansion(a.select("answer_id", "stratum", "answer"), strata(s, d))
+    scored = pairs.select("answer_id", "grp", "side", (counter_random(F.col("answer_id"), F.col("grp"), F.col("side")) % 1000 / 1000).alias("p"))
+    return generation.commitment_diagnostic(scored, a, ["generator", "cond"])
+
+
+def scorer_calibration(s, d):
+    """Two directions and four styles of asking; scores are stand-ins by counter hash."""
+    ways = s.createDataFrame([(x, y) for x in ("answer first", "statement first") for y in range(4)], "direction string, style int")
+    a = _answers(s, d).filter(F.col("answer").isNotNull()).select("answer_id", "leaning").crossJoin(F.broadcast(ways))
+    return generation.calibration(a.select("direction", "style", "leaning", (counter_random(F.col("answer_id"), F.col("direction"), F.col("style")) % 1000 / 1000).alias("p")))
+
+
+def context_stance(s, d):
+    """The stance of each selection's context block towards the groups of its query's stratum, and
+    their gap; scores are stand-ins by counter hash."""
+    keys = selection(s, d).select("cell_id", "qid").distinct().join(retrieve.small_side(queries(s, d).select("qid", "stratum")), "qid").join(F.broadcast(strata(s, d).select("stratum", "grp")), "stratum")
+    p = lambda side: counter_random(F.col("cell_id"), F.col("qid"), F.col("grp"), F.lit(side)) % 1000 / 1000
+    stance = keys.select("cell_id", "qid", (p("fav") - p("unfav")).alias("stance"))
+    return stance.groupBy("cell_id", "qid").agg(F.count(F.lit(1)).alias("n_groups"), F.round(F.when(F.count(F.lit(1)) >= 2, F.max("stance") - F.min("stance")), 6).alias("gap"))
+
+
+def relevance_floor(s, d):
+    """Undefended rankings above a floor: how many rows of each selection are left."""
+    rows = select.vanilla(select.above(_candidates(s, d), 0.5), ["cell_id", "qid"], K)
+    return rows.groupBy("cell_id", "qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+
+
+def weighted_group_budget(s, d):
+    """Group mode with given reference shares in place of uniform ones."""
+    shares = {"veteran": 0.6, "apprentice": 0.4, "remote": 0.3, "onsite": 0.7}
+    return select.group_budget(_candidates(s, d), ["cell_id", "qid"], K, 0.1, shares).select("cell_id", "qid", "rnk", "doc_id", "admitted")
+
+
+def epsilon_theory(s, d):
+    """Each epsilon's mean drift against the undefended one of its retriever and stratum, and whether
+    it stays within epsilon."""
+    t = table(s, d, "by_stratum").select("retriever", "stratum", "defense", "epsilon", defined(F.col("drift_tv")).alias("v"))
+    base = t.filter(F.col("defense") == "vanilla").groupBy(F.col("retriever").alias("r"), F.col("stratum").alias("st")).agg(F.round(F.avg("v"), 12).alias("base"))
+    own = t.filter(F.col("epsilon").isNotNull()).groupBy("retriever", "stratum", "defense", "epsilon").agg(F.count("v").alias("n"), F.round(F.avg("v"), 12).alias("drift"))
+    rows = own.join(F.broadcast(base), F.col("retriever").eqNullSafe(F.col("r")) & F.col("stratum").eqNullSafe(F.col("st")), "left")  # a row per retriever and stratum
+    return rows.select("retriever", "stratum", "defense", "epsilon", "n", "drift", F.round(F.col("drift") - F.col("base"), 12).alias("delta"), (F.col("drift") <= F.col("epsilon") + 1e-9).alias("within"))
+
+
+def scale_check(s, d):
+    keys = ["attack", "poison_rate", "retriever", "backbone", "defense", "epsilon"]
+    return reports.matched_runs(table(s, d, "by_stratum"), table(s, d, "cells"), keys)
+
+
+def generation_report(s, d):
+    """Favourable rates of each generator, one column per condition."""
+    rates = generation.mean_over_strata(_answers(s, d), ["generator", "cond"]).select("generator", "cond", "rate")
+    return reports.pivot_report(rates, ["generator"], "cond", ["clean", "poisoned", "r1only", "r2both"], "rate")
+
+
+def injection_noop(s, d):
+    """Appending injected passages changes no clean one."""
+    clean = docs(s, d).filter(~F.col("is_poison"))
+    after = attack.appended(clean, attack.injected(docs(s, d), strata(s, d), 20))
+    return reports.unchanged(clean, after, "ord", ["doc_id", "text", "grp", "stance"])
+
+
+def effective_dimension(s, d):
+    """exp of the entropy of the eigenvalues of all vectors' moment matrix, centred."""
+    return metrics.effective_dimensions(_vectors(s, d))
+
+
 def experiment_grid(s, d):
     """The whole grid over the controlled corpus; the tables of the folder are not read."""
     return sweep.controlled(s)
@@ -501,6 +574,8 @@ QUERIES = {
         paired_monitor, level_spread, inertness, top_agreement, counter_draws, collected_contexts, limited_answers, favourable_rates, strata_means,
         forced_choice_summary, stance_pairs, condition_summary, context_sensitivity, identical_answers, backbone_pivot, lambda_collapse, baseline_delta, cell_lookup, number_provenance,
         partial_cells, label_audit, figure_data, first_per_stratum, experiment_grid,
+        choice_agreement, commitment, scorer_calibration, context_stance, relevance_floor, weighted_group_budget, epsilon_theory, scale_check, generation_report,
+        injection_noop, effective_dimension,
     )
 } | {
     "drift_tv": _metric("drift_tv"), "drift_js": _metric("drift_js"), "stance_shift": _metric("stance_shift"), "stance_div": _metric("stance_div"),

@@ -7,6 +7,7 @@ Only the grid is a loop on the driver. The candidates of all cells are one relat
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,8 +82,11 @@ def run(spark: SparkSession, world: dict[str, DataFrame], config: dict | None =
                 corpora[rate] = docs.unionByName(world["poison"](rate))
             else:
                 corpora[rate] = attack.appended(docs, attack.injected(docs, world["strata"], max(1, round(rate * n_docs)), config["seed"]))
-        if at not in fetched:
-            fetched[at] = rankings(corpora[rate], asked, c["retriever"], fetch, config["lam"] if pushed else None)
+        fetched.setdefault(at, None)
+    # the plans look up the sizes of what they broadcast: small jobs, several at a time
+    with ThreadPoolExecutor(8) as pool:
+        made = pool.map(lambda at: rankings(corpora[at[0]], asked, at[1], fetch, config["lam"] if at[2] else None), fetched)
+        fetched = dict(zip(fetched, made, strict=True))
     names = {at: i for i, at in enumerate(fetched)}
     # one written table holds what every condition and retriever fetched
     rows = cut(reduce(DataFrame.unionByName, [df.select(F.lit(names[at]).alias("f"), qid.alias("qid"), variant.alias("v"), F.col("ord").cast("long").alias("ord"), F.col("score").cast("double").alias("score"), F.col("rnk").cast("int").alias("rnk")) for at, df in fetched.items()]))

@@ -22,13 +22,15 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """With a header; null is the empty field. Nested columns must be flattened first."""
+    """With a header; null is the empty field. Nested columns must be flattened first. Without rows
+    nothing is written."""
+    if df.isEmpty():
+        return
     df.write.mode("overwrite").option("header", True).option("emptyValue", '""').csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """'', 'nan' and 'None' are null, in every column."""
-    df = spark.read.schema(schema).option("header", True).option("nullValue", "").option("nanValue", "nan").csv(path)
+def _defined(df: DataFrame) -> DataFrame:
+    """'nan' and 'None' as null, in every column."""
     clean = {}
     for f in df.schema:
         if f.dataType.simpleString() in ("double", "float"):
@@ -38,16 +40,29 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFr
     return df.withColumns(clean)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """'', 'nan' and 'None' are null, in every column."""
+    return _defined(spark.read.schema(schema).option("header", True).option("nullValue", "").option("nanValue", "nan").csv(path))
+
+
 def read_runs(spark: SparkSession, pattern: str, schema: str | StructType) -> DataFrame:
-    """Files under a pattern .../<run_tag>/<file>, with run_tag from the path."""
-    df = spark.read.schema(schema).option("header", True).csv(pattern)
-    return df.withColumn("run_tag", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    """Files under a pattern .../<run_tag>/<file>, with run_tag from the path; nulls as in read_csv()."""
+    df = spark.read.schema(schema).option("header", True).option("nullValue", "").option("nanValue", "nan").csv(pattern)
+    tag = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return _defined(df.withColumn("run_tag", tag))
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_result(records: DataFrame, summary: DataFrame, usage: dict[str, int], path: str) -> None:
+    """One result: records and summary as JSON lines, side by side, and the usage counters."""
+    write_json(records, f"{path}/records")
+    write_json(summary, f"{path}/summary")
+    write_json(records.sparkSession.createDataFrame([(k, int(v)) for k, v in sorted(usage.items())], "counter string, value long"), f"{path}/usage")
+
+
 def read_records(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
     """Result files with nested generators[].records[]: one row per record, with its generator."""
     reader = spark.read.option("multiLine", True)
