@@ -366,10 +366,16 @@ def prepared(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key).alias("id"), F.xxhash64(F.lower(F.col(text))).alias("copy"), F.col(text).alias("text"))
 
 
+def _also(text: str) -> Column:
+    """A second, independent hash of a text with its length: with ``copy``, 96 bits and the length."""
+    return F.concat_ws(" ", F.crc32(F.lower(F.col(text))), F.length(text))
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """(id, first) of every document whose text repeats that of a document with a smaller id."""
-    firsts = docs.groupBy("copy").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("copy", "first")
-    return docs.select("id", "copy").join(firsts, "copy").filter(F.col("id") > F.col("first")).select("id", "first")
+    docs = docs.select("id", "copy", _also("text").alias("also"))
+    firsts = docs.groupBy("copy", "also").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("copy", "also", "first")
+    return docs.join(firsts, ["copy", "also"]).filter(F.col("id") > F.col("first")).select("id", "first")
 
 
 def distinct_pairs(df: DataFrame, key: str = "ord", text: str = "text", limit: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

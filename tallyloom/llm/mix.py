@@ -2,8 +2,8 @@
 
 Every source is a queue of shuffled documents. A document's virtual finish time is the number of
 tokens its source has sent up to and with it, divided by the source's target share. At virtual time
-V every source has sent its share of V tokens, so the mix is the documents with a finish time up to
-the budget, range-sorted by it. The budget, unless given, is the largest at which no source runs
+V every source has sent its share of V tokens, so the mix is the documents whose middle is sent by
+the budget, range-sorted by finish time: a share is met within half a document. The budget, unless given, is the largest at which no source runs
 out of its permitted repetitions.
 """
 
@@ -46,6 +46,8 @@ def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed:
     only matches a null target. max_repeats null means 1. A document id that occurs in several rows
     is several documents. Documents with equal shuffle keys are ordered by id.
     """
+    aimed = targets.select(F.col("source").alias("__a")).distinct()
+    docs = docs.join(aimed, docs[source].eqNullSafe(F.col("__a")), "left_semi")  # others are never tokenized
     sized = bpe.count(docs.select(F.col(doc).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")), ["doc_id", "source"], "text")
     sized = cut(sized.filter(F.col("n_tokens") > 0).withColumn("twin", F.monotonically_increasing_id()))
     sizes = sized.groupBy("source").agg(F.count(F.lit(1)).alias("source_docs"), F.sum("n_tokens").alias("source_tokens"))
@@ -68,7 +70,8 @@ def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed:
     upto = upto.join(starts, F.col("source").eqNullSafe(F.col("__s1")) & (F.col("copy") == F.col("__c1")) & (F.col("slice") == F.col("__i1"))).select("source", "copy", "doc_id", "n_tokens", (F.col("upto") + F.col("start")).alias("upto"))
     sent = upto.join(passes.withColumnRenamed("copy", "__c2"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("copy") == F.col("__c2")))
     sent = sent.withColumn("finish", (F.col("upto") + (F.col("copy") - 1) * F.col("source_tokens")) / F.col("share"))
-    chosen = cut(sent.filter(F.col("finish") <= F.col("budget") * (1 + 1e-12)).select("mix_id", "source", "doc_id", "copy", "n_tokens", "finish"))
+    middle = F.col("finish") - F.col("n_tokens") / F.col("share") / 2
+    chosen = cut(sent.filter(middle <= F.col("budget") * (1 + 1e-12)).select("mix_id", "source", "doc_id", "copy", "n_tokens", "finish"))
 
     got = chosen.groupBy(F.col("mix_id").alias("__m"), F.col("source").alias("__s3")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("copy") == 1, 1).otherwise(0)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     shares = goal.join(got, F.col("mix_id").eqNullSafe(F.col("__m")) & F.col("source").eqNullSafe(F.col("__s3")), "left").fillna(0, ["rows", "docs", "tokens"])

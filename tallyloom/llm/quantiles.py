@@ -37,7 +37,8 @@ def bucket_index(value: Column, alpha: float) -> Column:
 def bucket_value(sign: Column, bucket: Column, alpha: float) -> Column:
     """The value that stands for a bucket: equally far, relatively, from both of its ends."""
     g = gamma(alpha)
-    finite = sign * F.exp(bucket * F.lit(math.log(g))) * F.lit(2 / (1 + g))
+    # one exponent: the last bucket's upper end is beyond the largest number, its value isn't
+    finite = sign * F.exp(bucket * F.lit(math.log(g)) + F.lit(math.log(2 / (1 + g))))
     return F.when(sign == 0, F.lit(0.0)).when(bucket == INFINITE, sign * F.lit(float("inf"))).otherwise(finite)
 
 

@@ -88,7 +88,7 @@ counted as (select {groups}, metric, cast(sign(v) as int) as sg, case when v = 0
 run as (select *, sum(c) over (partition by {groups}, metric order by sg, sg * b) as upto, sum(c) over (partition by {groups}, metric) as n from counted),
 ps as (select unnest({list(ps)!r}) as p)
 select {groups}, metric, cast(p as double) as p, cast(n as bigint) as n,
-       cast(format('{{:.9e}}', case when sg = 0 then 0.0 else sg * exp(b * ln({g!r})) * {2 / (1 + g)!r} end) as double) as value
+       cast(format('{{:.9e}}', case when sg = 0 then 0.0 else sg * exp(b * ln({g!r}) + ln({2 / (1 + g)!r})) end) as double) as value
 from run, ps where upto > floor(p * (n - 1)) and upto - c <= floor(p * (n - 1))"""
 
 

@@ -85,3 +85,23 @@ def test_quantile_edges(spark):
     assert quantiles.percentiles(quantiles.sketch(df.limit(0), ["g"], ["x"]), ["g"]).count() == 0
     one = spark.createDataFrame([("a", 3.0)], "g string, x double")
     assert quantiles.percentiles(quantiles.sketch(one, ["g"], ["x"]), ["g"], (0.5,)).first().value == pytest.approx(3.0, rel=quantiles.ALPHA)
+
+
+def test_last_bucket_is_finite(spark):
+    import sys
+
+    big = sys.float_info.max
+    df = spark.createDataFrame([("g", big), ("g", -big), ("g", 5e-324)], "k string, v double")
+    got = {r.p: r.value for r in quantiles.percentiles(quantiles.sketch(df, ["k"], ["v"]), ["k"], (0.0, 1.0)).collect()}
+    assert abs(got[1.0] / big - 1) <= 0.0051 and abs(got[0.0] / big + 1) <= 0.0051
+
+
+def test_percentiles_against_exact_ones(spark):
+    """Within the promised relative error of the exact value of the same rank, whatever the spread."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.lognormal(0, 6, 4000), -rng.lognormal(-3, 4, 2000), np.zeros(50)])
+    df = spark.createDataFrame([("g", float(v)) for v in values], "k string, v double")
+    exact = np.sort(values)
+    for r in quantiles.percentiles(quantiles.sketch(df, ["k"], ["v"]), ["k"]).collect():
+        want = exact[int(np.floor(r.p * (len(values) - 1)))]
+        assert abs(r.value - want) <= quantiles.ALPHA * abs(want) * 1.0001
