@@ -103,7 +103,7 @@ def test_grid_runs_as_one_plan(spark, world):
     from tallyloom.plans import sweep
 
     c, _ = world
-    out = sweep.run(spark, c, {"rates": [0.005], "retrievers": ["bm25"], "epsilons": [0.0, 1.0]})
+    out = sweep.run(spark, c, {"attacks": ["clean", "template"], "rates": [0.005], "retrievers": ["bm25"], "epsilons": [0.0, 1.0], "others": []})
     assert out["cells"].count() == 2 * (1 + 3 * 2)
     rows = {(r.attack, r.defense, r.epsilon): r for r in out["aggregate"].collect()}
     assert len(rows) == 14 and all(r.n_queries == 48 for r in rows.values())
@@ -117,6 +117,21 @@ def test_grid_runs_as_one_plan(spark, world):
     assert reports.as_json(out["aggregate"], ["attack"]).first().body.startswith("{")
 
 
+def test_grid_of_pushed_vectors_has_the_published_values(spark):
+    from tallyloom.plans import sweep
+
+    config = {"rates": [0.005], "retrievers": ["dense", "bm25"], "modes": ["both"], "epsilons": [0.25]}
+    rows = {(r.attack, r.retriever, r.defense): r for r in sweep.controlled(spark, config).collect()}
+    assert len(rows) == 3 * (4 + 3) and ("clean", "bm25", "manifold") not in rows
+    for attack_, lam in (("template", 0.0), ("template_plus_projection", 1.0)):
+        for rule in ("manifold", "repr_both"):
+            r = rows[attack_, "dense", rule]
+            got = [r[m] for m in ("drift_tv", "drift_js", "stance_shift", "stance_gap", "poison_in_topk", "poison_share", "in_pool_rate", "mean_score")]
+            assert [None if x is None else round(x, 6) for x in got] == pytest.approx(list(PUSHED[rule, lam][:8]), abs=1.1e-6)
+    # a push changes nothing for lexical retrievers
+    assert rows["template", "bm25", "multi_query"][5:] == rows["template_plus_projection", "bm25", "multi_query"][5:]
+
+
 def test_world_round_trip(spark, world, tmp_path):
     from tallyloom.sources import files
 
