@@ -55,8 +55,8 @@ WEIGHED = ("phrase", "bare", "begun", "run", "whole")
 #: Log odds of the levels of last words; BROKEN is a beginning of known words that is none itself.
 BROKEN = 4
 LEVEL_ODDS = {-5: -7.0, -4: -5.5, -3: -4.0, -2: -2.5, -1: -1.0, 0: 0.0, 1: 0.7, 2: 1.5, 3: 2.5, BROKEN: 4.0}
-#: Rows that the table of last words is counted from, and words that it keeps.
-WORDS_FROM, WORDS_KEPT = 20_000, 50_000
+#: A word is looked up if it is one of at least so many words, and seen twice: this bounds the table.
+SEEN_IN = 500_000
 #: Characters a token of a source's own tokenizer may have: the range searched for its limit.
 PER_TOKEN = (1.5, 8.0)
 #: Lengths up to this have bins of their own; longer ones have this many bins per unit of log length.
@@ -101,33 +101,42 @@ _no_tails = Tails()
 _placed = re.compile(r"([^\W\d_]+)([^\w]*)")
 
 
+def count_tails(texts: list[str | None], seen: dict[str, list[int]]) -> None:
+    """Add to (word: [ends, insides]): how often a word ends a finished sentence or stands in one."""
+    for text in texts:
+        for word, after in _placed.findall(text or ""):
+            if not after:
+                continue
+            word = word.lower()
+            one = seen.get(word)
+            if one is None:
+                one = seen[word] = [0, 0]
+            if after == " ":
+                one[1] += 1
+            elif after[0] in ".!?…。！？؟।" and len(word) > 2 and word not in BEFORE:
+                one[0] += 1
+
+
 def _tail_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to (word, ends, insides): how often a word ends a finished sentence or stands in one."""
+    """(text) to (word, ends, insides) of every batch."""
     for batch in batches:
         seen: dict[str, list[int]] = {}
-        for text in batch.column(0).to_pylist():
-            for word, after in _placed.findall(text):
-                if not after:
-                    continue
-                word = word.lower()
-                one = seen.setdefault(word, [0, 0])
-                if after[0] in ".!?…。！？؟।":
-                    if len(word) > 2 and word not in BEFORE:
-                        one[0] += 1
-                elif after == " ":
-                    one[1] += 1
+        count_tails(batch.column(0).to_pylist(), seen)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["word", "ends", "insides"])
 
 
-def tails(df: DataFrame, text: str, most: int = WORDS_FROM, keep: int = WORDS_KEPT) -> Tails:
-    """The table of last words of about ``most`` rows, drawn by the hash of their texts; the ``keep``
-    most frequent words. This is the only statistic that doesn't come from all rows."""
+def frequent(counts: DataFrame) -> Tails:
+    """The table of last words from a written table of (word, ends, insides), a row per word."""
+    total = counts.agg(F.sum(F.col("ends") + F.col("insides")).alias("n")).first().n or 0
+    rows = counts.filter(F.col("ends") + F.col("insides") >= max(2.0, total / SEEN_IN)).select("word", "ends", "insides").collect()
+    return Tails(sorted((tuple(r) for r in rows), key=lambda r: (-r[1] - r[2], r[0])))
+
+
+def tails(df: DataFrame, text: str) -> Tails:
+    """The table of last words of all rows."""
     ship(df.sparkSession)
-    every = max(1, df.count() // max(most, 1))
-    rows = df.select(df[text].cast("string").alias("t")).filter(F.col("t").isNotNull() & (F.pmod(F.xxhash64("t"), F.lit(every)) == 0))
-    counts = rows.mapInArrow(_tail_counts, "word string, ends long, insides long").groupBy("word").agg(F.sum("ends").alias("ends"), F.sum("insides").alias("insides"))
-    best = counts.filter("ends + insides > 1").orderBy(F.desc(F.col("ends") + F.col("insides")), "word").limit(keep)
-    return Tails([tuple(r) for r in best.collect()])
+    counts = df.select(df[text].cast("string").alias("t")).mapInArrow(_tail_counts, "word string, ends long, insides long")
+    return frequent(cut(counts.groupBy("word").agg(F.sum("ends").alias("ends"), F.sum("insides").alias("insides"))))
 
 
 def ending(text: str | None, words: Tails = _no_tails) -> str:

@@ -1,4 +1,4 @@
-"""Weak labels of clauses, for training the field of ``pairs`` on a bounded sample.
+"""Weak labels of clauses, for training the field of ``pairs``.
 
 Word lists and patterns that are often right; the field never sees them. Its own features are hashed
 words, overlaps and shares, so it can differ from the labels wherever the words say otherwise.
@@ -33,6 +33,8 @@ _trace = re.compile(r"^\W*(?:traceback \(most recent call last\)|(?:(?:error|err
 _flagged = re.compile(r"^\W*\[?(?:error|err|failed|exception)\]?\s*[:\]][^\n]*$", re.I)
 _markup = re.compile(r"<[^<>]*>|&[a-z]+;|```\w*|\[dry-run\]", re.I)
 _words = re.compile(r"[^\W_]+").findall
+_visible = re.compile(r"[^\W_]")
+_fifth = re.compile(r"(?:[\W_]*+[^\W_]++){5}")
 _clause = re.compile(r"[^\n]+?(?:[.!?…]+[\"'”’»)\]*]*(?=\s|$)|[。！？؟।]+[”’»」』）]*|(?=\n)|$)")
 _quoted = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」")
 _code = re.compile(r"\b[A-Z]{1,3}-?\d[\w.-]*|\S*_\S*|\d[\w.,:-]*")
@@ -81,8 +83,7 @@ def placeholder(answer: str | None, error: str | None) -> bool:
         told = error.strip()
         if text == told or answer.strip() == told or (text in error and len(text) > 0.6 * len(told)):
             return True
-    words = _words(text.lower())
-    if len(words) <= 4 and all(w in PLACEHOLDERS for w in words):
+    if not _fifth.match(text) and all(w in PLACEHOLDERS for w in _words(text.lower())):
         return True
     if _failed.match(text) or _flagged.match(answer.strip()):
         return True
@@ -167,7 +168,7 @@ def features(clause: str, words: list[str], question: Question, first: bool, las
 
 
 def clauses(text: str) -> list[str]:
-    return [c for m in _clause.finditer(text) if (c := m.group().strip()) and any(x.isalnum() for x in c)]
+    return [c for m in _clause.finditer(text) if (c := m.group().strip()) and _visible.search(c)]
 
 
 def weak_tags(all_bits: list[int]) -> list[int]:
@@ -196,9 +197,9 @@ def weak_tags(all_bits: list[int]) -> list[int]:
     return tags
 
 
-def measured(question: Question, answer: str, how: str | None = None) -> tuple[list[int], list[int]]:
+def measured(question: Question, answer: str, how: str | None = None, parts: list[str] | None = None) -> tuple[list[int], list[int]]:
     """Feature bits and letter counts of an answer's clauses."""
-    parts = clauses(answer)
+    parts = clauses(answer) if parts is None else parts
     how = (how or cutoff.ending(answer)).partition(":")[0]
     bits, sizes = [], []
     for i, c in enumerate(parts):

@@ -5,15 +5,18 @@ refusal, echo (of the question), foreign, unfinished or void (a placeholder or a
 message); the tags' shares of the letters decide the pair's defect. The field sees hashed words,
 beginnings of words and pairs of words, how much of the clause is in the question and the other way
 round, how many of its words are known in the question's language and in others, scripts, and how the
-answer ends. It is fitted at run time on a bounded sample of the given pairs: their weak labels,
-written seeds, and changed copies whose tags are known because of how they were made (answers put
-under a question in another language, words made unreadable, ends cut away).
+answer ends. It is fitted at run time on all given pairs, whatever their length: their weak labels,
+written seeds, and a changed copy of every plain pair, whose tags are known because of how it was made
+(an answer put under a question in another language, words made unreadable, the end cut away). Counts
+of words come from all pairs first; then the pairs are measured once, in blocks on disk, and every
+step of the fit is the gradient of one hashed share of the blocks, so that all shares are used.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import checkpoint_dir, cut, ship
 from . import cutoff, labels
 from .labels import FUNCTION_WORDS, TAGS, clauses
 
 #: Share of an answer's letters from which a tag covers it.
 COVER = 0.5
-#: Rows that the field and the word tables are fitted on, and clauses of the longest answer among them.
-TRAINED_ON, TRAINED_CLAUSES = 8_000, 24
+#: Rows of one step of the fit, at least, if there are as many; the seeds count as for this many rows.
+STEP_ROWS = 8_000
+#: A word is known in a language if it is heard in one of so many rows, and twice.
+HEARD_IN = 4_000
+#: Questions a language that seeds and changed copies are put under: those of the least hashes of all.
+ASKED = 64
 #: Rounds of the fit; buckets of hashed words.
 ROUNDS, BUCKETS = 40, 1 << 15
 SEED = 20260102
@@ -111,7 +118,7 @@ class Vocabulary:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.anagrams: dict[str, int] = {}
-        self.table = np.zeros((1024, 9), dtype=np.int64)
+        self.table = np.zeros((1024, 11), dtype=np.int64)
         self.questions: dict[str | None, tuple] = {}
 
     def add(self, word: str) -> int:
@@ -128,6 +135,7 @@ class Vocabulary:
             self.hash(plain) % BUCKETS, self.hash(plain[:5] + "~") % BUCKETS, self.anagrams.setdefault(letters, len(self.anagrams)),
             0 if coded else _bit.get(low, 0), 0 if coded else self.known.get(low, 0) | _bit.get(low, 0), len(word),
             0 if digits else 1 if word == low else 2 if word.istitle() else 0, digits, _script(word[0]) | (_failure.search(word) is not None) << 8,
+            (low in labels.PERSONS) | (low in labels.CLOSERS) << 1 | (low in labels.FRAMES) << 2, _bit.get(low, 0),
         )
         return n
 
@@ -151,20 +159,30 @@ class Vocabulary:
         return got
 
 
+def _pairs(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Buckets of each word with the next one of its clause; of the last one alone."""
+    pair = (words * 0x9E37 + np.roll(words, -1) * 0x85EB + 7) % BUCKETS
+    pair[first + size - 1] = words[first + size - 1]
+    return pair
+
+
 class Measured:
     """Features of the clauses of many pairs: hashed words (bucket, clause) and a dense matrix."""
 
-    def __init__(self, vocabulary: Vocabulary, rows: list[tuple[str | None, str, str | None, str]]):
-        """``rows``: question, answer, error and the kind of the answer's ending."""
+    def __init__(self, vocabulary: Vocabulary, rows: list[tuple[str | None, str, str | None, str]], screen: bool = False):
+        """``rows``: question, answer, error and the kind of the answer's ending. With ``screen``, the
+        rows that may have another weak label than answers are ``doubtful``."""
         if len(vocabulary.number) > vocabulary.REMEMBERED:
             vocabulary.forget()
         flat: list[int] = []
         sizes, letters, counts, of_row, marks = [], [], [], [], []
         questions: list[tuple] = []
+        self.parts: list[list[str]] = []
         for r, (q, answer, error, how) in enumerate(rows):
             question = vocabulary.question(q)
             questions.append(question)
             parts = clauses(answer)
+            self.parts.append(parts)
             kind = how.partition(":")[0]
             told = (error or "").strip()
             failed = len(told) > 5 and (told in answer or answer.strip() in told)
@@ -188,6 +206,7 @@ class Measured:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if counts else np.zeros(0, np.int64)
         n = len(sizes)
         if not n:
+            self.contains, self.doubtful = np.zeros(0, np.int64), np.zeros(len(rows), bool)
             self.bucket, self.first, self.size, self.dense = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, DENSE), np.float32)
             return
         size = np.array(sizes, dtype=np.int64)
@@ -197,10 +216,10 @@ class Measured:
         row = np.array(of_row)[clause]
         add = lambda v: np.add.reduceat(v.astype(np.float32), first)
         # hashed words, beginnings and pairs: three entries per word
-        pair = (t[:, 0] * 0x9E37 + np.roll(t[:, 0], -1) * 0x85EB + 7) % BUCKETS
-        pair[first + size - 1] = t[first + size - 1, 0]
+        pair = _pairs(t[:, 0], first, size)
         self.bucket = np.stack([t[:, 0], t[:, 1], pair], 1).ravel()
         self.first, self.size = first * 3, size * 3
+        self.words, self.contains = t, np.array(marks) >> 6 & 1
         # the question's words
         names: dict[int, int] = {}
         which = np.array([names.setdefault(id(q), len(names)) for q in questions])
@@ -245,6 +264,46 @@ class Measured:
             (m & 1) & (size <= 4), (m >> 1 & 1) & (size <= 4), only & (size <= 3), seen == 0, q_size == 0, told & (whole_own == 0) & (n_low >= 4), enough & (own == 0) & (k_share < 0.25), titles == size, only & (titles > 0) & (size <= 3), (strange > 0.6) & (size <= 4), (strange > 0.6) & only,
         ]
         self.dense = np.stack([np.asarray(c, dtype=np.float32) for c in columns], 1)
+        if screen:
+            # clauses that labels.weak_tags() may call anything but an answer
+            bits, flags = t[:, 10], t[:, 9]
+            every_hit = np.stack([add((bits >> k & 1) * np.where(np.bitwise_count(bits) == 1, 2, 1)) for k in range(_F)], 1)
+            own = every_hit[at, lang]
+            every_hit[at, lang] = -1
+            coded = 2 * (add(t[:, 7]) > 0)
+            leans = told & (every_hit.max(1) > 0) & (every_hit.max(1) + coded > own)
+            alike = ((seen >= 2) & (share >= 0.5)) | ((size == 1) & (seen == 1)) | ((size == 1) & (add(t[:, 5]) > 12))
+            framed = (size <= 7) & (add(flags >> 2 & 1) >= 0.5 * size)
+            doubt = leans | alike | framed | (add(flags & 3) > 0) | (m >> 2 & 1).astype(bool) | (strange > 0) | (m >> 8 & 1).astype(bool)
+            self.doubtful = np.bincount(row_of, doubt, len(rows)) > 0
+
+    def pack(self) -> bytes:
+        """The features alone, for unpack()."""
+        words = self.words[:, :2].astype(np.uint16) if len(self.dense) else np.zeros((0, 2), np.uint16)
+        parts = [(self.size // 3).astype(np.uint32), self.letters.astype(np.uint32), self.lengths.astype(np.uint32), words, np.packbits(self.dense.astype(bool), axis=1)]
+        return np.array([len(self.size), len(self.lengths), len(words)], np.int64).tobytes() + b"".join(x.tobytes() for x in parts)
+
+    @classmethod
+    def unpack(cls, blobs: list[bytes]) -> Measured:
+        """The features of several packed ones, one after another."""
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for blob in blobs:
+            n, rows, words = np.frombuffer(blob, np.int64, 3).tolist()
+            at = 24
+            for column, count, kind in zip(columns, (n, n, rows, 2 * words, n * ((DENSE + 7) // 8)), (np.uint32, np.uint32, np.uint32, np.uint16, np.uint8), strict=True):
+                column.append(np.frombuffer(blob, kind, count, at))
+                at += column[-1].nbytes
+        size, letters, lengths, words, dense = (np.concatenate(c) for c in columns)
+        x = cls.__new__(cls)
+        x.lengths, x.letters = lengths.astype(np.int64), letters.astype(np.float64)
+        x.starts = np.concatenate([[0], np.cumsum(x.lengths)[:-1]]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
+        size = size.astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) if len(size) else size
+        words = words.reshape(-1, 2).astype(np.int64)
+        pair = _pairs(words[:, 0], first, size)
+        x.bucket, x.first, x.size = np.stack([words[:, 0], words[:, 1], pair], 1).ravel(), first * 3, size * 3
+        x.dense = np.unpackbits(dense.reshape(len(size), -1), axis=1, count=DENSE).astype(np.float32)
+        return x
 
     def scores(self, lexical: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Score of every tag at every clause."""
@@ -291,53 +350,61 @@ def _lse(v: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(v - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(x: Measured, gold: np.ndarray, importance: np.ndarray, rounds: int = ROUNDS, rate: float = 0.22, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximum likelihood of the random field by gradient steps (Adam): (lexical, weights, steps).
-    ``gold`` has a tag per clause, ``importance`` a weight per answer. Memory is in proportion to
-    the clauses given."""
-    k, lengths = len(TAGS), x.lengths
-    used = np.argsort(-lengths, kind="stable")[: int((lengths > 0).sum())]
-    top, n = int(lengths.max(initial=1)), len(used)
-    place = np.zeros((n, top), dtype=np.int64)
-    for r, i in enumerate(used):
-        place[r, : lengths[i]] = np.arange(x.starts[i], x.starts[i] + lengths[i])
-    mask = np.arange(top)[None] < lengths[used][:, None]
+def gradient(x: Measured, gold: np.ndarray, importance: np.ndarray, params: list[np.ndarray]) -> list[np.ndarray]:
+    """The gradient of the random field's log likelihood: (lexical, weights, steps, total weight).
+    ``gold`` has a tag per clause, ``importance`` a weight per answer. Time and memory are in
+    proportion to the clauses given, however long an answer is."""
+    k = len(TAGS)
+    lexical, w, s = params
+    order = np.argsort(-x.lengths, kind="stable")
+    starts, lengths = x.starts[order], x.lengths[order]
+    n = int((lengths > 0).sum())
+    if not n:
+        return [np.zeros((BUCKETS, k)), np.zeros((DENSE, k)), np.zeros((k, k)), np.zeros(1)]
+    starts, lengths, weight = starts[:n], lengths[:n], importance[order][:n].astype(np.float64)
     # longest first: at every place the live answers are a prefix
-    weight = importance[used]
-    live = [int((lengths[used] > t).sum()) for t in range(top)]
-    y = np.eye(k, dtype=np.float32)[gold]
-    pair_gold = np.einsum("nti,ntj,nt,n->ij", y[place][:, :-1], y[place][:, 1:], mask[:, 1:].astype(np.float32), weight, optimize=True)
-    params = [np.zeros((BUCKETS, k), np.float32), np.zeros((DENSE, k), np.float32), np.zeros((k, k), np.float32)]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    total = float((mask * weight[:, None]).sum())
-    at, left = place[mask], np.zeros((len(x.dense), k), np.float32)
-    gold_at, weight_at = y[at], np.broadcast_to(weight[:, None], mask.shape)[mask]
-    of = np.repeat(np.arange(len(x.size)), x.size)
-    for step in range(1, rounds + 1):
-        lexical, w, s = params
-        e = x.scores(lexical, w)[place]
-        a, b = np.zeros_like(e), np.zeros_like(e)
-        a[:, 0] = e[:, 0]
-        for t in range(1, top):
-            a[: live[t], t] = _lse(a[: live[t], t - 1, :, None] + s[None], 1) + e[: live[t], t]
-        z = _lse(a[np.arange(n), lengths[used] - 1], 1)
-        pairs = np.zeros((k, k))
-        for t in range(top - 2, -1, -1):
-            m = live[t + 1]
-            later = e[:m, t + 1] + b[:m, t + 1]
-            b[:m, t] = _lse(s[None] + later[:, None, :], 2)
-            pairs += (np.exp(a[:m, t, :, None] + s[None] + later[:, None, :] - z[:m, None, None]) * weight[:m, None, None]).sum(0)
-        prob = np.exp((a + b - z[:, None, None])[mask])
-        left[at] = (gold_at - prob) * weight_at[:, None]
-        scaled = left / np.sqrt(x.size)[:, None]
-        by_word = np.stack([np.bincount(x.bucket, scaled[:, j][of], BUCKETS) for j in range(k)], 1)
-        for i, g in enumerate((by_word, x.dense.T @ left, pair_gold - pairs)):
-            g = (g / total - decay * params[i]).astype(np.float32)
-            m, v = moments[i]
+    top = int(lengths[0])
+    live = np.searchsorted(-lengths, -np.arange(top + 1), side="left")
+    e = x.scores(lexical, w)
+    a, b = e.astype(np.float64), np.zeros((len(e), k))
+    for t in range(1, top):
+        at = starts[: live[t]] + t
+        a[at] += _lse(a[at - 1][:, :, None] + s[None], 1)
+    z = _lse(a[starts + lengths - 1], 1)
+    pairs = np.zeros((k, k))
+    for t in range(top - 2, -1, -1):
+        m = live[t + 1]
+        at = starts[:m] + t
+        later = e[at + 1] + b[at + 1]
+        b[at] = _lse(s[None] + later[:, None, :], 2)
+        pairs -= (np.exp(a[at][:, :, None] + s[None] + later[:, None, :] - z[:m, None, None]) * weight[:m, None, None]).sum(0)
+    row = np.repeat(np.arange(len(x.lengths)), x.lengths)
+    of_row, weight_of = np.zeros(len(x.lengths)), importance.astype(np.float64)[row]
+    of_row[order[:n]] = z
+    inner = np.nonzero(row[1:] == row[:-1])[0]
+    np.add.at(pairs, (gold[inner], gold[inner + 1]), weight_of[inner])
+    left = (np.eye(k)[gold] - np.exp(a + b - of_row[row][:, None])) * weight_of[:, None]
+    scaled, of = left / np.sqrt(x.size)[:, None], np.repeat(np.arange(len(x.size)), x.size)
+    by_word = np.stack([np.bincount(x.bucket, scaled[:, j][of], BUCKETS) for j in range(k)], 1)
+    return [by_word, x.dense.T @ left, pairs, np.array([weight_of.sum()])]
+
+
+class Ascent:
+    """Gradient steps (Adam) to the maximum of the likelihood."""
+
+    def __init__(self, rate: float = 0.22, decay: float = 1e-5):
+        k = len(TAGS)
+        self.rate, self.decay, self.n = rate, decay, 0
+        self.params = [np.zeros((BUCKETS, k), np.float32), np.zeros((DENSE, k), np.float32), np.zeros((k, k), np.float32)]
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.params]
+
+    def step(self, sums: list[np.ndarray]) -> None:
+        self.n += 1
+        for p, (m, v), g in zip(self.params, self.moments, sums[:3], strict=True):
+            g = (g / max(float(sums[3][0]), 1e-9) - self.decay * p).astype(np.float32)
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            params[i] += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-    return tuple(p.astype(np.float32) for p in params)
+            p += self.rate * (m / (1 - 0.9**self.n)) / (np.sqrt(v / (1 - 0.99**self.n)) + 1e-7)
 
 
 class Field:
@@ -356,126 +423,306 @@ def _mirrored(text: str, every: bool) -> str:
     return re.sub(r"[^\W\d_]+", lambda m: m.group()[::-1] if m.group().islower() and (every or m.group() not in _bit) else m.group(), text)
 
 
-def examples(rows: list[tuple[str | None, str | None, str | None]], seed: int = SEED) -> tuple[list[tuple], list[list[int]], list[float], dict[str, int], cutoff.Tails]:
-    """(rows for Measured, tags of their clauses, weights, known words, table of last words)."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(question, answer) to (word, language, ends, insides, heard): how often a word ends a finished sentence
+    or stands in one (language -1), and how often it is heard in answers to questions of a language
+    that don't lean to another one. Language -2: the questions of the least hashes, by language in ``heard``."""
+    import heapq
+
+    import xxhash
+
+    tails: dict[str, list[int]] = {}
+    heard: dict[int, dict[str, int]] = {}
+    asked: dict[int, list[tuple[int, str]]] = {}
+    spoken: dict[str | None, int] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(w, -1, e, i, 0) for w, (e, i) in tails.items()] + [(w, k, 0, 0, c) for k, words in heard.items() for w, c in words.items()] + [(q, -2, 0, 0, k) for k, heap in asked.items() for _, q in heap]
+        tails.clear()
+        heard.clear()
+        asked.clear()
+        columns = zip(*rows, strict=True) if rows else ([],) * 5
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["word", "language", "ends", "insides", "heard"])
+
+    for batch in batches:
+        answers = batch.column(1).to_pylist()
+        cutoff.count_tails(answers, tails)
+        for q, a in zip(batch.column(0).to_pylist(), answers, strict=True):
+            language = spoken.get(q)
+            if language is None:
+                if len(spoken) > 50_000:
+                    spoken.clear()
+                language = spoken[q] = labels.Question(q).language
+                if language >= 0:
+                    heap, item = asked.setdefault(language, []), (-xxhash.xxh32_intdigest(q), q)
+                    if item not in heap:
+                        (heapq.heappush if len(heap) < ASKED else heapq.heappushpop)(heap, item)
+            if language < 0 or not a:
+                continue
+            words = _words(a)
+            lower = [w.lower() for w in words]
+            hits = labels.languages(lower)
+            if hits[language] < max(hits):
+                continue
+            counts = heard.setdefault(language, {})
+            for w, low in zip(words, lower, strict=True):
+                if w is low or w.islower() or w.istitle():
+                    counts[low] = counts.get(low, 0) + 1
+        if len(tails) + sum(map(len, heard.values())) > 200_000:
+            yield out()
+    yield out()
+
+
+def word_tables(rows: DataFrame, n: int) -> tuple[dict[str, int], cutoff.Tails, dict[int, list[str]]]:
+    """(known words by language, table of last words, questions by language) of all ``n`` rows (q, a, e)."""
+    import xxhash
+
+    counts = rows.select("q", "a").mapInArrow(_word_counts, "word string, language int, ends long, insides long, heard long")
+    counts = cut(counts.groupBy("word", "language", F.when(F.col("language") == -2, F.col("heard")).alias("of")).agg(F.sum("ends").alias("ends"), F.sum("insides").alias("insides"), F.sum("heard").alias("heard")))
+    known: dict[str, int] = {}
+    for r in counts.filter((F.col("language") >= 0) & (F.col("heard") >= max(2.0, n / HEARD_IN))).select("word", "language").collect():
+        known[r.word] = known.get(r.word, 0) | 1 << r.language
+    asked: dict[int, list[str]] = {}
+    for r in counts.filter("language = -2").select("word", "of").collect():
+        asked.setdefault(r.of, []).append(r.word)
+    asked = {k: sorted(qs, key=lambda q: (xxhash.xxh32_intdigest(q), q))[:ASKED] for k, qs in sorted(asked.items())}
+    return known, cutoff.frequent(counts.filter("language = -1")), asked
+
+
+def seeds(asked: dict[int, list[str]], tails: cutoff.Tails, seed: int = SEED) -> tuple[list[tuple], list[list[int]], list[float]]:
+    """The written examples: (rows for Measured, tags of their clauses, weights)."""
     draw = random.Random(seed)
-    answer, refusal, echo, foreign, unfinished, void = range(6)
-    counts = next(cutoff._tail_counts([pa.record_batch([pa.array([r[1] for r in rows if r[1]], pa.string())], names=["t"])]))
-    tails = cutoff.Tails(sorted((r for r in zip(*(counts.column(i).to_pylist() for i in range(3)), strict=True) if r[1] + r[2] > 1), key=lambda r: (-r[1] - r[2], r[0]))[: cutoff.WORDS_KEPT])
+    answer, refusal, _, _, _, void = range(6)
     out: list[tuple] = []
     gold: list[list[int]] = []
     weights: list[float] = []
-    heard: dict[str, list[int]] = {}
-    by_language: dict[int, list[str]] = {}
-    plain: list[tuple[str, str, int]] = []
-
-    def give(q, a, e, tags, weight=1.0):
-        if tags and len(tags) <= TRAINED_CLAUSES:
-            out.append((q, a, e, cutoff.ending(without_question(a, q), tails)))
-            gold.append(tags)
-            weights.append(weight)
-
-    for q, a, e in rows:
-        if a is None or not clauses(a):
-            continue
-        n = len(clauses(a))
-        question = labels.Question(q)
-        if question.language >= 0:
-            by_language.setdefault(question.language, []).append(q)
-        if labels.placeholder(a, e):
-            give(q, a, e, [void] * n, 2.0)
-        elif labels.restated(question, a):
-            give(q, a, e, [echo] * n, 2.0)
-        else:
-            bits, _ = labels.measured(question, a, cutoff.ending(without_question(a, q)))
-            tags = labels.weak_tags(bits)
-            if any(tags) or n == 1 or draw.random() < 0.25:
-                give(q, a, e, tags, (5.0 if question.language > 0 else 3.0) if refusal in tags else 2.0 if any(tags) else 3.0 if question.language > 0 else 1.0)
-            if not any(tags) and question.language >= 0:
-                plain.append((q, a, question.language))
-                for w in _words(a):
-                    if w.islower() or w.istitle():
-                        w = w.lower()
-                        heard.setdefault(w, [0] * _V)[question.language] += 1
-    known = {w: sum(1 << k for k in range(_V) if c[k] > 1) for w, c in heard.items() if max(c) > 1}
-    for q, a, language in draw.sample(plain, min(len(plain), 1000)):
-        parts = clauses(a)
-        others = [k for k in by_language if k != language]
-        said = [len([w for w in _words(c) if w.islower()]) for c in parts]
-        if others and min(said) >= 3:
-            give(draw.choice(by_language[draw.choice(others)]), a, None, [foreign] * len(parts), 0.7)
-        if min(said) >= 4:
-            give(q, _mirrored(a, True), None, [foreign] * len(parts))
-        # other words in the same language, with and without numbers and codes
-        other = _mirrored(a, False)
-        give(q, other, None, [answer] * len(parts), 0.7)
-        bare = re.sub(r"\s*\S*\d\S*(?=\s)", "", other)
-        give(q, bare, None, [answer] * len(clauses(bare)), 0.7)
-        if draw.random() < 0.3:
-            give(None, a, None, [answer] * len(parts))
-            alien = draw.choice(plain)
-            if alien[2] != language:
-                quoting = a.rstrip() + draw.choice((" (The original says: «{}»)", " As they put it: \"{}\".", " („{}“)")).format(alien[1].rstrip(".")[:60])
-                give(q, quoting, None, [answer] * len(clauses(quoting)))
-        last = parts[-1]
-        if len(last) > 20:
-            at = a.rfind(last)
-            broken = a[: at + draw.randrange(8, len(last) - 4)].rstrip()
-            if len(clauses(broken)) == len(parts) and broken[-1].isalnum():
-                give(q, broken, None, [answer] * (len(parts) - 1) + [unfinished])
-    for q, a, _ in draw.sample(short := [p for p in plain if len(p[1]) < 40 and "\n" not in p[1]], min(len(short), 300)):
-        both = clauses(q + " " + a)
-        give(q, q + " " + a, None, [echo] * (len(both) - 1) + [answer], 2.0)
-        give(q, a, None, [answer] * len(clauses(a)), 2.0)
+
+    def give(q, a, e, tag, weight=1.0):
+        tags = tag if isinstance(tag, list) else [tag] * len(clauses(a))
+        out.append((q, a, e, cutoff.ending(without_question(a, q), tails)))
+        gold.append(tags)
+        weights.append(weight)
+
     for name, texts in REFUSALS.items():
         language = LANGUAGES.index(name)
-        asked = by_language.get(language) or [None]
+        of = asked.get(language) or [None]
         for a in re.split(r"[|\n]", texts):
-            tags = [refusal] * len(clauses(a))
-            give(draw.choice(asked), a, None, tags, 3.0)
-            # a refusal with a line before or after it
-            if plain and language == 0:
-                give(draw.choice(asked), "Thanks for asking. " + a, None, [refusal, *tags], 1.0)
-            give(draw.choice(asked), _mirrored(a, False), None, tags, 0.3)
+            give(draw.choice(of), a, None, refusal, 3.0)
+            # a refusal with a line before it
+            if asked and language == 0:
+                give(draw.choice(of), "Thanks for asking. " + a, None, refusal, 1.0)
+            give(draw.choice(of), _mirrored(a, False), None, refusal, 0.3)
     for name, texts in SAYINGS.items():
+        of = asked.get(LANGUAGES.index(name)) or [None]
         for a in re.split(r"[|\n]", texts):
-            tags = [answer] * len(clauses(a))
-            give(draw.choice(by_language.get(LANGUAGES.index(name)) or [None]), a, None, tags, 4.0)
-            give(draw.choice(by_language.get(LANGUAGES.index(name)) or [None]), _mirrored(a, False), None, tags, 2.0)
-            give(None, a, None, tags, 2.0)
+            give(draw.choice(of), a, None, answer, 4.0)
+            give(draw.choice(of), _mirrored(a, False), None, answer, 2.0)
+            give(None, a, None, answer, 2.0)
     causes = ("ConnectionError", "ValueError", "ApiException", "ReadTimeout", "RemoteProtocolError", "HTTP 500", "HTTP 429", "HTTP 403", "Error 503", "error", "[error] remote", "failed", "RuntimeException")
     effects = ("closed by peer", "no data received", "quota exceeded for this key", "model overloaded", "try again later", "could not reach host", "bad payload at byte 12", "internal server error", "timed out after 30 s", "gateway", "too many requests")
     stands = VOIDS.split("|") + [shape.format(w) for w in sorted(labels.PLACEHOLDERS) if len(w) > 2 for shape in ("{}", "[{}]", "({})")] + [f"{c}: {e}" for c in causes for e in draw.sample(effects, 4)]
     for a in stands:
-        asked = draw.choice(by_language.get(0) or [None])
-        give(asked, a, None, [void] * len(clauses(a)), 1.5)
+        give(draw.choice(asked.get(0) or [None]), a, None, void, 1.5)
     for a in VOIDS.split("|"):
-        give(None, "<p>" + a + "</p>", a, [void] * len(clauses("<p>" + a + "</p>")), 1.0)
-    for q in [r[0] for r in rows[:400] if r[0]]:
-        words = q.split()
-        if len(words) > 4:
-            draw.shuffle(words[1:-1])
-            some = q.lower() if draw.random() < 0.5 else q.upper()
-            for a in (some, "You asked: " + q, q.rstrip("?!. ") + ".", q + "\n" + draw.choice(FRAMES)):
-                give(q, a, None, [echo] * len(clauses(a)), 1.0)
-    return out, gold, weights, known, tails
-
-
-def train(df: DataFrame, question: str = "question", answer: str = "answer", error: str = "error", most: int = TRAINED_ON, rounds: int = ROUNDS) -> Field:
-    """The field of a table: fitted on about ``most`` rows, drawn by the hash of their texts, and the
-    seeds. Answers of more than TRAINED_CLAUSES clauses aren't fitted to (they are tagged all the same)."""
-    every = max(1, df.count() // max(most, 1))
-    texts = [df[c].cast("string").alias(n) for c, n in ((question, "q"), (answer, "a"), (error, "e"))]
-    rows = df.select(*texts).filter(F.pmod(F.xxhash64("q", "a", "e"), F.lit(every)) == 0).filter(F.coalesce(F.length("a"), F.lit(0)) < 8000)
-    got = sorted((tuple(r) for r in rows.limit(3 * most).collect()), key=str)
-    return fit_rows(got, rounds)
-
-
-def fit_rows(rows: list[tuple[str | None, str | None, str | None]], rounds: int = ROUNDS) -> Field:
-    """The field of given (question, answer, error) rows."""
-    out, gold, weights, known, tails = examples(rows)
-    x = Measured(Vocabulary(known), out)
-    return Field(known, tails, fit(x, np.array([t for g in gold for t in g], dtype=np.int64), np.array(weights, dtype=np.float32), rounds))
+        give(None, "<p>" + a + "</p>", a, void, 1.0)
+    return out, gold, weights
+
+
+#: Kinds of changed copies, with how many of a hundred plain rows they are made of, and a copy's weight.
+COPIES = (("asked", 10), ("mirrored", 14), ("other", 10), ("bare", 10), ("unasked", 4), ("quoting", 4), ("broken", 18), ("echo", 10), ("repeating", 20))
+COPY_WEIGHT = 1.2
+_copies = [k for k, n in COPIES for _ in range(n)]
+
+
+def changed(q: str, a: str, parts: list[str], language: int, asked: dict[int, list[str]], number: int) -> tuple[str | None, str, list[int]] | None:
+    """A changed copy of a plain pair: (question, answer, tags), of a kind that ``number`` (a hash)
+    gives; where that can't be made of the pair, its words are spelled backwards."""
+    answer, _, echo, foreign, unfinished, _ = range(6)
+    kind, turn = _copies[number % len(_copies)], number // len(_copies)
+    tags = [answer] * len(parts)
+    if kind == "repeating" and (len(a) >= 40 or "\n" in a):
+        kind = "echo"
+    if kind in ("asked", "mirrored"):
+        said = min(len([w for w in _words(c) if w.islower()]) for c in parts)
+        others = [k for k in asked if k != language]
+        if kind == "asked" and others and said >= 3:
+            pool = asked[others[turn % len(others)]]
+            return pool[turn // 8 % len(pool)], a, [foreign] * len(parts)
+        if kind == "mirrored" and said >= 4:
+            return q, _mirrored(a, True), [foreign] * len(parts)
+    elif kind == "unasked":
+        return None, a, tags
+    elif kind == "quoting":
+        alien = [x for n, x in SAYINGS.items() if LANGUAGES.index(n) != language]
+        alien = re.split(r"[|\n]", alien[turn % len(alien)])
+        quoted = (" (The original says: «{}»)", ' As they put it: "{}".', " („{}“)")[turn // 8 % 3].format(alien[turn // 32 % len(alien)].rstrip(".")[:60])
+        return q, a.rstrip() + quoted, [answer] * len(clauses(a.rstrip() + quoted))
+    elif kind == "broken" and len(parts[-1]) > 20:
+        last = parts[-1]
+        broken = a[: a.rfind(last) + 8 + turn % (len(last) - 12)].rstrip()
+        if broken[-1].isalnum() and len(clauses(broken)) == len(parts):
+            return q, broken, tags[:-1] + [unfinished]
+    elif kind == "echo" and len(words := q.split()) > 4:
+        random.Random(turn).shuffle(words)
+        said = (q.lower() if turn & 8 else q.upper(), "You asked: " + q, q.rstrip("?!. ") + ".", q + "\n" + FRAMES[turn // 16 % len(FRAMES)])[turn % 4]
+        return q, said, [echo] * len(clauses(said))
+    elif kind == "repeating":
+        if turn & 1:
+            return q, a, tags
+        return q, q + " " + a, [echo] * (len(clauses(q + " " + a)) - 1) + [answer]
+    # other words in the same language, with and without numbers and codes
+    other = _mirrored(a, False)
+    if kind == "bare":
+        other = re.sub(r"\s*\S*\d\S*(?=\s)", "", other)
+    return q, other, [answer] * len(clauses(other))
+
+
+def weak_labels(x: Measured, rows: list[tuple], questions: dict[str | None, labels.Question]) -> tuple[list[list[int]], list[float], list[int]]:
+    """(tags of the clauses, weight, language of the question if the pair is plain, else -1) of measured rows."""
+    refusal, echo, void = 1, 2, 5
+    contains = np.add.reduceat(np.append(x.contains, 0), np.minimum(x.starts, len(x.contains))) if len(rows) else []
+    tags, weights, plain = [], [], []
+    for j, (q, a, e, how) in enumerate(rows):
+        n = int(x.lengths[j])
+        question = questions.get(q)
+        if question is None:
+            if len(questions) > 50_000:
+                questions.clear()
+            question = questions[q] = labels.Question(q)
+        plain.append(-1)
+        if labels.placeholder(a, e):
+            tags.append([void] * n)
+            weights.append(2.0)
+        elif contains[j] and labels.restated(question, a):
+            tags.append([echo] * n)
+            weights.append(2.0)
+        else:
+            got = labels.weak_tags(labels.measured(question, a, how, x.parts[j])[0]) if x.doubtful[j] else [0] * n
+            odd = any(got)
+            tags.append(got)
+            weights.append((5.0 if question.language > 0 else 3.0) if refusal in got else 2.0 if odd else (3.0 if question.language > 0 else 1.0) * (1.0 if n == 1 else 0.25))
+            if not odd and n:
+                plain[-1] = question.language
+    return tags, weights, plain
+
+
+def blocks(known: dict[str, int], tails: cutoff.Tails, asked: dict[int, list[str]], shares: int):
+    """(id, source, question, answer, error) to packed features: one row per batch and share of the rows,
+    by the hash of their texts. A share has its rows' features, tags and weights, and the changed copies'."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, asks = Vocabulary(known), {}
+        for batch in batches:
+            texts = list(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True))
+            numbers = [xxhash.xxh64_intdigest(f"{q}\0{a}") for q, a, _ in texts]
+            of: dict[int, list[int]] = {}
+            for i, number in enumerate(numbers):
+                of.setdefault(number % shares, []).append(i)
+            for share, at in of.items():
+                for some in (at[i : i + 2000] for i in range(0, len(at), 2000)):
+                    x, rows, at_row, sizes, hows, defects = prepared(vocabulary, tails, [texts[i] for i in some], True)
+                    tags, weights, plain = weak_labels(x, rows, asks)
+                    copies, copy_tags = [], []
+                    for j, (q, a, _, _) in enumerate(rows):
+                        if plain[j] >= 0:
+                            cq, ca, ct = changed(q, a, x.parts[j], plain[j], asked, numbers[some[at_row[j]]] // shares)
+                            if ct:
+                                copies.append((cq, ca, None, cutoff.ending(without_question(ca, cq), tails)))
+                                copy_tags.append(ct)
+                    index = pa.array(some)
+                    one = lambda v, t: pa.array([v], t)
+                    listed = lambda c: pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), c.take(index))
+                    flat = lambda tags: np.array([t for g in tags for t in g], np.uint8).tobytes()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            one(share, pa.int32()), listed(batch.column(0)), listed(batch.column(1)), one(sizes, pa.list_(pa.int32())), one(hows, pa.list_(pa.string())), one(defects, pa.list_(pa.string())), one(at_row, pa.list_(pa.int32())),
+                            one(x.pack(), pa.binary()), one(flat(tags), pa.binary()), one(np.array(weights, np.float32).tobytes(), pa.binary()),
+                            one(Measured(vocabulary, copies).pack(), pa.binary()), one(flat(copy_tags), pa.binary()), one(np.full(len(copies), COPY_WEIGHT, np.float32).tobytes(), pa.binary()),
+                        ],
+                        names=["share", "ids", "sources", "sizes", "hows", "defects", "at_row", "x", "tags", "weights", "copies", "copy_tags", "copy_weights"],
+                    )
+
+    return run
+
+
+def gradients(shared):
+    """Packed features to their gradient, one row per 8,000 answers or batch, whichever is less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, params = None, shared.value
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for i in range(0, batch.num_rows, 32):
+                xs, tags, weights = (columns[k][i : i + 32] + columns[k + 3][i : i + 32] for k in range(3))
+                got = gradient(Measured.unpack(xs), np.frombuffer(b"".join(tags), np.uint8).astype(np.int64), np.frombuffer(b"".join(weights), np.float32), params)
+                sums = got if sums is None else [a + b for a, b in zip(sums, got, strict=True)]
+        if sums is not None:
+            where = np.nonzero(sums[0].any(axis=1))[0].astype(np.int32)
+            values = np.concatenate([sums[0][where].ravel(), *(g.ravel() for g in sums[1:])])
+            yield pa.RecordBatch.from_arrays([pa.array([where.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["buckets", "sums"])
+
+    return run
+
+
+def _summed(rows: list) -> list[np.ndarray]:
+    """The sum of the gradients that tasks have sent."""
+    k = len(TAGS)
+    sums = [np.zeros((BUCKETS, k)), np.zeros((DENSE, k)), np.zeros((k, k)), np.zeros(1)]
+    for r in rows:
+        where, values = np.frombuffer(r.buckets, np.int32), np.frombuffer(r.sums)
+        at = len(where) * k
+        sums[0][where] += values[:at].reshape(-1, k)
+        for g in sums[1:]:
+            g += values[at : at + g.size].reshape(g.shape)
+            at += g.size
+    return sums
+
+
+def fitted(df: DataFrame, key: str | None, source: str | None, question: str, answer: str, error: str, most: int = STEP_ROWS, rounds: int = ROUNDS) -> tuple[Field, DataFrame | None, str | None]:
+    """(field, blocks, their folder) of a table; the folder is to be removed with forget()."""
+    spark = df.sparkSession
+    ship(spark)
+    n = df.count()
+    named = [df[c].cast("string").alias(x) for c, x in ((question, "q"), (answer, "a"), (error, "e"))]
+    known, tails, asked = word_tables(df.select(*named), n)
+    of = [F.lit(None).cast("int") if c is None else df[c] for c in (key, source)]
+    kinds = ["int" if c is None else df.schema[c].dataType.simpleString() for c in (key, source)]
+    shares = max(1, min(rounds, n // max(most, 1)))
+    folder = f"{checkpoint_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    schema = f"share int, ids array<{kinds[0]}>, sources array<{kinds[1]}>, sizes array<int>, hows array<string>, defects array<string>, at_row array<int>, x binary, tags binary, weights binary, copies binary, copy_tags binary, copy_weights binary"
+    packed = df.select(of[0].alias("id"), of[1].alias("source"), *named).mapInArrow(blocks(known, tails, asked, shares), schema)
+    packed.write.partitionBy("share").option("compression", "zstd").parquet(folder)
+    columns = schema.removeprefix("share int, ")
+    out, gold, weights = seeds(asked, tails)
+    written = Measured(Vocabulary(known), out)
+    gold, weights = np.array([t for g in gold for t in g], dtype=np.int64), np.array(weights, dtype=np.float32) * max(1.0, n / shares / STEP_ROWS)
+    ascent = Ascent()
+    every = np.zeros(0, np.int64) if not n else None
+    for i in range(rounds):
+        sums = gradient(written, gold, weights, ascent.params)
+        if every is None:
+            shared = spark.sparkContext.broadcast(ascent.params)
+            part = spark.read.schema(columns).parquet(f"{folder}/share={i % shares}").select("x", "tags", "weights", "copies", "copy_tags", "copy_weights")
+            sums = [a + b for a, b in zip(sums, _summed(part.mapInArrow(gradients(shared), "buckets binary, sums binary").collect()), strict=True)]
+            shared.destroy()
+        ascent.step(sums)
+    return Field(known, tails, tuple(ascent.params)), spark.read.schema(schema).parquet(folder), folder
+
+
+def forget(df: DataFrame, folder: str) -> None:
+    """Remove a folder of fitted()."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def train(df: DataFrame, question: str = "question", answer: str = "answer", error: str = "error", most: int = STEP_ROWS, rounds: int = ROUNDS) -> Field:
+    """The field of a table, fitted on all of its rows and the seeds in ``rounds`` steps. A step
+    takes one of at most ``rounds`` shares of the rows, of ``most`` rows at least; all shares are used, in turn."""
+    field, _, folder = fitted(df, None, None, question, answer, error, most, rounds)
+    forget(df, folder)
+    return field
 
 
 def decide(tags: np.ndarray, sizes: np.ndarray) -> str | None:
@@ -506,45 +753,77 @@ def _visible(answer: str | None) -> bool:
     return answer is not None and ("�" in answer or any(c.isalnum() for c in (labels._markup.sub(" ", answer) if "<" in answer or "&" in answer or "`" in answer or "[" in answer else answer)))
 
 
+def prepared(vocabulary: Vocabulary, tails: cutoff.Tails, texts: list[tuple], screen: bool = False) -> tuple:
+    """(features, rows for Measured, their places, sizes, endings, defects) of (question, answer, error):
+    everything that can be said before the tags are known."""
+    sizes, hows, defects, rows, at_row = [], [], [], [], []
+    for i, (q, a, e) in enumerate(texts):
+        sizes.append(len(a) if a else 0)
+        if _visible(a):
+            how = cutoff.ending(without_question(a, q), tails)
+            rows.append((q, a, e, how))
+            at_row.append(i)
+            hows.append(how)
+            defects.append(None)
+        else:
+            hows.append("empty")
+            defects.append("empty")
+    x = Measured(vocabulary, rows, screen)
+    for j in np.nonzero(x.lengths == 0)[0]:
+        i = at_row[j]
+        hows[i] = "entity" if "�" in rows[j][1] else "empty"
+        defects[i] = None if "�" in rows[j][1] else "empty"
+    return x, rows, at_row, sizes, hows, defects
+
+
+def judge(x: Measured, tags: np.ndarray, at_row: list[int], hows: list[str], defects: list[str | None]) -> None:
+    """Endings and defects with what the tags say, in place."""
+    upto = x.starts + x.lengths
+    odd = np.add.reduceat(np.append(tags, 0), np.minimum(x.starts, len(tags)), dtype=np.int64) if len(at_row) else []
+    for j in np.nonzero((x.lengths > 0) & (np.asarray(odd) > 0))[0] if len(at_row) else ():
+        i, here = at_row[j], slice(x.starts[j], upto[j])
+        defects[i] = decide(tags[here], x.letters[here])
+        if defects[i]:
+            hows[i] = "empty"
+        elif tags[here][-1] == 4:
+            hows[i] = cutoff.unfinished(hows[i])
+
+
+def _told(ids: pa.Array, sources: pa.Array, sizes: list, hows: list, defects: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, sources, pa.array(sizes, pa.int32()), pa.array(hows, pa.string()), pa.array(defects, pa.string())], names=["id", "source", "size", "ending", "defect"])
+
+
 def tagged(field: Field):
     """(id, source, question, answer, error) to (id, source, size, ending, defect)."""
-    worker: list[Vocabulary] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = worker[0] if worker else Vocabulary(field.known)
+        vocabulary = Vocabulary(field.known)
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
-                questions, answers, errors = (batch.column(i).to_pylist() for i in (2, 3, 4))
-                hows, sizes, defects = [], [], []
-                rows, at_row = [], []
-                for i, (q, a, e) in enumerate(zip(questions, answers, errors, strict=True)):
-                    sizes.append(len(a) if a else 0)
-                    if _visible(a):
-                        how = cutoff.ending(without_question(a, q), field.tails)
-                        rows.append((q, a, e, how))
-                        at_row.append(i)
-                        hows.append(how)
-                        defects.append(None)
-                    else:
-                        hows.append("empty")
-                        defects.append("empty")
-                x = Measured(vocabulary, rows)
-                tags = field.tags(x)
-                upto = x.starts + x.lengths
-                odd = np.add.reduceat(np.append(tags, 0), np.minimum(x.starts, len(tags))) if len(rows) else []
-                for j, i in enumerate(at_row):
-                    if not x.lengths[j]:
-                        hows[i] = "entity" if "�" in answers[i] else "empty"
-                        defects[i] = None if "�" in answers[i] else "empty"
-                    elif odd[j]:
-                        here = slice(x.starts[j], upto[j])
-                        defects[i] = decide(tags[here], x.letters[here])
-                        if defects[i]:
-                            hows[i] = "empty"
-                        elif tags[here][-1] == 4:
-                            hows[i] = cutoff.unfinished(hows[i])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(hows, pa.string()), pa.array(defects, pa.string())], names=["id", "source", "size", "ending", "defect"])
+                x, _, at_row, sizes, hows, defects = prepared(vocabulary, field.tails, list(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)))
+                judge(x, field.tags(x), at_row, hows, defects)
+                yield _told(batch.column(0), batch.column(1), sizes, hows, defects)
+
+    return run
+
+
+def unpacked(params: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """Blocks (ids, sources, sizes, hows, defects, at_row, x) to (id, source, size, ending, defect)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = Field({}, cutoff.Tails(), params)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 32):
+                batch = whole.slice(start, 32)
+                hows, defects = batch.column(3).flatten().to_pylist(), batch.column(4).flatten().to_pylist()
+                at_row, before = [], 0
+                for places, sizes in zip(batch.column(5).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    at_row += [before + p for p in places]
+                    before += len(sizes)
+                x = Measured.unpack(batch.column(6).to_pylist())
+                judge(x, field.tags(x), at_row, hows, defects)
+                yield _told(batch.column(0).flatten(), batch.column(1).flatten(), batch.column(2).flatten().to_pylist(), hows, defects)
 
     return run
 
@@ -559,12 +838,18 @@ def without_question(answer: str, question: str | None) -> str:
 
 
 def tags(df: DataFrame, key: str = "answer_id", source: str = "generator", question: str = "question", answer: str = "answer", error: str = "error", field: Field | None = None) -> DataFrame:
-    """(id, source, size, ending, defect) of every row: how the answer ends, and its defect so far,
-    which is null for good and for cut-off answers."""
+    """(id, source, size, ending, defect) of every row, written: how the answer ends, and its defect
+    so far, which is null for good and for cut-off answers."""
     ship(df.sparkSession)
     kind, of = df.schema[key].dataType.simpleString(), df.schema[source].dataType.simpleString()
-    rows = df.select(df[key].alias("id"), df[source].alias("source"), df[question].cast("string").alias("q"), df[answer].cast("string").alias("a"), df[error].cast("string").alias("e"))
-    return rows.mapInArrow(tagged(field or train(df, question, answer, error)), f"id {kind}, source {of}, size int, ending string, defect string")
+    told = f"id {kind}, source {of}, size int, ending string, defect string"
+    if field is not None:
+        rows = df.select(df[key].alias("id"), df[source].alias("source"), df[question].cast("string").alias("q"), df[answer].cast("string").alias("a"), df[error].cast("string").alias("e"))
+        return cut(rows.mapInArrow(tagged(field), told))
+    field, packed, folder = fitted(df, key, source, question, answer, error)
+    rows = cut(packed.select("ids", "sources", "sizes", "hows", "defects", "at_row", "x").mapInArrow(unpacked(field.params), told))
+    forget(df, folder)
+    return rows
 
 
 def defects(df: DataFrame, limits: DataFrame, key: str = "answer_id", source: str = "generator", question: str = "question", answer: str = "answer", error: str = "error", field: Field | None = None) -> DataFrame:
@@ -574,9 +859,9 @@ def defects(df: DataFrame, limits: DataFrame, key: str = "answer_id", source: st
     language and no words, so its answers are neither copies nor in another language. Rows sent
     again under the same id count once; if they differ, the defect that is first in the alphabet
     is given. Very long answers are read whole. ``limits`` has (source, tokens), see cutoff.
-    ``field`` is a fitted field; without one it is fitted on a bounded sample of the rows.
+    ``field`` is a fitted field; without one it is fitted on all rows.
     """
-    rows = cut(tags(df, key, source, question, answer, error, field))
+    rows = tags(df, key, source, question, answer, error, field)
     late = cutoff.cut_rows(rows.filter(F.col("defect").isNull()), limits).select("id", F.lit("truncated").alias("defect"))
     return rows.filter(F.col("defect").isNotNull()).select("id", "defect").unionByName(late).groupBy("id").agg(F.min("defect").alias("defect"))
 
@@ -588,7 +873,7 @@ def cut_answers(df: DataFrame, limits: DataFrame, key: str = "answer_id", source
     Answers with another defect (empty, a refusal, the question again, another language) were not
     cut. Null sources are one source; cases of single columns are those of defects().
     """
-    rows = cut(tags(df, key, source, question, answer, error, field))
+    rows = tags(df, key, source, question, answer, error, field)
     found = cut(cutoff.cut_rows(rows.filter(F.col("defect").isNull()), limits).select("id", "source").distinct())
     every = rows.select("id", "source").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n_answers"))
     late = found.groupBy(F.col("source").alias("__s")).agg(F.count(F.lit(1)).alias("n_cut"))

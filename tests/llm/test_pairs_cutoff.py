@@ -256,3 +256,63 @@ def test_capless_placeholders(field):
     x = [r for a in long for r in [(Q, a, None)]]
     got = [pairs._visible(a) for _, a, _ in x]
     assert got == [False, True]
+
+
+def letters(n):
+    out = ""
+    for _ in range(4):
+        out, n = "bcdfghjklmnpqrstvwxz"[n % 20] + out, n // 20
+    return out
+
+
+def test_words_of_all_rows_are_known(spark):
+    """Far more rows than a step has, and an answer of very many clauses: all of them are counted."""
+    rows = [(i, "g", Q, f"The remote crew won the {letters(i)} round, and the {letters(i)} round was long.", None, 0, 0) for i in range(200)]
+    rows.append((200, "g", Q, "The remote crew won the zzyzx round. The zzyzx was long. " * 300, None, 0, 0))
+    field = pairs.train(table(spark, rows), most=10, rounds=2)
+    assert all(letters(i) in field.known for i in range(200)) and "zzyzx" in field.known
+
+
+def test_every_row_is_in_a_gradient(spark, monkeypatch):
+    """The weights of the gradients add up to those of all rows, whatever the number of steps."""
+    rows = [(i, "g", Q, f"The remote crew won the {letters(i)} round, with a lead of {i} points over the others.", None, 0, 0) for i in range(90)]
+    rows.append((90, "g", Q, "The remote crew won the round. " * 400, None, 0, 0))
+    sums = []
+    summed = pairs._summed
+    monkeypatch.setattr(pairs, "_summed", lambda got: sums.append(summed(got)) or sums[-1])
+    pairs.train(table(spark, rows), most=30, rounds=3)
+    # a clause of its own weighs 1, one of many a quarter, a copy 1.2
+    copies = sum(s[3][0] for s in sums) - 90 - 100
+    assert len(sums) == 3 and min(s[3][0] for s in sums) > 20 and copies >= 90 * pairs.COPY_WEIGHT
+
+
+def test_gradient_is_that_of_the_likelihood():
+    r = np.random.default_rng(5)
+    texts = ["One two. Three four five", "Six", "A b c. D e f. G h i.", "Seven eight, nine. Ten"]
+    xs = [pairs.Measured(pairs.Vocabulary(), [(Q, t, None, cutoff.ending(t))]) for t in texts]
+    x = pairs.Measured.unpack([y.pack() for y in xs])
+    whole = pairs.Measured(pairs.Vocabulary(), [(Q, t, None, cutoff.ending(t)) for t in texts])
+    assert all(np.array_equal(getattr(x, n), getattr(whole, n)) for n in ("bucket", "first", "size", "dense", "starts", "lengths", "letters"))
+    k = len(pairs.TAGS)
+    params = [r.standard_normal((n, k)).astype(np.float64) for n in (pairs.BUCKETS, pairs.DENSE, k)]
+    gold, weight = r.integers(0, k, int(x.lengths.sum())), np.array([1.0, 2.0, 0.5, 3.0], np.float32)
+
+    def value():
+        import itertools
+
+        total, e, at = 0.0, x.scores(*params[:2]), 0
+        for n, w in zip(x.lengths, weight):
+            path = lambda t: sum(e[at + i, y] for i, y in enumerate(t)) + sum(params[2][a, b] for a, b in zip(t, t[1:]))  # noqa: B023, E731
+            total += w * (path(gold[at : at + n]) - np.log(sum(np.exp(path(t)) for t in itertools.product(range(k), repeat=int(n)))))
+            at += n
+        return total
+
+    got = pairs.gradient(x, gold, weight, params)
+    for p, place in ((0, (x.bucket[0], 1)), (0, (x.bucket[-1], 3)), (1, (0, 2)), (2, (0, 1)), (2, (4, 4))):
+        before = params[p][place]
+        params[p][place] = before + 1e-5
+        up = value()
+        params[p][place] = before - 1e-5
+        down = value()
+        params[p][place] = before
+        assert got[p][place] == pytest.approx((up - down) / 2e-5, abs=1e-4)
