@@ -7,7 +7,7 @@ initials, decimals, ordinals, the case of what follows, quotations and brackets)
 without a whole word cost, and the best path decides. Scripts without spaces between words have other gaps:
 their marks split wherever they stand, and a space is a gap. The runs on both sides of it are
 segmented by the best path through a dictionary word lattice, whose words are common ones of each
-script and those that a bounded sample of the texts suggests; the final particle before the gap and the
+script and those that all of the texts suggest; the final particle before the gap and the
 opening word after it, weighed by how often they stand at the ends of lines, and the number of words
 on both sides decide.
 """
@@ -15,7 +15,6 @@ on both sides decide.
 from __future__ import annotations
 
 import math
-import random
 import re
 import unicodedata
 from collections import Counter
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 
 # Words and marks of the languages covered.
 #: Abbreviations that stand before what they belong to; no sentence ends with them.
@@ -59,8 +58,9 @@ COMMON = (
     "ຄົນ ບ້ານ ນ້ຳ ວັນ ປີ ໄປ ມາ ກິນ ເຮັດ ວຽກ ດີ ຫຼາຍ ໃຫຍ່ ນ້ອຍ ຕະຫຼາດ មនុស្ស ផ្ទះ ទឹក ថ្ងៃ ឆ្នាំ ទៅ មក ស៊ី ធ្វើ ការ ល្អ ធំ តូច ផ្សារ လူ အိမ် ရေ နေ့ နှစ် သွား လာ စား လုပ် ကောင်း ကြီး ငယ် "
     "我们 他们 今天 明天 昨天 工作 时间 没有 可以 因为 所以 学校 市场 水果 私 彼 今日 明日 昨日 仕事 時間 学校 市場 それ これ ここ"
 ).split()
-#: Documents the word lattice is learned from, their longest runs' number, the longest learned word.
-LEARNED_FROM, LEARNED_RUNS, LONGEST_WORD = 4_000, 3_000, 12
+#: A learned word stands in the texts as often as once in so many runs (or lines), and four times; the
+#: longest learned word. All texts are counted: this bounds the lexicon, not what it is learned from.
+LEARNED_IN, LONGEST_WORD = 5_000, 12
 #: Strings that mark the end of a document in corpora; units of their own.
 MARKERS = ("<|endoftext|>", "Endoftext", "</s>", "<eos>")
 
@@ -576,55 +576,83 @@ def gaps(text: str, inside: list[tuple[int, int]], lexicon: Lexicon) -> list[int
     return ends
 
 
-def learn(texts: list[str]) -> Lexicon:
-    """A lexicon from texts: substrings of runs that pay as words, and the words that stand at the
-    beginnings and ends of lines more often than elsewhere."""
-    stretches: list[tuple[str, bool, bool]] = []
+def stretches(texts: list[str | None]) -> dict[str, list[int]]:
+    """What stands between spaces in lines with scripts without spaces: [times, at a line's beginning, at its end]."""
+    out: dict[str, list[int]] = {}
     for text in texts:
-        for line in _break.split(text):
+        for line in _break.split(text or ""):
+            if not _thai.search(line):
+                continue
             parts = [p for p in _gap.split(line.strip()) if p]
-            if parts and any(_thai.search(p) for p in parts):
-                stretches += [(p, i == 0, i == len(parts) - 1) for i, p in enumerate(parts)]
-    runs = sorted({r for p, _, _ in stretches for r in _run.findall(p) if _thai.match(r[0])})
-    if len(runs) > LEARNED_RUNS:
-        runs = random.Random(7).sample(runs, LEARNED_RUNS)
-    counts: Counter[str] = Counter()
-    for run in runs:
-        starts = [i for i, c in enumerate(run) if not _hangs(c)] + [len(run)]
-        for i, a in enumerate(starts):
-            for b in starts[i + 1 :]:
-                if b - a > LONGEST_WORD:
-                    break
-                if b - a > 1:
-                    counts[run[a:b]] += 1
-    kept = {w: float(c) for w, c in counts.items() if c >= 4}
-    for _ in range(2):
-        lexicon = Lexicon(kept)
-        used = Counter(w for run in runs for w in lexicon.segment(run))
-        kept = {w: float(c) for w, c in used.items() if c >= 3 and len(w) > 1}
-    lexicon = Lexicon(kept)
-    cache: dict[str, list[str]] = {}
-    first, last, every = Counter(), Counter(), Counter()
-    for p, starts, ends in stretches:
-        words = cache.get(p)
-        if words is None:
-            words = cache[p] = _words_of(p, lexicon)
+            for i, p in enumerate(parts):
+                one = out.setdefault(p, [0, 0, 0])
+                one[0] += 1
+                one[1] += i == 0
+                one[2] += i == len(parts) - 1
+    return out
+
+
+def runs_of(parts) -> set[str]:
+    return {r for p in parts for r in _run.findall(p) if _thai.match(r[0])}
+
+
+def substrings(run: str) -> Iterator[str]:
+    """The substrings of a run that a word could be, up to LONGEST_WORD."""
+    starts = [i for i, c in enumerate(run) if not _hangs(c)] + [len(run)]
+    for i, a in enumerate(starts):
+        for k in range(i + 1, len(starts)):
+            b = starts[k]
+            if b - a > LONGEST_WORD:
+                break
+            if b - a > 1:
+                yield run[a:b]
+
+
+def places(parts: list[tuple[str, int, int, int]], lexicon: Lexicon) -> dict[str, list[int]]:
+    """Words of stretches: [times, at a line's beginning, at its end]."""
+    out: dict[str, list[int]] = {}
+    for p, n, starts, ends in parts:
+        words = _words_of(p, lexicon)
+        for w in words:
+            out.setdefault(w, [0, 0, 0])[0] += n
         if words:
-            every.update(words)
-            if starts:
-                first[words[0]] += 1
-            if ends:
-                last[words[-1]] += 1
-    n, n_first, n_last = sum(every.values()) + 1, sum(first.values()) + 1, sum(last.values()) + 1
-
-    def weigh(at: Counter, total: int, known: dict[str, float]) -> dict[str, float]:
+            out[words[0]][1] += starts
+            out[words[-1]][2] += ends
+    return out
+
+
+def _least(n: int, times: int) -> float:
+    return max(float(times), n * times / 4 / LEARNED_IN)
+
+
+def weighed(kept: dict[str, float], found: list[tuple[str, int, int, int]], n: int, n_first: int, n_last: int) -> Lexicon:
+    """The lexicon of words and of where they stand, from (word, times, beginnings, ends) and their totals."""
+
+    def weigh(at: int, total: int, known: dict[str, float]) -> dict[str, float]:
         out = {}
-        for w, c in at.items():
-            if c >= 4 and known.get(w, 0.0) >= 0:
-                out[w] = max(known.get(w, 0.0), min(3.0, math.log((c + 0.5) / total) - math.log((every[w] + 0.5) / n)))
+        for r in sorted(found):
+            if r[at] >= _least(total, 4) and known.get(r[0], 0.0) >= 0:
+                out[r[0]] = max(known.get(r[0], 0.0), min(3.0, math.log((r[at] + 0.5) / (total + 1)) - math.log((r[1] + 0.5) / (n + 1))))
         return out
 
-    return Lexicon(kept, weigh(first, n_first, _class), weigh(last, n_last, _close))
+    return Lexicon(kept, weigh(2, n_first, _class), weigh(3, n_last, _close))
+
+
+def _kept(counts, n: int, times: int) -> dict[str, float]:
+    return {w: float(c) for w, c in sorted(counts) if c >= _least(n, times) and len(w) > 1}
+
+
+def learn(texts: list[str]) -> Lexicon:
+    """A lexicon from texts: substrings of runs that pay as words, and the words that stand at the
+    beginnings and ends of lines more often than elsewhere. The same as lexicon_of(), in one process."""
+    parts = stretches(texts)
+    runs = runs_of(parts)
+    kept = _kept(Counter(w for run in runs for w in substrings(run)).items(), len(runs), 4)
+    for _ in range(2):
+        lexicon = Lexicon(kept)
+        kept = _kept(Counter(w for run in runs for w in lexicon.segment(run)).items(), len(runs), 3)
+    found = [(w, *c) for w, c in places([(p, *c) for p, c in parts.items()], Lexicon(kept)).items()]
+    return weighed(kept, found, *(sum(r[i] for r in found) for i in (1, 2, 3)))
 
 
 def sentences(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int, int]]:
@@ -669,22 +697,73 @@ def sentence_rows(lexicon: Lexicon):
     return run
 
 
-def lexicon_of(df: DataFrame, text: str = "text", most: int = LEARNED_FROM) -> Lexicon:
-    """The lexicon of a table, learned from about ``most`` texts in scripts without spaces or marks
-    (of at most 20,000 characters each), drawn by hash. It only weighs gaps; every text is split whole."""
-    rows = df.select(df[text].cast("string").alias("t")).filter(F.col("t").rlike("[\u0e00-\u0eff\u1780-\u17ff\u1000-\u109f]") & (F.length("t") <= 20_000))
-    n = rows.count()
-    if n > most:
-        rows = rows.filter(F.pmod(F.xxhash64("t"), F.lit(n // most)) == 0)
-    return learn(sorted(r.t for r in rows.limit(3 * most).collect()))
+def _counted(rows: DataFrame, count, names: str) -> DataFrame:
+    """Sums, by word, of what ``count`` gives for batches of rows as {word: one or several numbers}; ``names`` of the sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = count(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+            columns = list(zip(*((w, *c) for w, c in got.items()), strict=True)) or [()] * (1 + len(of))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["word", *of])
+
+    of = names.split()
+    return rows.mapInArrow(run, "word string, " + ", ".join(f"{n} long" for n in of)).groupBy("word").agg(*(F.sum(n).alias(n) for n in of))
+
+
+def _candidates(share: float):
+    """Runs to those of their substrings that are frequent in some portion of them. What is as frequent
+    as ``share`` in all runs is so in one portion at least, however they are portioned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = Counter(), 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w for w, c in seen.items() if c >= share * n], pa.string())], names=["word"])
+
+        for batch in batches:
+            for r in batch.column(0).to_pylist():
+                n += 1
+                seen.update(substrings(r))
+                if len(seen) > 1_000_000:
+                    yield out()
+                    seen, n = Counter(), 0
+        yield out()
+
+    return run
+
+
+def lexicon_of(df: DataFrame, text: str = "text") -> Lexicon:
+    """The lexicon of a table, learned from all texts in scripts without spaces or marks, whatever
+    their length. Every step counts in the workers; only words as frequent as LEARNED_IN asks are collected."""
+    ship(df.sparkSession)
+    rows = df.select(df[text].cast("string").alias("t")).filter(F.col("t").rlike("[\u0e00-\u0eff\u1780-\u17ff\u1000-\u109f]"))
+    parts = cut(_counted(rows, lambda got: stretches([r[0] for r in got]), "n starts ends"))
+    runs = cut(_counted(parts.select("word"), lambda got: dict.fromkeys(runs_of(r[0] for r in got), (1,)), "n").select("word"))
+    n = runs.count()
+    if not n:
+        return Lexicon()
+    words = {r.word for r in runs.mapInArrow(_candidates(_least(n, 4) / n), "word string").distinct().collect()}
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    within = lambda got: {w: (c,) for w, c in Counter(w for r in got for w in substrings(r[0]) if w in shared.value).items()}
+    kept = _kept(((r.word, r.n) for r in _counted(runs, within, "n").filter(F.col("n") >= _least(n, 4)).collect()), n, 4)
+    shared.unpersist()
+    for _ in range(2):
+        lexicon = Lexicon(kept)
+        segmented = lambda got, lexicon=lexicon: {w: (c,) for w, c in Counter(w for r in got for w in lexicon.segment(r[0])).items()}
+        kept = _kept(((r.word, r.n) for r in _counted(runs, segmented, "n").filter(F.col("n") >= _least(n, 3)).collect()), n, 3)
+    lexicon = Lexicon(kept)
+    found = cut(_counted(parts, lambda got: places(got, lexicon), "n starts ends"))
+    totals = found.agg(*(F.sum(c).alias(c) for c in ("n", "starts", "ends"))).first()
+    least = [_least(totals[c], 4) for c in ("starts", "ends")]
+    return weighed(kept, [tuple(r) for r in found.filter((F.col("starts") >= least[0]) | (F.col("ends") >= least[1])).collect()], *totals)
 
 
 def split(df: DataFrame, key: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
     """(key, start_pos, end_pos): one row per sentence, counted from 0 in code points.
 
     Null and blank texts have none. Repeated rows give repeated sentences; null keys are kept.
-    Nothing is shuffled, and every text is read whole, in time linear in its length; extra columns
-    are not read. ``lexicon`` is a learned one; without it, one is learned from a bounded sample.
+    Only what the lexicon is learned from is shuffled, and every text is read whole, in time linear in its length; extra columns
+    are not read. ``lexicon`` is a learned one; without it, one is learned from all texts.
     """
     ship(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()

@@ -141,3 +141,18 @@ def test_table(spark):
     got = sorted(map(tuple, s.split(df).collect()), key=str)
     assert got == sorted([(1, 0, 4), (1, 5, 9), (1, 0, 4), (1, 5, 9), (None, 0, 5)], key=str)
     assert s.split(df.limit(0)).count() == 0
+
+
+def test_lexicon_is_learned_from_all_texts(spark):
+    """More runs than 3,000, and a text of more than 20,000 characters; the same as in one process."""
+    consonants = "กขคงจชซญดตถทนบปผพมยรลวสห"
+    name = lambda i: "".join(consonants[i // 24**k % 24] for k in range(3))
+    texts = [f"โรงงาน{name(i)}ผลิต เสมอ\nโรงงาน{name(i)}" for i in range(4_000)] + ["จระเข้ว่ายน้ำ " * 2_000 + "\n" + "\n".join(f"จระเข้{name(i)}" for i in range(50))]
+    got = s.lexicon_of(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    want = s.learn(texts)
+    assert (got.counts, got.opening, got.closing) == (want.counts, want.opening, want.closing)
+    assert sum(c for w, c in got.counts.items() if w.startswith("โรงงาน")) > 6_000 and "จระเข้" in got.counts
+
+
+def test_lexicon_of_nothing(spark):
+    assert s.lexicon_of(spark.createDataFrame([("One. Two.",), (None,)], "text string")).counts == {}
