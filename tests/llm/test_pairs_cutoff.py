@@ -316,3 +316,10 @@ def test_gradient_is_that_of_the_likelihood():
         down = value()
         params[p][place] = before
         assert got[p][place] == pytest.approx((up - down) / 2e-5, abs=1e-4)
+
+
+def test_last_words_are_counted_in_all_rows(spark):
+    """Words that stand in two rows only, in more rows than 20,000."""
+    df = spark.createDataFrame([(f"Row {i} was {letters(i // 2)} indeed.",) for i in range(50_000)], "t string")
+    levels = cutoff.tails(df, "t").levels
+    assert all(letters(i) in levels for i in range(25_000)) and "indeed" in levels
