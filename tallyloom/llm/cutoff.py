@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,23 +99,27 @@ class Tails:
 
 
 _no_tails = Tails()
-_placed = re.compile(r"([^\W\d_]+)([^\w]*)")
+_placed = re.compile(r"[^\W\d_]++\W++")
+_letters = re.compile(r"[^\W\d_]+")
 
 
 def count_tails(texts: list[str | None], seen: dict[str, list[int]]) -> None:
     """Add to (word: [ends, insides]): how often a word ends a finished sentence or stands in one."""
+    placed: Counter = Counter()
     for text in texts:
-        for word, after in _placed.findall(text or ""):
-            if not after:
-                continue
-            word = word.lower()
-            one = seen.get(word)
-            if one is None:
-                one = seen[word] = [0, 0]
-            if after == " ":
-                one[1] += 1
-            elif after[0] in ".!?…。！？؟।" and len(word) > 2 and word not in BEFORE:
-                one[0] += 1
+        if text:
+            placed.update(_placed.findall(text))
+    for found, n in placed.items():
+        word = _letters.match(found).group()
+        after = found[len(word) :]
+        word = word.lower()
+        one = seen.get(word)
+        if one is None:
+            one = seen[word] = [0, 0]
+        if after == " ":
+            one[1] += n
+        elif after[0] in ".!?…。！？؟।" and len(word) > 2 and word not in BEFORE:
+            one[0] += n
 
 
 def _tail_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +167,9 @@ def unfinished(symbol: str) -> str:
 
 def _ending(text: str | None) -> tuple[str, str]:
     t = (text or "").rstrip()
-    if not any(c.isalnum() for c in t):
+    if not t[:1].isalnum() and not any(c.isalnum() for c in t):
         return "entity" if "\ufffd" in t else "empty", ""
-    m = _entity.search(t)
+    m = _entity.search(t) if "&" in t or "<" in t or "[" in t or "\\" in t or "\ufffd" in t else None
     if m and m.start() > 0:
         found = m.group()
         if found[0] == "\ufffd" or found[0] in "\\[" or (found[0] == "&" and found != "&") or found[0] == "<":
@@ -172,10 +177,10 @@ def _ending(text: str | None) -> tuple[str, str]:
     core = t.rstrip(CLOSERS)
     if core and core[-1] in ENDS:
         if core[-1] == "." and not core.endswith(".."):
-            word = (core[:-1].split()[-1:] or [""])[0].lower().lstrip("([{\"'«„“")
+            word = (core[:-1].rsplit(None, 1)[-1:] or [""])[0].lower().lstrip("([{\"'«„“")
             if word in BEFORE and core is t:
                 return "open", ""
-        if core[-1] == "." and _hour.search(core):
+        if core[-1] == "." and _hour.search(core, max(len(core) - 4, 0)):
             return "open", ""
         if core[-1] in ";：":
             return ("closed" if "\u0370" <= core[-2:-1] <= "\u03ff" else "open"), ""

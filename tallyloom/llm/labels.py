@@ -32,12 +32,16 @@ _failed = re.compile(r"^\W*(?:(?:error|err|failed|failure|exception)\b\W*(?:[\w:
 _trace = re.compile(r"^\W*(?:traceback \(most recent call last\)|(?:(?:error|err|failed|failure|exception)\b\W*(?:[\w:.-]+\W+)?)?(?:HTTP\s*[45]\d\d\b|(?-i:(?:\w+\.)*[A-Z]\w*(?:Error|Exception|Timeout))(?=\s*[:(\n]|\s*$))|\[?(?:error|err|failed|exception)\]?\s*[:\]])", re.I)
 _flagged = re.compile(r"^\W*\[?(?:error|err|failed|exception)\]?\s*[:\]][^\n]*$", re.I)
 _markup = re.compile(r"<[^<>]*>|&[a-z]+;|```\w*|\[dry-run\]", re.I)
-_words = re.compile(r"[^\W_]+").findall
+_found = re.compile(r"[^\W_]+").findall
+#: Latin-1 with spaces for all but letters and digits.
+_spaced = bytes(n if chr(n).isalnum() else 32 for n in range(256))
 _visible = re.compile(r"[^\W_]")
 _fifth = re.compile(r"(?:[\W_]*+[^\W_]++){5}")
-_clause = re.compile(r"[^\n]+?(?:[.!?…]+[\"'”’»)\]*]*(?=\s|$)|[。！？؟।]+[”’»」』）]*|(?=\n)|$)")
+#: A clause begins with any character; marks inside it are those that nothing but closing marks and white space doesn't follow.
+_clause = re.compile(r"[^\n](?:[^\n.!?…。！？؟।]++|[.!?…]++(?![\"'”’»)\]*]*+(?:\s|$)))*+(?:[.!?…]++[\"'”’»)\]*]*+|[。！？؟।]++[”’»」』）]*+)?").findall
 _quoted = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」")
 _code = re.compile(r"\b[A-Z]{1,3}-?\d[\w.-]*|\S*_\S*|\d[\w.,:-]*")
+_code_plain = re.compile(r"\b[A-Z]{1,3}-?\d[\w.-]*|\d[\w.,:-]*")  # the same where there is no underscore
 _digit = re.compile(r"\d")
 _last_word = re.compile(r"[\w'’-]+\W*$")
 _quote = re.compile("[\"“„«「]")
@@ -53,6 +57,12 @@ _decline = re.compile(
     r"|\bne\b|\bn'|refuser|impossible|préfèr|sort de|hors de|désolé|malheureusement|abstenir|déclin|\bno\b|rechaz|prefier|fuera de|imposible|siento|desgracia|absten|declin|non posso|mi dispiace|não posso|desculp|niet|helaas",
     re.I,
 )
+#: Each way to decline in ``_decline`` holds a word that holds one of these, or is one of DECLINING_WORDS.
+DECLINING = re.compile(
+    "unable not can won would don declin refus pass answer comment inappropriate outside beyond against guideline polic rules stay steer avoid prefer another unnamed instead limits abstain withhold sorry apolog unfortunately "
+    "regret forgive afraid nicht kein ablehn unmöglich verweiger außerhalb lieber leider leid entschuldig impossible préfèr sort hors désolé malheureusement absten déclin rechaz fuera imposible prefier siento desgracia posso dispiace desculp niet helaas".replace(" ", "|")
+).search
+DECLINING_WORDS = {"ne", "n", "no"}
 _closer = re.compile(r"please|anything else|something else|let me know|happy to|consult|expert|assist|bitte|andere frage|autre question|s'il vous|otra pregunta|por favor|haga|posez|stellen sie", re.I)
 _latin = re.compile(r"[A-Za-zÀ-ɏ]")
 _strange = re.compile(r"[Ͱ-ϿЀ-ӿ֐-׿؀-ۿऀ-ॿ฀-๿぀-ヿ㐀-鿿가-힯]")
@@ -72,6 +82,27 @@ FEATURES = (
 )
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters and digits; what the pattern finds, faster in Latin-1."""
+    try:
+        return text.encode("latin-1").translate(_spaced).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _found(text)
+
+
+def may_decline(low: str) -> bool:
+    """Whether a clause with this word (in lower case) can match ``_decline``; letters that the pattern takes for others may."""
+    return low in DECLINING_WORDS or DECLINING(low) is not None or not low.isascii() and ("\u017f" in low or "\u0131" in low or "\u0307" in low or "\ufb05" in low or "\u1e9e" in low)
+
+
+def _without_codes(text: str) -> str:
+    return (_code if "_" in text else _code_plain).sub(" ", text)
+
+
+def _has_quote(text: str) -> bool:
+    return '"' in text if text.isascii() else _quote.search(text) is not None
+
+
 def placeholder(answer: str | None, error: str | None) -> bool:
     """Nothing visible, only marks, markup or a placeholder, or just a failed call's message."""
     if answer is None:
@@ -83,8 +114,12 @@ def placeholder(answer: str | None, error: str | None) -> bool:
         told = error.strip()
         if text == told or answer.strip() == told or (text in error and len(text) > 0.6 * len(told)):
             return True
-    if not _fifth.match(text) and all(w in PLACEHOLDERS for w in _words(text.lower())):
+    if not _fifth.match(text) and all(w in PLACEHOLDERS for w in words_of(text.lower())):
         return True
+    if text.isascii() and answer.isascii():
+        low = answer.lower()
+        if not ("err" in low or "http" in low or "timeout" in low or "fail" in low or "exception" in low or "traceback" in low):
+            return False  # none of the messages' words
     if _failed.match(text) or _flagged.match(answer.strip()):
         return True
     return _trace.match(text) is not None or _trace.match(answer.strip()) is not None
@@ -93,14 +128,12 @@ def placeholder(answer: str | None, error: str | None) -> bool:
 def languages(words: list[str]) -> list[int]:
     """Hits of each Latin-script language's frequent words; words of one language only count double."""
     hits = [0] * len(FUNCTION_WORDS)
-    for w in words:
-        own = LANGUAGE.get(w)
-        if own is not None:
-            if len(own) == 1:
-                hits[own[0]] += 2
-            else:
-                for n in own:
-                    hits[n] += 1
+    for own in filter(None, map(LANGUAGE.get, words)):
+        if len(own) == 1:
+            hits[own[0]] += 2
+        else:
+            for n in own:
+                hits[n] += 1
     return hits
 
 
@@ -108,7 +141,7 @@ class Question:
     """What clauses are compared with; kept for repeated questions."""
 
     def __init__(self, text: str | None):
-        words = _words((text or "").lower())
+        words = words_of((text or "").lower())
         self.words = set(words)
         self.sorted = {"".join(sorted(w)) for w in words if len(w) > 3}
         self.size = len(words)
@@ -122,7 +155,7 @@ def features(clause: str, words: list[str], question: Question, first: bool, las
     """Bits of FEATURES for one clause."""
     bits = 1
     digits = _digit.search(clause) is not None
-    bare = _quoted.sub(" ", clause) if _quote.search(clause) else clause
+    bare = _quoted.sub(" ", clause) if _has_quote(clause) else clause
     if last and ends in UNFINISHED:
         # what is left of a word may look like another one
         bare = _last_word.sub("", bare)
@@ -154,7 +187,7 @@ def features(clause: str, words: list[str], question: Question, first: bool, las
         if question.latin:
             bits |= 1 << 12
     elif question.language >= 0:
-        hits = languages(_words(_code.sub(" ", bare).lower()) if digits else words)
+        hits = languages(words_of(_without_codes(bare).lower()) if digits else words)
         own, most = hits[question.language], max(hits)
         if most >= own + 2:
             bits |= 1 << 10
@@ -168,7 +201,7 @@ def features(clause: str, words: list[str], question: Question, first: bool, las
 
 
 def clauses(text: str) -> list[str]:
-    return [c for m in _clause.finditer(text) if (c := m.group().strip()) and _visible.search(c)]
+    return [c for m in _clause(text) if (c := m.strip()) and (c[0].isalnum() or _visible.search(c))]
 
 
 def weak_tags(all_bits: list[int]) -> list[int]:
@@ -203,25 +236,41 @@ def measured(question: Question, answer: str, how: str | None = None, parts: lis
     how = (how or cutoff.ending(answer)).partition(":")[0]
     bits, sizes = [], []
     for i, c in enumerate(parts):
-        words = _words(c.lower())
+        words = words_of(c.lower())
         bits.append(features(c, words, question, i == 0, i == len(parts) - 1, how))
         sizes.append(sum(map(len, words)))
     if question.language >= 0 and any(b >> 10 & 3 for b in bits):
-        hits = languages(_words(_code.sub(" ", _quoted.sub(" ", answer)).lower()))
+        hits = languages(words_of(_without_codes(_quoted.sub(" ", answer) if _has_quote(answer) else answer).lower()))
         if max(hits) >= hits[question.language] + 2 or (not hits[question.language] and sum(sizes) > 12):
             bits = [b | 1 << 8 for b in bits]
     return bits, sizes
 
 
+def tags_of(question: Question, answer: str, how: str, parts: list[str], doubts: list[bool]) -> list[int]:
+    """weak_tags() of an answer in which only the clauses with ``doubts`` may be anything but answers by themselves. The others are
+    measured where they may follow from those: around a refusal, and where a clause leans to another language."""
+    kind, last = how.partition(":")[0], len(parts) - 1
+    at = [i for i, doubt in enumerate(doubts) if doubt]
+    if len(at) <= last:
+        bits = [features(parts[i], words_of(parts[i].lower()), question, i == 0, i == last, kind) for i in at]
+        some = weak_tags(bits)
+        if 1 not in some and not any(b >> 10 & 3 for b in bits):
+            tags = [0] * len(parts)
+            for i, tag in zip(at, some, strict=True):
+                tags[i] = tag
+            return tags
+    return weak_tags(measured(question, answer, how, parts)[0])
+
+
 def restated(question: Question, answer: str) -> bool:
     """Whether the answer's letters are the question's and hardly any others."""
     if question.size < 3 or len(answer) > 3 * len(question.plain) + 80:
         return False
-    words = _words(answer.lower())
+    words = words_of(answer.lower())
     plain = "".join(words)
     if question.plain not in plain:
         return False
-    rest = _words(answer.lower().replace("_", " "))
+    rest = words_of(answer.lower().replace("_", " "))
     left = [w for w in rest if w not in question.words]
     return len(plain) - len(question.plain) <= 24 and all(w in FRAMES for w in left)
 

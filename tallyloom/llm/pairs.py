@@ -17,7 +17,11 @@ from __future__ import annotations
 import random
 import re
 import uuid
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -85,10 +89,10 @@ _bit = {}
 for _n, _list in enumerate(FUNCTION_WORDS.values()):
     for _w in _list.split():
         _bit[_w] = _bit.get(_w, 0) | 1 << _n
-_words = re.compile(r"[^\W_]+").findall
+_words = labels.words_of
 _letters = re.compile(r"[\W_]+")
+_marks = bytes(n for n in range(256) if not chr(n).isalnum())
 _quoted = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」")
-_quote = re.compile("[\"“„«「]")
 _failure = re.compile(r"[A-Z]\w*(?:Error|Exception|Timeout)$|HTTP$|^(?:error|traceback|failed|exception)$")
 
 DENSE = 60
@@ -103,6 +107,26 @@ def _script(c: str) -> int:
     return 1 if o < 0x400 else 2 if o < 0x530 else 3 if o < 0x600 else 4 if o < 0x780 else 5 if o < 0xE00 else 6 if o < 0xF00 else 7 if 0xAC00 <= o < 0xD7B0 else 8
 
 
+def _plain(text: str) -> str:
+    """The letters and digits of a text, in lower case."""
+    low = text.lower()
+    try:
+        return low.encode("latin-1").translate(None, _marks).decode("latin-1")
+    except UnicodeEncodeError:
+        return _letters.sub("", low)
+
+
+class _Numbers(dict):
+    """Keys with the numbers that ``add`` gives them."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, key):
+        got = self[key] = self.add(key)
+        return got
+
+
 class Vocabulary:
     """Numbers of words with what the field needs of each: hashes, languages, shape."""
 
@@ -113,38 +137,63 @@ class Vocabulary:
 
         self.hash = xxhash.xxh32_intdigest
         self.known = known or {}
+        self.digits = (self.hash("0") % BUCKETS, self.hash("0~") % BUCKETS)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = _Numbers(self.add)
+        self.words: list[str] = []
+        self.backwards = [_Numbers(lambda n, every=every: self.number[_mirrored(self.words[n], every)]) for every in (False, True)]
         self.anagrams: dict[str, int] = {}
-        self.table = np.zeros((1024, 11), dtype=np.int64)
+        self.table = np.zeros((11, 1024), dtype=np.int32)
         self.questions: dict[str | None, tuple] = {}
+        self.clauses: dict[str, tuple[list[int], int, int]] = {}
 
     def add(self, word: str) -> int:
-        n = self.number[word] = len(self.number)
-        if n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        n = len(self.words)
+        self.words.append(word)
+        if n == self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
+        if word.isdecimal() and word.isascii():
+            letters = "".join(sorted(word)) if len(word) > 3 else word
+            self.table[:, n] = (*self.digits, self.anagrams.setdefault(letters, len(self.anagrams)), 0, 0, len(word), 0, 1, 0, 0, 0)
+            return n
         low = word.lower()
         digits = any(c.isdigit() for c in word)
         plain = "0" if digits else low
         letters = "".join(sorted(low)) if len(low) > 3 else low
         # codes in capitals are words of no language
         coded = digits or (len(word) > 1 and word.isupper() and word.isascii())
-        self.table[n] = (
+        self.table[:, n] = (
             self.hash(plain) % BUCKETS, self.hash(plain[:5] + "~") % BUCKETS, self.anagrams.setdefault(letters, len(self.anagrams)),
             0 if coded else _bit.get(low, 0), 0 if coded else self.known.get(low, 0) | _bit.get(low, 0), len(word),
             0 if digits else 1 if word == low else 2 if word.istitle() else 0, digits, _script(word[0]) | (_failure.search(word) is not None) << 8,
-            (low in labels.PERSONS) | (low in labels.CLOSERS) << 1 | (low in labels.FRAMES) << 2, _bit.get(low, 0),
+            (low in labels.PERSONS) | (low in labels.CLOSERS) << 1 | (low in labels.FRAMES) << 2 | labels.may_decline(low) << 3, _bit.get(low, 0),
         )
         return n
 
     def ids(self, words: list[str]) -> list[int]:
-        got = list(map(self.number.get, words))
-        if None in got:
-            got = [n if (n := self.number.get(w)) is not None else self.add(w) for w in words]
+        return list(map(self.number.__getitem__, words))
+
+    def clause(self, c: str) -> tuple[list[int], int, int]:
+        """(words, letters, marks) of a clause, kept for its copies; quotations don't count."""
+        if len(self.clauses) > 20_000:
+            self.clauses.clear()
+        bare = _quoted.sub(" ", c) if labels._has_quote(c) else c
+        shouted = len(bare) > 12 and bare.isupper()
+        words = _words(bare.lower() if shouted else bare) or _words(c)
+        got = self.clauses[c] = (self.ids(words), sum(map(len, words)), (c[0] in "[{<") << 7 | (bare is not c) << 8 | (c[-1] == "?") << 9 | shouted << 10)
         return got
 
+    def mirrored(self, parts: list[str], every: bool, text: str) -> list[str]:
+        """The clauses of _mirrored()'s ``text``, whose words are known by number from the ``parts`` that it was made of."""
+        out = clauses(text)
+        for c, back in zip(parts, out, strict=True):
+            got = self.clauses.get(c)
+            if got is not None and not got[2] >> 10 and back not in self.clauses:
+                self.clauses[back] = (list(map(self.backwards[every].__getitem__, got[0])), *got[1:])
+        return out
+
     def question(self, text: str | None) -> tuple:
         """(anagram classes, number of words, language or -1, script, letters) of a question."""
         got = self.questions.get(text)
@@ -152,10 +201,10 @@ class Vocabulary:
             if len(self.questions) > 50_000:
                 self.questions.clear()
             ids = self.ids(_words(text.lower() if text and text.isupper() else text or ""))
-            rows = self.table[ids] if ids else self.table[:0]
-            hits = np.array([((rows[:, 3] >> n & 1) * np.where(np.bitwise_count(rows[:, 3]) == 1, 2, 1)).sum() for n in range(_F)])
-            scripts = np.bincount(rows[:, 8] & 15, rows[:, 5], 9)
-            got = self.questions[text] = (np.unique(rows[:, 2]), len(ids), int(hits.argmax()) if hits.any() else -1, int(scripts.argmax()), _letters.sub("", (text or "").lower()))
+            rows = self.table[:, ids].astype(np.int64) if ids else np.zeros((11, 0), np.int64)
+            hits = np.array([((rows[3] >> n & 1) * np.where(np.bitwise_count(rows[3]) == 1, 2, 1)).sum() for n in range(_F)])
+            scripts = np.bincount(rows[8] & 15, rows[5], 9)
+            got = self.questions[text] = (np.unique(rows[2]), len(ids), int(hits.argmax()) if hits.any() else -1, int(scripts.argmax()), _plain(text or ""))
         return got
 
 
@@ -169,74 +218,78 @@ def _pairs(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
 class Measured:
     """Features of the clauses of many pairs: hashed words (bucket, clause) and a dense matrix."""
 
-    def __init__(self, vocabulary: Vocabulary, rows: list[tuple[str | None, str, str | None, str]], screen: bool = False):
+    def __init__(self, vocabulary: Vocabulary, rows: list[tuple[str | None, str, str | None, str]], screen: bool = False, parts: list[list[str]] | None = None):
         """``rows``: question, answer, error and the kind of the answer's ending. With ``screen``, the
-        rows that may have another weak label than answers are ``doubtful``."""
+        rows that may have another weak label than answers are ``doubtful``. ``parts`` are the answers' clauses, if known."""
         if len(vocabulary.number) > vocabulary.REMEMBERED:
             vocabulary.forget()
         flat: list[int] = []
-        sizes, letters, counts, of_row, marks = [], [], [], [], []
+        sizes, letters, counts, marks = [], [], [], []
         questions: list[tuple] = []
-        self.parts: list[list[str]] = []
-        for r, (q, answer, error, how) in enumerate(rows):
-            question = vocabulary.question(q)
+        self.parts = [clauses(a) for _, a, _, _ in rows] if parts is None else parts
+        seen_clause, seen_question = vocabulary.clauses.get, vocabulary.questions.get
+        for (q, answer, error, how), parts in zip(rows, self.parts, strict=True):
+            question = seen_question(q) or vocabulary.question(q)
             questions.append(question)
-            parts = clauses(answer)
-            self.parts.append(parts)
-            kind = how.partition(":")[0]
-            told = (error or "").strip()
+            counts.append(len(parts))
+            if not parts:
+                continue
+            told = error.strip() if error else ""
             failed = len(told) > 5 and (told in answer or answer.strip() in told)
-            contains = question[1] >= 3 and len(answer) <= 3 * len(question[4]) + 80 and question[4] in (plain := _letters.sub("", answer.lower())) and len(plain) - len(question[4]) <= 24
-            last = len(parts) - 1
-            for i, c in enumerate(parts):
-                bare = c
-                if _quote.search(c):
-                    bare = _quoted.sub(" ", c)
-                words = _words(bare.lower() if len(bare) > 12 and bare.isupper() else bare) or _words(c)
-                ids = vocabulary.ids(words)
+            letters_of = question[4]
+            contains = question[1] >= 3 and len(letters_of) <= len(answer) <= 3 * len(letters_of) + 80 and letters_of in (plain := _plain(answer)) and len(plain) - len(letters_of) <= 24
+            every, start = failed << 5 | contains << 6, len(marks)
+            for c in parts:
+                ids, n, mark = seen_clause(c) or vocabulary.clause(c)
                 flat += ids
                 sizes.append(len(ids))
-                letters.append(sum(map(len, words)))  # quotations don't count
-                of_row.append(r)
-                ends = i == last
-                marks.append((i == 0) | ends << 1 | (ends and kind in labels.UNFINISHED) << 2 | (ends and kind == "closed") << 3 | (ends and kind in ("item", "phrase", "whole")) << 4 | failed << 5 | contains << 6 | (c[0] in "[{<") << 7 | (bare is not c) << 8 | (c[-1] == "?") << 9)
-            counts.append(len(parts))
+                letters.append(n)
+                marks.append(mark | every)
+            kind = how.partition(":")[0]
+            marks[start] |= 1
+            marks[-1] |= 2 | (kind in labels.UNFINISHED) << 2 | (kind == "closed") << 3 | (kind in ("item", "phrase", "whole")) << 4
         self.lengths = np.array(counts, dtype=np.int64)
         self.letters = np.array(letters, dtype=np.float64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if counts else np.zeros(0, np.int64)
         n = len(sizes)
         if not n:
             self.contains, self.doubtful = np.zeros(0, np.int64), np.zeros(len(rows), bool)
-            self.bucket, self.first, self.size, self.dense = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, DENSE), np.float32)
+            self.bucket, self.first, self.size, self.flags = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, DENSE), bool)
             return
         size = np.array(sizes, dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        t = vocabulary.table[np.array(flat, dtype=np.int64)]
+        t = vocabulary.table.take(np.array(flat, dtype=np.int64), axis=1)
         clause = np.repeat(np.arange(n), size)
-        row = np.array(of_row)[clause]
+        row_of = np.repeat(np.arange(len(rows)), self.lengths)
+        row, marks = row_of[clause], np.array(marks)
         add = lambda v: np.add.reduceat(v.astype(np.float32), first)
         # hashed words, beginnings and pairs: three entries per word
-        pair = _pairs(t[:, 0], first, size)
-        self.bucket = np.stack([t[:, 0], t[:, 1], pair], 1).ravel()
+        pair = _pairs(t[0].astype(np.int64), first, size)
+        self.bucket = np.stack([t[0], t[1], pair], 1).ravel()
         self.first, self.size = first * 3, size * 3
-        self.words, self.contains = t, np.array(marks) >> 6 & 1
+        self.words, self.contains = t, marks >> 6 & 1
         # the question's words
         names: dict[int, int] = {}
         which = np.array([names.setdefault(id(q), len(names)) for q in questions])
         every = {names[id(q)]: q for q in questions}
         keys = np.concatenate([q[0] + (k << 40) for k, q in every.items()])
-        seen = add(np.isin(t[:, 2] + (which[row] << 40), keys))
-        row_of = np.array(of_row)
+        asked = np.zeros(len(vocabulary.anagrams), bool)
+        asked[keys & (1 << 40) - 1] = True
+        there = asked[t[2]]
+        likely = np.nonzero(there)[0]
+        wanted = t[2, likely] + (which[row[likely]] << 40)
+        there[likely] = keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted if len(keys) else False
+        seen = add(there)
         q_size = np.array([q[1] for q in questions])[row_of]
         language = np.array([q[2] for q in questions])[row_of]
         script = np.array([q[3] for q in questions])[row_of]
         share, cover = seen / size, seen / np.maximum(q_size, 1)
         # languages
-        lower = t[:, 6] == 1
-        n_low, titles = add(lower), add(t[:, 6] == 2)
-        single = np.where(np.bitwise_count(t[:, 3]) == 1, 2, 1)
-        hits = np.stack([add((t[:, 3] >> k & 1) * single) for k in range(_F)], 1)
-        known = np.stack([add((t[:, 4] >> k & 1) * lower) for k in range(_V)], 1)
+        lower = t[6] == 1
+        n_low, titles = add(lower), add(t[6] == 2)
+        single = np.where(np.bitwise_count(t[3]) == 1, 2, 1)
+        hits = np.stack([add((t[3] >> k & 1) * single) for k in range(_F)], 1)
+        known = np.stack([add((t[4] >> k & 1) * lower) for k in range(_V)], 1)
         at = np.arange(n)
         lang = np.maximum(language, 0)
         own, own_known = hits[at, lang], known[at, lang]
@@ -244,44 +297,53 @@ class Measured:
         other, other_known = hits.max(1), known.max(1)
         told = language >= 0
         whole_own, whole_other = (np.bincount(row_of, v, len(rows))[row_of] for v in (own, np.maximum(other, 0)))
-        spelled = t[:, 5] * ((t[:, 7] == 0) | ((t[:, 8] & 15) > 0))
-        strange = add(spelled * ((t[:, 8] & 15) != script[clause])) / np.maximum(add(spelled), 1)
-        m = np.array(marks)
+        spelled = t[5] * ((t[7] == 0) | ((t[8] & 15) > 0))
+        strange = add(spelled * ((t[8] & 15) != script[clause])) / np.maximum(add(spelled), 1)
+        m = marks
         only = self.lengths[row_of] == 1
         lean = np.where(told, other - own, 0)
         k_share, o_share = own_known / np.maximum(n_low, 1), np.maximum(other_known, 0) / np.maximum(n_low, 1)
         enough = told & (n_low >= 3)
         columns = [
-            np.ones(n), m & 1, m >> 1 & 1, only, add(t[:, 7]) > 0, size <= 2, (size > 2) & (size <= 5), (size > 5) & (size <= 12), size > 12,
+            np.ones(n), m & 1, m >> 1 & 1, only, add(t[7]) > 0, size <= 2, (size > 2) & (size <= 5), (size > 5) & (size <= 12), size > 12,
             share < 0.2, (share >= 0.2) & (share < 0.5), (share >= 0.5) & (share < 0.7), (share >= 0.7) & (share < 0.9), share >= 0.9,
             (cover >= 0.3) & (cover < 0.6), (cover >= 0.6) & (cover < 0.85), cover >= 0.85, (share >= 0.7) & (cover >= 0.5) & (seen >= 3), m >> 6 & 1,
             told & (own == 0) & (n_low >= 5), told & (own == 0) & (n_low < 5), told & (own > 0) & (own <= 0.2 * size), told & (own > 0.2 * size) & (own <= 0.5 * size), told & (own > 0.5 * size),
             lean >= 3, lean == 2, lean == 1, lean < 0,
             enough & (k_share < 0.1), enough & (k_share >= 0.1) & (k_share < 0.4), enough & (k_share >= 0.4) & (k_share < 0.8), enough & (k_share >= 0.8),
             enough & (o_share - k_share > 0.5), enough & (o_share - k_share > 0.2) & (o_share - k_share <= 0.5), enough & (o_share < 0.1) & (k_share < 0.1),
-            strange > 0.6, (strange > 0.1) & (strange <= 0.6), m >> 2 & 1, m >> 3 & 1, m >> 4 & 1, m >> 5 & 1, add(t[:, 8] >> 8) > 0, m >> 7 & 1, ~told,
+            strange > 0.6, (strange > 0.1) & (strange <= 0.6), m >> 2 & 1, m >> 3 & 1, m >> 4 & 1, m >> 5 & 1, add(t[8] >> 8) > 0, m >> 7 & 1, ~told,
             told & (whole_other >= whole_own + 2), told & (whole_own > whole_other), m >> 8 & 1, (m >> 9 & 1), (m >> 9 & 1) & (share >= 0.6),
             (m & 1) & (size <= 4), (m >> 1 & 1) & (size <= 4), only & (size <= 3), seen == 0, q_size == 0, told & (whole_own == 0) & (n_low >= 4), enough & (own == 0) & (k_share < 0.25), titles == size, only & (titles > 0) & (size <= 3), (strange > 0.6) & (size <= 4), (strange > 0.6) & only,
         ]
-        self.dense = np.stack([np.asarray(c, dtype=np.float32) for c in columns], 1)
+        self.flags = np.stack([np.asarray(c, dtype=bool) for c in columns], 1)
         if screen:
             # clauses that labels.weak_tags() may call anything but an answer
-            bits, flags = t[:, 10], t[:, 9]
+            bits, flags = t[10], t[9]
             every_hit = np.stack([add((bits >> k & 1) * np.where(np.bitwise_count(bits) == 1, 2, 1)) for k in range(_F)], 1)
             own = every_hit[at, lang]
             every_hit[at, lang] = -1
-            coded = 2 * (add(t[:, 7]) > 0)
+            coded = 2 * (add(t[7]) > 0)
             leans = told & (every_hit.max(1) > 0) & (every_hit.max(1) + coded > own)
-            alike = ((seen >= 2) & (share >= 0.5)) | ((size == 1) & (seen == 1)) | ((size == 1) & (add(t[:, 5]) > 12))
+            alike = ((seen >= 2) & (share >= 0.5)) | ((size == 1) & (seen == 1)) | ((size == 1) & (add(t[5]) > 12))
             framed = (size <= 7) & (add(flags >> 2 & 1) >= 0.5 * size)
-            doubt = leans | alike | framed | (add(flags & 3) > 0) | (m >> 2 & 1).astype(bool) | (strange > 0) | (m >> 8 & 1).astype(bool)
-            self.doubtful = np.bincount(row_of, doubt, len(rows)) > 0
-
-    def pack(self) -> bytes:
-        """The features alone, for unpack()."""
-        words = self.words[:, :2].astype(np.uint16) if len(self.dense) else np.zeros((0, 2), np.uint16)
-        parts = [(self.size // 3).astype(np.uint32), self.letters.astype(np.uint32), self.lengths.astype(np.uint32), words, np.packbits(self.dense.astype(bool), axis=1)]
-        return np.array([len(self.size), len(self.lengths), len(words)], np.int64).tobytes() + b"".join(x.tobytes() for x in parts)
+            # whoever says "I" and doesn't decline answers
+            says = (add(flags >> 1 & 1) > 0) | ((add(flags & 1) > 0) & (add(flags >> 3) > 0))
+            doubt = leans | alike | framed | says | (m >> 2 & 1).astype(bool) | (strange > 0) | (m >> 8 & 1).astype(bool)
+            self.doubts, self.doubtful = doubt, np.bincount(row_of, doubt, len(rows)) > 0
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        return self.flags.astype(np.float32)
+
+    def pack(self, begin: int = 0, end: int | None = None) -> bytes:
+        """The features of the rows from ``begin`` to ``end`` alone, for unpack()."""
+        lengths = self.lengths[begin:end]
+        some = slice(n := int(self.lengths[:begin].sum()), n + int(lengths.sum()))
+        size = self.size[some] // 3
+        words = self.words[:2, w : w + int(size.sum())].T.astype(np.uint16, order="C") if len(size) and (w := int(self.first[some.start]) // 3) >= 0 else np.zeros((0, 2), np.uint16)
+        parts = [size.astype(np.uint32), self.letters[some].astype(np.uint32), lengths.astype(np.uint32), words, np.packbits(self.flags[some], axis=1)]
+        return np.array([len(size), len(lengths), len(words)], np.int64).tobytes() + b"".join(x.tobytes() for x in parts)
 
     @classmethod
     def unpack(cls, blobs: list[bytes]) -> Measured:
@@ -307,7 +369,7 @@ class Measured:
 
     def scores(self, lexical: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Score of every tag at every clause."""
-        if not len(self.dense):
+        if not len(self.size):
             return np.zeros((0, len(TAGS)))
         words = np.add.reduceat(lexical[self.bucket], self.first, axis=0) / np.sqrt(self.size)[:, None]
         return words + self.dense @ weights
@@ -384,8 +446,8 @@ def gradient(x: Measured, gold: np.ndarray, importance: np.ndarray, params: list
     inner = np.nonzero(row[1:] == row[:-1])[0]
     np.add.at(pairs, (gold[inner], gold[inner + 1]), weight_of[inner])
     left = (np.eye(k)[gold] - np.exp(a + b - of_row[row][:, None])) * weight_of[:, None]
-    scaled, of = left / np.sqrt(x.size)[:, None], np.repeat(np.arange(len(x.size)), x.size)
-    by_word = np.stack([np.bincount(x.bucket, scaled[:, j][of], BUCKETS) for j in range(k)], 1)
+    scaled = left / np.sqrt(x.size)[:, None]
+    by_word = np.stack([np.bincount(x.bucket, np.repeat(scaled[:, j], x.size), BUCKETS) for j in range(k)], 1)
     return [by_word, x.dense.T @ left, pairs, np.array([weight_of.sum()])]
 
 
@@ -415,12 +477,31 @@ class Field:
 
     def tags(self, x: Measured) -> np.ndarray:
         lexical, weights, steps = self.params
-        return viterbi(x.scores(lexical, weights), x.lengths, steps) if len(x.dense) else np.zeros(0, np.int8)
+        return viterbi(x.scores(lexical, weights), x.lengths, steps) if len(x.size) else np.zeros(0, np.int8)
+
+
+class _Reversed(dict):
+    """Words spelled backwards if they are in lower case; frequent words stay unless ``every``."""
+
+    def __init__(self, every: bool):
+        self.every = every
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 100_000:
+            self.clear()
+        got = self[word] = word[::-1] if word.islower() and (self.every or word not in _bit) else word
+        return got
+
+
+_reversed = (_Reversed(False), _Reversed(True))
+_spelled = re.compile(r"([^\W\d_]+)").split
 
 
 def _mirrored(text: str, every: bool) -> str:
     """The text with its lower-case words spelled backwards; frequent words stay unless ``every``."""
-    return re.sub(r"[^\W\d_]+", lambda m: m.group()[::-1] if m.group().islower() and (every or m.group() not in _bit) else m.group(), text)
+    parts = _spelled(text)
+    parts[1::2] = map(_reversed[every].__getitem__, parts[1::2])
+    return "".join(parts)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,6 +529,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         answers = batch.column(1).to_pylist()
         cutoff.count_tails(answers, tails)
+        said: dict[int, Counter] = {}
         for q, a in zip(batch.column(0).to_pylist(), answers, strict=True):
             language = spoken.get(q)
             if language is None:
@@ -461,14 +543,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if language < 0 or not a:
                 continue
             words = _words(a)
-            lower = [w.lower() for w in words]
-            hits = labels.languages(lower)
+            hits = labels.languages(_words(a.lower()) if a.isascii() else [w.lower() for w in words])
             if hits[language] < max(hits):
                 continue
+            if language not in said:
+                said[language] = Counter()
+            said[language].update(words)
+        for language, found in said.items():
             counts = heard.setdefault(language, {})
-            for w, low in zip(words, lower, strict=True):
+            for w, n in found.items():
+                low = w.lower()
                 if w is low or w.islower() or w.istitle():
-                    counts[low] = counts.get(low, 0) + 1
+                    counts[low] = counts.get(low, 0) + n
         if len(tails) + sum(map(len, heard.values())) > 200_000:
             yield out()
     yield out()
@@ -535,8 +621,8 @@ COPY_WEIGHT = 1.2
 _copies = [k for k, n in COPIES for _ in range(n)]
 
 
-def changed(q: str, a: str, parts: list[str], language: int, asked: dict[int, list[str]], number: int) -> tuple[str | None, str, list[int]] | None:
-    """A changed copy of a plain pair: (question, answer, tags), of a kind that ``number`` (a hash)
+def changed(q: str, a: str, parts: list[str], language: int, asked: dict[int, list[str]], number: int, vocabulary: Vocabulary) -> tuple[str | None, str, list[int], list[str]]:
+    """A changed copy of a plain pair: (question, answer, tags, clauses), of a kind that ``number`` (a hash)
     gives; where that can't be made of the pair, its words are spelled backwards."""
     answer, _, echo, foreign, unfinished, _ = range(6)
     kind, turn = _copies[number % len(_copies)], number // len(_copies)
@@ -544,38 +630,44 @@ def changed(q: str, a: str, parts: list[str], language: int, asked: dict[int, li
     if kind == "repeating" and (len(a) >= 40 or "\n" in a):
         kind = "echo"
     if kind in ("asked", "mirrored"):
-        said = min(len([w for w in _words(c) if w.islower()]) for c in parts)
+        said = min(sum(map(str.islower, _words(c))) for c in parts)
         others = [k for k in asked if k != language]
         if kind == "asked" and others and said >= 3:
             pool = asked[others[turn % len(others)]]
-            return pool[turn // 8 % len(pool)], a, [foreign] * len(parts)
+            return pool[turn // 8 % len(pool)], a, [foreign] * len(parts), parts
         if kind == "mirrored" and said >= 4:
-            return q, _mirrored(a, True), [foreign] * len(parts)
+            back = _mirrored(a, True)
+            return q, back, [foreign] * len(parts), vocabulary.mirrored(parts, True, back)
     elif kind == "unasked":
-        return None, a, tags
+        return None, a, tags, parts
     elif kind == "quoting":
         alien = [x for n, x in SAYINGS.items() if LANGUAGES.index(n) != language]
         alien = re.split(r"[|\n]", alien[turn % len(alien)])
         quoted = (" (The original says: «{}»)", ' As they put it: "{}".', " („{}“)")[turn // 8 % 3].format(alien[turn // 32 % len(alien)].rstrip(".")[:60])
-        return q, a.rstrip() + quoted, [answer] * len(clauses(a.rstrip() + quoted))
+        made = clauses(said := a.rstrip() + quoted)
+        return q, said, [answer] * len(made), made
     elif kind == "broken" and len(parts[-1]) > 20:
         last = parts[-1]
         broken = a[: a.rfind(last) + 8 + turn % (len(last) - 12)].rstrip()
-        if broken[-1].isalnum() and len(clauses(broken)) == len(parts):
-            return q, broken, tags[:-1] + [unfinished]
-    elif kind == "echo" and len(words := q.split()) > 4:
-        random.Random(turn).shuffle(words)
+        if broken[-1].isalnum() and len(made := clauses(broken)) == len(parts):
+            return q, broken, tags[:-1] + [unfinished], made
+    elif kind == "echo" and len(q.split()) > 4:
         said = (q.lower() if turn & 8 else q.upper(), "You asked: " + q, q.rstrip("?!. ") + ".", q + "\n" + FRAMES[turn // 16 % len(FRAMES)])[turn % 4]
-        return q, said, [echo] * len(clauses(said))
+        made = clauses(said)
+        return q, said, [echo] * len(made), made
     elif kind == "repeating":
         if turn & 1:
-            return q, a, tags
-        return q, q + " " + a, [echo] * (len(clauses(q + " " + a)) - 1) + [answer]
+            return q, a, tags, parts
+        made = clauses(said := q + " " + a)
+        return q, said, [echo] * (len(made) - 1) + [answer], made
     # other words in the same language, with and without numbers and codes
     other = _mirrored(a, False)
     if kind == "bare":
         other = re.sub(r"\s*\S*\d\S*(?=\s)", "", other)
-    return q, other, [answer] * len(clauses(other))
+        made = clauses(other)
+    else:
+        made = vocabulary.mirrored(parts, False, other)
+    return q, other, [answer] * len(made), made
 
 
 def weak_labels(x: Measured, rows: list[tuple], questions: dict[str | None, labels.Question]) -> tuple[list[list[int]], list[float], list[int]]:
@@ -598,7 +690,7 @@ def weak_labels(x: Measured, rows: list[tuple], questions: dict[str | None, labe
             tags.append([echo] * n)
             weights.append(2.0)
         else:
-            got = labels.weak_tags(labels.measured(question, a, how, x.parts[j])[0]) if x.doubtful[j] else [0] * n
+            got = labels.tags_of(question, a, how, x.parts[j], x.doubts[x.starts[j] : x.starts[j] + n]) if x.doubtful[j] else [0] * n
             odd = any(got)
             tags.append(got)
             weights.append((5.0 if question.language > 0 else 3.0) if refusal in got else 2.0 if odd else (3.0 if question.language > 0 else 1.0) * (1.0 if n == 1 else 0.25))
@@ -620,29 +712,43 @@ def blocks(known: dict[str, int], tails: cutoff.Tails, asked: dict[int, list[str
             of: dict[int, list[int]] = {}
             for i, number in enumerate(numbers):
                 of.setdefault(number % shares, []).append(i)
-            for share, at in of.items():
-                for some in (at[i : i + 2000] for i in range(0, len(at), 2000)):
-                    x, rows, at_row, sizes, hows, defects = prepared(vocabulary, tails, [texts[i] for i in some], True)
-                    tags, weights, plain = weak_labels(x, rows, asks)
-                    copies, copy_tags = [], []
-                    for j, (q, a, _, _) in enumerate(rows):
-                        if plain[j] >= 0:
-                            cq, ca, ct = changed(q, a, x.parts[j], plain[j], asked, numbers[some[at_row[j]]] // shares)
-                            if ct:
-                                copies.append((cq, ca, None, cutoff.ending(without_question(ca, cq), tails)))
-                                copy_tags.append(ct)
-                    index = pa.array(some)
-                    one = lambda v, t: pa.array([v], t)
-                    listed = lambda c: pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), c.take(index))
-                    flat = lambda tags: np.array([t for g in tags for t in g], np.uint8).tobytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            one(share, pa.int32()), listed(batch.column(0)), listed(batch.column(1)), one(sizes, pa.list_(pa.int32())), one(hows, pa.list_(pa.string())), one(defects, pa.list_(pa.string())), one(at_row, pa.list_(pa.int32())),
-                            one(x.pack(), pa.binary()), one(flat(tags), pa.binary()), one(np.array(weights, np.float32).tobytes(), pa.binary()),
-                            one(Measured(vocabulary, copies).pack(), pa.binary()), one(flat(copy_tags), pa.binary()), one(np.full(len(copies), COPY_WEIGHT, np.float32).tobytes(), pa.binary()),
-                        ],
-                        names=["share", "ids", "sources", "sizes", "hows", "defects", "at_row", "x", "tags", "weights", "copies", "copy_tags", "copy_weights"],
-                    )
+            pieces = [(share, at[i : i + 2000]) for share, at in of.items() for i in range(0, len(at), 2000)]
+            while pieces:
+                # some small pieces at once
+                n = 1
+                while n < len(pieces) and sum(len(at) for _, at in pieces[: n + 1]) <= 2000:
+                    n += 1
+                group, pieces = pieces[:n], pieces[n:]
+                some = [i for _, at in group for i in at]
+                x, rows, at_row, sizes, hows, defects = prepared(vocabulary, tails, [texts[i] for i in some], True)
+                tags, weights, plain = weak_labels(x, rows, asks)
+                copies, copy_tags, copy_parts, copy_of = [], [], [], []
+                for j, (q, a, _, _) in enumerate(rows):
+                    if plain[j] >= 0:
+                        cq, ca, ct, cp = changed(q, a, x.parts[j], plain[j], asked, numbers[some[at_row[j]]] // shares, vocabulary)
+                        if ct:
+                            copies.append((cq, ca, None, cutoff.ending(without_question(ca, cq), tails)))
+                            copy_tags.append(ct)
+                            copy_parts.append(cp)
+                            copy_of.append(j)
+                y = Measured(vocabulary, copies, parts=copy_parts)
+                ends = np.cumsum([0] + [len(at) for _, at in group]).tolist()
+                row_ends = [bisect_left(at_row, i) for i in ends]
+                copy_ends = [bisect_left(copy_of, j) for j in row_ends]
+                per = lambda v, ends: [v[i:j] for i, j in pairwise(ends)]
+                packed = lambda x, ends: pa.array([x.pack(i, j) for i, j in pairwise(ends)], pa.binary())
+                flat = lambda tags, ends: pa.array([np.array([t for g in tags[i:j] for t in g], np.uint8).tobytes() for i, j in pairwise(ends)], pa.binary())
+                index = pa.array(some)
+                listed = lambda c: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), c.take(index))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([share for share, _ in group], pa.int32()), listed(batch.column(0)), listed(batch.column(1)), pa.array(per(sizes, ends), pa.list_(pa.int32())), pa.array(per(hows, ends), pa.list_(pa.string())), pa.array(per(defects, ends), pa.list_(pa.string())),
+                        pa.array([[i - before for i in at_row[j:k]] for before, (j, k) in zip(ends, pairwise(row_ends))], pa.list_(pa.int32())),
+                        packed(x, row_ends), flat(tags, row_ends), pa.array([np.array(w, np.float32).tobytes() for w in per(weights, row_ends)], pa.binary()),
+                        packed(y, copy_ends), flat(copy_tags, copy_ends), pa.array([np.full(j - i, COPY_WEIGHT, np.float32).tobytes() for i, j in pairwise(copy_ends)], pa.binary()),
+                    ],
+                    names=["share", "ids", "sources", "sizes", "hows", "defects", "at_row", "x", "tags", "weights", "copies", "copy_tags", "copy_weights"],
+                )
 
     return run
 
@@ -750,7 +856,7 @@ def decide(tags: np.ndarray, sizes: np.ndarray) -> str | None:
 
 def _visible(answer: str | None) -> bool:
     """Whether anything of an answer is visible: a letter or digit outside markup, or what is left of one."""
-    return answer is not None and ("�" in answer or any(c.isalnum() for c in (labels._markup.sub(" ", answer) if "<" in answer or "&" in answer or "`" in answer or "[" in answer else answer)))
+    return answer is not None and (answer[:1].isalnum() and "<" not in answer and "&" not in answer and "`" not in answer and "[" not in answer or "�" in answer or any(c.isalnum() for c in (labels._markup.sub(" ", answer) if "<" in answer or "&" in answer or "`" in answer or "[" in answer else answer)))
 
 
 def prepared(vocabulary: Vocabulary, tails: cutoff.Tails, texts: list[tuple], screen: bool = False) -> tuple:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -323,3 +324,52 @@ def test_last_words_are_counted_in_all_rows(spark):
     df = spark.createDataFrame([(f"Row {i} was {letters(i // 2)} indeed.",) for i in range(50_000)], "t string")
     levels = cutoff.tails(df, "t").levels
     assert all(letters(i) in levels for i in range(25_000)) and "indeed" in levels
+
+
+def test_shares_are_measured_together(monkeypatch):
+    """Small shares of a batch are measured at once, with the features that each has when measured alone."""
+    import pyarrow as pa
+
+    rows = [(i, "g", Q, f"The record names crew {i} at the hall. It took {i + 3} minutes" + ("." if i % 3 else " and the"), None) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=list("isqae"))
+    made, measured = [], pairs.Measured
+    monkeypatch.setattr(pairs, "Measured", lambda *a, **k: made.append(1) or measured(*a, **k))
+    out = list(pairs.blocks({}, cutoff.Tails(), {0: [Q]}, 40)(iter([batch])))
+    assert len(made) == 2
+    got = [r for b in out for r in b.to_pylist()]
+    assert len({r["share"] for r in got}) > 30 and sorted(i for r in got for i in r["ids"]) == list(range(400))
+    for r in got:
+        some = [rows[i] for i in r["ids"]]
+        assert r["x"] == measured(pairs.Vocabulary(), [(q, a, e, how) for (_, _, q, a, e), how in zip(some, r["hows"], strict=True)]).pack()
+
+
+def test_words_and_clauses_are_those_of_the_patterns():
+    """Fast splitting gives what the plain patterns give, also beyond Latin-1."""
+    draw = random.Random(5)
+    clause = re.compile(r"[^\n]+?(?:[.!?…]+[\"'”’»)\]*]*(?=\s|$)|[。！？؟।]+[”’»」』）]*|(?=\n)|$)")
+    for _ in range(20_000):
+        text = "".join(draw.choice("aB1_ .!?…\"'”)* \n\t。」²ªß\x85\xa0éÉΩ字İ\ud800") for _ in range(draw.randrange(14)))
+        assert labels.words_of(text) == re.findall(r"[^\W_]+", text)
+        assert pairs._plain(text) == re.sub(r"[\W_]+", "", text.lower())
+        assert labels.clauses(text) == [c for m in clause.finditer(text) if (c := m.group().strip()) and re.search(r"[^\W_]", c)]
+
+
+def test_only_doubtful_clauses_are_labelled(monkeypatch):
+    """Clauses that can only be answers aren't measured for labels, unless a refusal or another language is near."""
+    read, features = [], labels.features
+    monkeypatch.setattr(labels, "features", lambda clause, *a: read.append(clause) or features(clause, *a))
+    long = "Veteran welders of Tolnodal repeated every measurement with great care."
+    cases = ((f"{long} {long} The log of these welders ends at the", 1), (f"I cannot say who won anything here. {long}", 3), (f"I saw how they repeated it with great care. {long}", 0))
+    for answer, most in cases:
+        rows = [(Q, answer, None, cutoff.ending(answer))]
+        x = pairs.Measured(pairs.Vocabulary(), rows, True)
+        whole = labels.weak_tags(labels.measured(labels.Question(Q), answer, rows[0][3])[0])
+        read.clear()
+        assert pairs.weak_labels(x, rows, {})[0] == [whole] and len(read) <= most
+
+
+def test_words_that_decline():
+    """Every way to decline holds a word that is known for it; the screen of the labels rests on that."""
+    ways = "I can't|unable to|will not|wouldn't|I'd rather not|declined|pass on|do not|don't|no comment|nothing|beyond me|policies|stay out|prefiero|another topic|off limits|nicht|keiner|leid|ne|n'ai|préfère|sort de|hors de|no|fuera de|non posso|mi dispiace|não posso|ſorry|asK for leave: tHANKS, no"
+    for way in ways.split("|"):
+        assert labels._decline.search(way) and any(labels.may_decline(w.lower()) for w in labels.words_of(way)), way
