@@ -14,13 +14,14 @@ step of the fit is the gradient of one hashed share of the blocks, so that all s
 
 from __future__ import annotations
 
+import functools
+import gc
 import random
 import re
 import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
 from itertools import pairwise
 
 import numpy as np
@@ -332,7 +333,7 @@ class Measured:
             doubt = leans | alike | framed | says | (m >> 2 & 1).astype(bool) | (strange > 0) | (m >> 8 & 1).astype(bool)
             self.doubts, self.doubtful = doubt, np.bincount(row_of, doubt, len(rows)) > 0
 
-    @cached_property
+    @functools.cached_property
     def dense(self) -> np.ndarray:
         return self.flags.astype(np.float32)
 
@@ -504,6 +505,23 @@ def _mirrored(text: str, every: bool) -> str:
     return "".join(parts)
 
 
+def _uncollected(run):
+    """A worker's function without searches for cyclic garbage, of which it makes hardly any: they take time in proportion to what is kept."""
+
+    @functools.wraps(run)
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if on:
+                gc.enable()
+
+    return quiet
+
+
+@_uncollected
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(question, answer) to (word, language, ends, insides, heard): how often a word ends a finished sentence
     or stands in one (language -1), and how often it is heard in answers to questions of a language
@@ -704,6 +722,7 @@ def blocks(known: dict[str, int], tails: cutoff.Tails, asked: dict[int, list[str
     by the hash of their texts. A share has its rows' features, tags and weights, and the changed copies'."""
     import xxhash
 
+    @_uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, asks = Vocabulary(known), {}
         for batch in batches:

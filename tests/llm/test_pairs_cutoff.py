@@ -373,3 +373,18 @@ def test_words_that_decline():
     ways = "I can't|unable to|will not|wouldn't|I'd rather not|declined|pass on|do not|don't|no comment|nothing|beyond me|policies|stay out|prefiero|another topic|off limits|nicht|keiner|leid|ne|n'ai|préfère|sort de|hors de|no|fuera de|non posso|mi dispiace|não posso|ſorry|asK for leave: tHANKS, no"
     for way in ways.split("|"):
         assert labels._decline.search(way) and any(labels.may_decline(w.lower()) for w in labels.words_of(way)), way
+
+
+def test_collection_is_off_while_measuring_only():
+    import gc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["g"]), pa.array([Q]), pa.array(["The crew won."]), pa.array([None], pa.string())], names=list("isqae"))
+    got = pairs.blocks({}, cutoff.Tails(), {}, 1)(iter([batch]))
+    next(got)
+    assert not gc.isenabled()
+    got.close()
+    assert gc.isenabled()
+    list(pairs._word_counts(iter([batch.select([2, 3])])))
+    assert gc.isenabled()
